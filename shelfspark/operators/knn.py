@@ -120,18 +120,29 @@ def _normalise_inputs(queries, corpus, qid, qvec, cid, cvec):
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *,
              qid: str = "qid", qvec: str = "vec", cid: str = "id", cvec: str = "vec",
              strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest corpus rows for every query row."""
+             block_rows: int = DEFAULT_BLOCK_ROWS, dim: int | None = None) -> DataFrame:
+    """Exact k nearest corpus rows for every query row.
+
+    ``dim`` (the vector width, when the caller knows it, e.g. an encoder's
+    output width) saves computing one corpus vector for the size check.
+    """
     if space not in ("l2", "cosine"):
         raise ValueError(f"unknown space {space!r}")
     if k <= 0:
         raise ValueError("k must be positive")
     q, c = _normalise_inputs(queries, corpus, qid, qvec, cid, cvec)
     schema = _result_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
-    stats = c.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n_corpus, dim = int(stats["n"]), int(stats["dim"] or 0)
+    # Size check without computing the vectors: counting the unfiltered input
+    # prunes the vector column (an encoder UDF is not run); it bounds the rows
+    # that can reach the broadcast.  The width comes from one row.
+    n_corpus = corpus.select(cid).count()
     if n_corpus == 0:
         return q.sparkSession.createDataFrame([], schema)
+    if dim is None:
+        first = c.select(F.size("vec").alias("d")).first()
+        if first is None:
+            return q.sparkSession.createDataFrame([], schema)
+        dim = int(first["d"])
     if strategy == "auto":
         strategy = "broadcast" if n_corpus * dim * 8 <= broadcast_bytes else "blocked"
     if strategy == "broadcast":

@@ -30,7 +30,7 @@ def answer_batch(spark, sf):
     conv = t(spark, sf, "conversations").where(F.col("role") == "user")
     qs = EN.hash_encode(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
                                     F.col("text").alias("question")), "question", dim=DIM)
-    ans = PL.answer_batch(qs, coll, K_CHAT, "cosine")
+    ans = PL.answer_batch(qs, coll, K_CHAT, "cosine", dim=DIM)
     return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), F.length("answer").alias("answer_chars"))
 
 

@@ -35,8 +35,22 @@ EVAL_TOP_K = 5
 CHAT_TOP_K = 3
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer partitions than the cluster has cores.
+
+    Text, vector and UDF work is CPU-bound; a small file with one row group (or
+    a small table streamed through a broadcast join) would otherwise run in a
+    single task.  Large inputs (more splits than cores) are left as
+    scanned, so this never adds a shuffle at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def catalog_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +78,9 @@ def clean_catalog(raw: DataFrame, order_by) -> DataFrame:
 
     Only ``search_text`` uses cleaned text; ``name`` is the raw title.
     """
+    # Dense ids first: the range exchange then moves raw rows, and its sampling
+    # pass never runs the cleaning expressions.
+    raw = ID.dense_id(raw, order_by, out="id")
     cols = set(raw.columns)
 
     def cleaned(c, fn=TX.clean_text):
@@ -79,7 +96,7 @@ def clean_catalog(raw: DataFrame, order_by) -> DataFrame:
         "product_id": F.col("`Uniq Id`"),
         "name": F.col("`Product Name`"),
     })
-    return ID.dense_id(out, order_by, out="id")
+    return out
 
 
 def text_collection(products: DataFrame, text_col: str, dim: int = 64) -> DataFrame:
@@ -103,9 +120,9 @@ def repair_embeddings(raw: DataFrame, id_col: str, text_col: str, vec_text_col:
 
 
 def answer_batch(questions: DataFrame, collection: DataFrame, k: int = CHAT_TOP_K, space: str = "cosine",
-                 model_factory=None, qvec: str = "vec") -> DataFrame:
+                 model_factory=None, qvec: str = "vec", dim: int | None = None) -> DataFrame:
     """PL4: k-NN -> metadata lookup -> context blocks (F12) -> prompt -> answer."""
-    hits = KN.knn_join(questions, collection, k, space, qvec=qvec, cvec="embedding")
+    hits = KN.knn_join(questions, collection, k, space, qvec=qvec, cvec="embedding", dim=dim)
     meta = collection.select("id", "document", F.col("image_url") if "image_url" in collection.columns
                              else F.lit(None).cast("string").alias("image_url"))
     blocks = (KN.with_documents(hits, meta)
@@ -136,7 +153,7 @@ def evaluate(pairs: DataFrame, collection: DataFrame, k: int = EVAL_TOP_K, space
         return EN.hash_encode(df, col, dim=dim, out="vec")
 
     hits = KN.knn_distinct_queries(pairs.select("question").distinct(), "question", enc, collection, k, space,
-                                   cvec="embedding")
+                                   cvec="embedding", dim=dim)
     docs = KN.with_documents(hits, collection.select("id", "document"))
     ctx = EV.contexts_by_rank(docs, "question", "rank", "document")
     pred = (pairs.join(ctx, "question", "left")

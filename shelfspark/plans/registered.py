@@ -805,7 +805,7 @@ def _bench_contexts(spark, sf) -> DataFrame:
     b = EN.hash_encode(t(spark, sf, "benchmark"), "text", dim=DIM)
     docs = t(spark, sf, "documents").select("doc_id", "text")
     dv = EN.hash_encode(docs, "text", dim=DIM)
-    hits = KN.knn_join(b, dv, K_CHAT, "cosine", qid="item_id", qvec="vec", cid="doc_id", cvec="vec")
+    hits = KN.knn_join(b, dv, K_CHAT, "cosine", qid="item_id", qvec="vec", cid="doc_id", cvec="vec", dim=DIM)
     named = KN.with_documents(hits, docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")))
     ctx = EV.contexts_by_rank(named, "qid", "rank", "t")
     return ctx.select("qid", F.array_join("contexts", " ").alias("ctx_text"))
@@ -870,7 +870,7 @@ def retrieve_distinct_join_back(spark, sf):
     def enc(df, col):
         return EN.hash_encode(df, col, dim=DIM, out="vec")
 
-    hits = KN.knn_distinct_queries(pairs, "question", enc, docs, K_EVAL, "cosine", cid="doc_id", cvec="vec")
+    hits = KN.knn_distinct_queries(pairs, "question", enc, docs, K_EVAL, "cosine", cid="doc_id", cvec="vec", dim=DIM)
     return hits.select("p_partkey", "q_index", big("rank").alias("rank"), "id")
 
 
