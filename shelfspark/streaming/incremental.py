@@ -19,7 +19,9 @@ DEFAULT_GAP = "10 minutes"
 def session_counts(events: DataFrame, gap: str = DEFAULT_GAP, user: str = "user_id", ts: str = "ts",
                    watermark: str | None = None) -> DataFrame:
     """R2: one row per (user, session): start, end (= last event + gap), event count."""
-    src = events.withWatermark(ts, watermark) if watermark else events
+    # Event time must be TIMESTAMP for watermarks; NTZ input is read as session-zone time.
+    src = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    src = src.withWatermark(ts, watermark) if watermark else src
     s = (src.groupBy(F.col(user), F.session_window(F.col(ts), gap).alias("session"))
             .agg(F.count(F.lit(1)).alias("n_events")))
     return s.select(user,
@@ -29,13 +31,17 @@ def session_counts(events: DataFrame, gap: str = DEFAULT_GAP, user: str = "user_
 
 
 def stream_sessions(spark, path: str, schema, checkpoint: str, gap: str = DEFAULT_GAP,
-                    watermark: str = "30 minutes", sink=None, query_name: str = "sessions"):
+                    watermark: str = "30 minutes", sink=None, query_name: str = "sessions",
+                    glob: str | None = None):
     """R2 streaming: parquet file stream -> watermarked session windows -> sink.
 
     ``sink(df, batch_id)`` receives each micro-batch of closed sessions
     (append mode: a session is emitted once the watermark passes its end).
     """
-    events = spark.readStream.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    events = reader.parquet(path)
     sessions = session_counts(events, gap, watermark=watermark)
     writer = sessions.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if sink is not None:
