@@ -62,25 +62,27 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
 
 def running_sum(df: DataFrame, group_by, order_col: str, value: Column, out: str,
                 chunk: int = DEFAULT_CHUNK, inclusive: bool = True) -> DataFrame:
-    """Segmented prefix sum of ``value`` per group in ``order_col`` order.
+    """Segmented prefix sum of a non-negative ``value`` per group in ``order_col`` order.
 
     ``order_col`` must be integral and unique within a group.  Work is split by
     ``chunk = order_col div chunk`` so no task holds more than ``chunk`` rows of
     one group; chunk totals (one row per group and chunk) carry the prefix.
+    The totals are read off the window's output (the max of an inclusive
+    running sum of non-negative values), so both branches share one exchange.
     """
     groups = [g for g in ([group_by] if isinstance(group_by, str) else list(group_by))]
     keyed = df.withColumn("__chunk", F.floor(F.col(order_col) / F.lit(chunk)).cast("bigint")) \
               .withColumn("__v", value.cast("bigint"))
     frame = (Window.partitionBy(*groups, "__chunk").orderBy(order_col)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    local = keyed.withColumn("__local", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
-    # Same clustering as the window: the totals reuse its exchange, no new shuffle.
-    totals = local.groupBy(*groups, "__chunk").agg(F.sum("__v").alias("__tot"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    local = keyed.withColumn("__incl", F.coalesce(F.sum("__v").over(frame), F.lit(0)))
+    totals = local.groupBy(*groups, "__chunk").agg(F.max("__incl").alias("__tot"))
     earlier = Window.partitionBy(*groups).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(*groups, "__chunk", F.coalesce(F.sum("__tot").over(earlier), F.lit(0)).alias("__before"))
+    own = F.col("__incl") if inclusive else F.col("__incl") - F.col("__v")
     return (local.join(prefix, [*groups, "__chunk"])
-                 .withColumn(out, (F.col("__before") + F.col("__local")).cast("bigint"))
-                 .drop("__chunk", "__v", "__local", "__before"))
+                 .withColumn(out, (F.col("__before") + own).cast("bigint"))
+                 .drop("__chunk", "__v", "__incl", "__before"))
 
 
 def fill_blank_ids(df: DataFrame, id_col: str, pos_col: str, style: str = "position",

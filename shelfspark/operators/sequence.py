@@ -26,11 +26,13 @@ def neighbour(df: DataFrame, group_by, order_col: str, value_cols: list[str], di
     for c in value_cols:
         local = local.withColumn(f"__n_{c}", fn(F.col(c)).over(w))
     local = local.withColumn("__nb_order", fn(F.col(order_col)).over(w))
-    # Boundary values: the last row of each chunk (for 'prev') or the first (for 'next').
-    pick = F.max_by if direction == "prev" else F.min_by
-    ends = local.groupBy(*groups, "__chunk").agg(
-        *[pick(F.col(c), F.col(order_col)).alias(f"__e_{c}") for c in value_cols],
-        pick(F.col(order_col), F.col(order_col)).alias("__e_order"))
+    # Edge rows of each chunk: the last one (its values feed the next chunk's
+    # first row) for 'prev', the first one for 'next'.  Read from the window
+    # output, so this branch shares the window's exchange.
+    other = F.lead if direction == "prev" else F.lag
+    local = local.withColumn("__edge", other(F.col(order_col)).over(w).isNull())
+    ends = local.where("__edge").select(*groups, "__chunk", *[F.col(c).alias(f"__e_{c}") for c in value_cols],
+                                        F.col(order_col).alias("__e_order"))
     wc = Window.partitionBy(*groups).orderBy("__chunk")
     adj = ends
     for c in value_cols:
@@ -41,5 +43,5 @@ def neighbour(df: DataFrame, group_by, order_col: str, value_cols: list[str], di
     at_edge = F.col("__nb_order").isNull()
     for c in value_cols:
         joined = joined.withColumn(f"{prefix}{c}", F.when(at_edge, F.col(f"__a_{c}")).otherwise(F.col(f"__n_{c}")))
-    drop = ["__chunk", "__nb_order", "__a_order"] + [f"__n_{c}" for c in value_cols] + [f"__a_{c}" for c in value_cols]
+    drop = ["__chunk", "__nb_order", "__a_order", "__edge"] + [f"__n_{c}" for c in value_cols] + [f"__a_{c}" for c in value_cols]
     return joined.drop(*drop)
