@@ -33,6 +33,7 @@ from shelfspark.functions import vectors as V
 DEFAULT_BROADCAST_BYTES = 256 << 20
 DEFAULT_BLOCK_ROWS = 4096
 _TILE_ELEMS = 1 << 22  # distance-matrix elements per numpy tile
+TIE_DIGITS = 12
 
 
 # ---------------------------------------------------------------------------
@@ -86,7 +87,10 @@ def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarr
                 dots = ev @ qv
                 exact = np.array([1.0 if (qn == 0 or en[i] == 0) else 1.0 - dots[i] / (qn * en[i])
                                   for i in range(len(cand))], dtype=np.float64)
-            order = sorted(range(len(cand)), key=lambda i: (exact[i], ids[cand[i]]))[:kk]
+            # Distances equal to TIE_DIGITS decimals are ties broken by id, so
+            # summation-order noise cannot reorder results between engines.
+            order = sorted(range(len(cand)), key=lambda i: (round(float(exact[i]), TIE_DIGITS) + 0.0,
+                                                            ids[cand[i]]))[:kk]
             for rank, i in enumerate(order, start=1):
                 yield start + r, rank, ids[cand[i]], float(exact[i])
 
@@ -209,7 +213,7 @@ def _knn_blocked(q: DataFrame, c: DataFrame, k: int, space: str, schema,
               .applyInPandas(pair, schema))
     if bc_ == 1:
         return cand
-    w = Window.partitionBy("qid").orderBy("distance", "id")
+    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))
 
@@ -272,3 +276,100 @@ def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus:
     return (questions.join(keyed, text_col)
                      .join(hits, "qid")
                      .drop("qid"))
+
+
+# ---------------------------------------------------------------------------
+# IVF approximate search
+
+def ivf_build(corpus: DataFrame, cells: int, *, cid: str = "id", cvec: str = "vec", space: str = "l2",
+              seed: int = 1, max_iter: int = 20) -> dict:
+    """Cluster the corpus into ``cells`` with Spark ML k-means.
+
+    Returns ``{'df': (id, vec, cell), 'centroids': ndarray, 'space': space}``;
+    the centroids (cells x dim) are the only data brought to the driver.
+    Under ``cosine`` the clustering runs on unit vectors.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    base = corpus.select(F.col(cid).alias("id"), F.col(cvec).alias("vec")) \
+                 .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    feat = V.l2_normalize("vec") if space == "cosine" else F.transform("vec", lambda x: x.cast("double"))
+    train = base.withColumn("__features", array_to_vector(feat))
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="__features",
+                   predictionCol="cell").fit(train)
+    index = model.transform(train).select("id", "vec", F.col("cell").cast("int").alias("cell"))
+    return {"df": index, "centroids": np.asarray(model.clusterCenters(), dtype=np.float64), "space": space}
+
+
+def ivf_join(queries: DataFrame, index: dict, k: int, probe: int = 1, *, qid: str = "qid", qvec: str = "vec",
+             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Approximate k-NN: each query searches its ``probe`` nearest cells exactly.
+
+    Queries are routed to cells by a pandas UDF over the broadcast centroids;
+    each (cell, query block, corpus block) meets in one cogroup task, so a hot
+    cell is split into bounded blocks instead of one task; local top-k lists
+    are merged with ``row_number() <= k``.
+    """
+    spark = queries.sparkSession
+    space = index["space"]
+    cents = index["centroids"]
+    n_cells = cents.shape[0]
+    probe = max(1, min(probe, n_cells))
+    bc = spark.sparkContext.broadcast(cents)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest_cells(vs: pd.Series) -> pd.Series:
+        c = bc.value
+        out = []
+        for v in vs:
+            x = np.asarray(v, dtype=np.float64)
+            if space == "cosine":
+                n = math.sqrt(float(x @ x))
+                x = x / n if n > 0 else x
+            d = ((c - x[None, :]) ** 2).sum(axis=1)
+            out.append(np.argsort(d, kind="stable")[:probe].astype(np.int32).tolist())
+        return pd.Series(out)
+
+    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec")) \
+               .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    qc = q.withColumn("cell", F.explode(nearest_cells("vec")))
+    idx = index["df"]
+    # Block counts per cell: tables with one row per cell (bounded by ``cells``).
+    c_sizes = {r["cell"]: r["n"] for r in idx.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    q_sizes = {r["cell"]: r["n"] for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cb_map = {c: max(1, math.ceil(n / block_rows)) for c, n in c_sizes.items()}
+    qb_map = {c: max(1, math.ceil(n / block_rows)) for c, n in q_sizes.items()}
+
+    def lookup(m: dict, col: str):
+        if not m:
+            return F.lit(1)
+        pairs = []
+        for key, val in m.items():
+            pairs += [F.lit(int(key)), F.lit(int(val))]
+        return F.coalesce(F.element_at(F.create_map(*pairs), F.col(col)), F.lit(1))
+
+    qk = (qc.withColumn("qb", F.pmod(F.xxhash64("qid"), lookup(qb_map, "cell")))
+            .withColumn("cb", F.explode(F.sequence(F.lit(0), lookup(cb_map, "cell") - 1))))
+    ck = (idx.withColumn("cb", F.pmod(F.xxhash64("id"), lookup(cb_map, "cell")))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), lookup(qb_map, "cell") - 1))))
+    schema = _result_schema(q.schema["qid"].dataType, idx.schema["id"].dataType)
+
+    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        if qpdf.empty or cpdf.empty:
+            return empty
+        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"].tolist())
+        qm = _as_matrix(qpdf["vec"].tolist(), e.shape[1])
+        out = list(_topk_block(qm, e, e_sq, e_norm, ids, k, space))
+        if not out:
+            return empty
+        i, rank, hit, dist = zip(*out)
+        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[list(i)], "rank": np.asarray(rank, dtype=np.int32),
+                             "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
+
+    cand = (qk.groupBy("cell", "qb", "cb").cogroup(ck.groupBy("cell", "qb", "cb"))
+              .applyInPandas(pair, schema))
+    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))

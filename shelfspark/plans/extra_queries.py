@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from shelfspark.operators import encode as EN
 from shelfspark.operators import evaluation as EV
 from shelfspark.plans import pipelines as PL
-from shelfspark.plans.registered import DIM, K_CHAT, _records, big, r6, register, t
+from shelfspark.plans import sql_text as S
+from shelfspark.plans.registered import (_CATALOG_SQL, _RECORDS_SQL, DIM, K_CHAT, _qa_sql, _records, big, r6,
+                                         register, t)
 from shelfspark.sources import catalog as SC
 
 
@@ -34,7 +36,35 @@ def answer_batch(spark, sf):
     return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), F.length("answer").alias("answer_chars"))
 
 
-@register("eval_summary")
+_EVAL_SQL = f"""
+WITH {_CATALOG_SQL}, {_RECORDS_SQL},
+capped AS (SELECT * FROM records ORDER BY __key LIMIT {PL.EVAL_CAP}),
+sampled AS (SELECT *, row_number() OVER (ORDER BY md5('{PL.EVAL_SAMPLE_SEED}:' || CAST(__key AS VARCHAR)), __key) - 1
+                      AS sample_idx
+            FROM capped ORDER BY md5('{PL.EVAL_SAMPLE_SEED}:' || CAST(__key AS VARCHAR)), __key LIMIT {PL.EVAL_SAMPLE_SIZE}),
+withpid AS (SELECT *, {S.strip('id')} AS pid FROM sampled),
+{_qa_sql('withpid', 'pid')},
+coll AS (SELECT id, concat_ws(' || ', "Title", "Description", "Category") AS document FROM records),
+cv AS (SELECT k AS id, v FROM {S.hash_vectors('coll', 'id', 'document', DIM)}),
+qs AS (SELECT DISTINCT question FROM kept),
+qv AS (SELECT k AS qid, v FROM {S.hash_vectors('qs', 'question', 'question', DIM)}),
+hits AS ({S.topk('qv', 'cv', PL.EVAL_TOP_K, 'l2')}),
+ctx AS (SELECT h.qid AS question, list(c.document ORDER BY h.rank) AS contexts
+        FROM hits h JOIN coll c ON h.id = c.id GROUP BY h.qid),
+pred AS (SELECT kp.ground_truth AS reference, coalesce(ctx.contexts, []) AS contexts
+         FROM kept kp LEFT JOIN ctx ON kp.question = ctx.question),
+ans AS (SELECT *, CASE WHEN len(contexts) = 0 THEN 'I don''t know.' ELSE contexts[1] END AS answer FROM pred),
+sc AS (SELECT {S.f1(S.tokens('reference'), S.tokens('answer'))} AS answer_f1,
+              {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('reference'))} AS context_recall,
+              {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('answer'))} AS context_precision,
+              contexts FROM ans)
+SELECT round(coalesce(avg(answer_f1), 0.0), 6) AS answer_f1, round(coalesce(avg(context_recall), 0.0), 6) AS context_recall,
+       round(coalesce(avg(context_precision), 0.0), 6) AS context_precision, count(*) AS n_questions,
+       count_if(len(contexts) = 0) AS n_no_context
+FROM sc"""
+
+
+@register("eval_summary", _EVAL_SQL)
 def eval_summary(spark, sf):
     """PL5: pairs -> retrieval over the catalog collection -> answers -> scores -> summary."""
     records = _records(spark, sf)
@@ -45,3 +75,14 @@ def eval_summary(spark, sf):
     s = EV.summarize(scored)
     return s.select(r6("answer_f1").alias("answer_f1"), r6("context_recall").alias("context_recall"),
                     r6("context_precision").alias("context_precision"), "n_questions", "n_no_context")
+
+
+@register("ivf_topk")
+def ivf_topk(spark, sf):
+    """IVF over the embeddings (8 cells, 3 probed), cosine, top 5."""
+    from shelfspark.operators import knn as KN
+
+    e = t(spark, sf, "embeddings")
+    index = KN.ivf_build(e, 8, cid="vec_id", cvec="embedding", space="cosine", seed=7)
+    hits = KN.ivf_join(e, index, 5, probe=3, qid="vec_id", qvec="embedding")
+    return hits.select("qid", big("rank").alias("rank"), "id", r6("distance").alias("distance"))

@@ -108,7 +108,7 @@ def topk(queries: str, corpus: str, k: int, space: str) -> str:
     """SQL k-NN: ``queries(qid, v)``, ``corpus(id, v)`` -> qid, rank, id, distance."""
     d = l2("q.v", "c.v") if space == "l2" else cosine("q.v", "c.v")
     return (f"SELECT qid, rank, id, distance FROM (SELECT q.qid, c.id, {d} AS distance, "
-            f"row_number() OVER (PARTITION BY q.qid ORDER BY {d}, c.id) AS rank "
+            f"row_number() OVER (PARTITION BY q.qid ORDER BY round({d}, 12), c.id) AS rank "
             f"FROM {queries} q, {corpus} c WHERE len(q.v) > 0 AND len(c.v) > 0) WHERE rank <= {k}")
 
 
