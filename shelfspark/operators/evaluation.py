@@ -157,3 +157,33 @@ def hit_rate(hits: DataFrame, truth: DataFrame, qid: str = "qid", hit_id: str =
 def context_string(blocks: Column) -> Column:
     """blocks joined in rank order."""
     return F.array_join(blocks, CONTEXT_SEPARATOR)
+
+
+def token_set_overlap(df: DataFrame, key, side: str, text: str, left: str, right: str) -> DataFrame:
+    """Token-set sizes for two sides of arbitrarily large texts, fully distributed.
+
+    ``df`` has one row per text fragment with ``side`` equal to ``left`` or
+    ``right`` (e.g. user and assistant turns of a conversation).  Returns per
+    key ``n_left, n_right, n_both``: distinct tokens of each side and of both.
+    Tokens are exploded and aggregated per (key, token) with partial
+    aggregation, so no task ever holds a whole group's text.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    toks = (df.where(F.col(side).isin(left, right))
+              .select(*keys, F.col(side).alias("__side"), F.explode(tokens(F.col(text))).alias("__tok")))
+    per_tok = (toks.groupBy(*keys, "__tok")
+                   .agg(F.max((F.col("__side") == left).cast("int")).alias("__l"),
+                        F.max((F.col("__side") == right).cast("int")).alias("__r")))
+    sizes = per_tok.groupBy(*keys).agg(F.sum("__l").cast("bigint").alias("n_left"),
+                                       F.sum("__r").cast("bigint").alias("n_right"),
+                                       F.sum(F.col("__l") * F.col("__r")).cast("bigint").alias("n_both"))
+    present = df.select(*keys).distinct()
+    return (present.join(sizes, keys, "left")
+                   .fillna(0, subset=["n_left", "n_right", "n_both"]))
+
+
+def f1_from_sizes(n_truth: Column, n_answer: Column, n_both: Column) -> Column:
+    """E5 from set sizes: p = both/answer, r = both/truth, 0 for empty sets."""
+    p = _ratio(n_both, n_answer)
+    r = _ratio(n_both, n_truth)
+    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))

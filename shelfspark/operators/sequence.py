@@ -16,6 +16,8 @@ from shelfspark.operators.identity import DEFAULT_CHUNK
 
 def neighbour(df: DataFrame, group_by, order_col: str, value_cols: list[str], direction: str,
               prefix: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    # ``order_col`` is integral and unique within a group (e.g. a turn number or
+    # a dense position from ``identity.dense_id``).
     """Add ``<prefix><col>`` holding the value of the previous (``direction='prev'``)
     or next (``'next'``) row of the same group in ``order_col`` order."""
     groups = [group_by] if isinstance(group_by, str) else list(group_by)

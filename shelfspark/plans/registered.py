@@ -781,15 +781,13 @@ answers AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS answer FROM c
 SELECT t.conv_id, round({S.f1(S.tokens("array_to_string(t.gts, ' ')"), S.tokens("coalesce(a.answer, '')"))}, 6) AS f1_lex
 FROM truths t LEFT JOIN answers a ON t.conv_id = a.conv_id""")
 def f1_lex(spark, sf):
+    """E9 per conversation: user turns as ground truths, assistant turns as the
+    answer; token sets come from a distributed overlap, never one big row."""
     c = t(spark, sf, "conversations")
-    truths = (c.where(F.col("role") == "user").groupBy("conv_id")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-                    .alias("ground_truths")))
-    answers = (c.where(F.col("role") == "assistant").groupBy("conv_id")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
-                                              lambda x: x["text"]), " ").alias("answer")))
-    j = truths.join(answers, "conv_id", "left")
-    f1 = EV.f1_tokens(F.array_join("ground_truths", " "), F.coalesce("answer", F.lit("")))
+    sizes = EV.token_set_overlap(c, "conv_id", "role", "text", "user", "assistant")
+    users = c.where(F.col("role") == "user").select("conv_id").distinct()
+    j = users.join(sizes, "conv_id", "left")
+    f1 = EV.f1_from_sizes(F.col("n_left"), F.col("n_right"), F.col("n_both"))
     return j.select("conv_id", r6(f1).alias("f1_lex"))
 
 
@@ -923,6 +921,6 @@ s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 10
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*) AS n_events
 FROM s GROUP BY user_id, sid""")
 def session_counts(spark, sf):
-    from shelfspark.streaming.incremental import session_counts as sc
+    from shelfspark.streaming.incremental import sessions_batch
 
-    return sc(t(spark, sf, "events"))
+    return sessions_batch(t(spark, sf, "events"))

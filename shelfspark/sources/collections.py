@@ -67,15 +67,26 @@ def save(df: DataFrame, root: str, name: str, space: str = "l2", if_exists: str
     return _write_version(df, root, name, space, version)
 
 
-def merge_upsert(old: DataFrame, new: DataFrame, id_col: str = "id", order_by: str | None = None) -> DataFrame:
+DEFAULT_BROADCAST_IDS = 2_000_000
+
+
+def merge_upsert(old: DataFrame, new: DataFrame, id_col: str = "id", order_by: str | None = None,
+                 broadcast_ids: int = DEFAULT_BROADCAST_IDS) -> DataFrame:
     """S8 as a plan: rows of ``new`` replace rows of ``old`` with the same id.
 
     Duplicates inside ``new`` are resolved first (first in ``order_by`` order).
+    When the batch holds at most ``broadcast_ids`` ids (counted first; the count
+    reads only the id column) they are broadcast, so the stored collection is
+    filtered in place instead of being shuffled; larger batches use a shuffle
+    anti join.
     """
     if order_by is not None:
         new = keep_first(new, id_col, order_by)
     cols = old.columns
-    return old.join(new.select(id_col), id_col, "left_anti").select(*cols).unionByName(new.select(*cols))
+    ids = new.select(id_col)
+    if new.select(id_col).count() <= broadcast_ids:
+        ids = F.broadcast(ids)
+    return old.join(ids, id_col, "left_anti").select(*cols).unionByName(new.select(*cols))
 
 
 def upsert(df: DataFrame, root: str, name: str, id_col: str = "id", order_by: str | None = None,

@@ -47,3 +47,22 @@ def test_entry_and_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 60
     small = qs["cosine_topk"](spark, SF)
     assert small.columns == ["qid", "rank", "id", "distance"]
+
+
+def test_sessions_batch_equals_session_window(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    a = sorted(map(tuple, INC.session_counts(events).collect()))
+    # Tiny chunks force every chunk-boundary path of the segmented version.
+    b = sorted(map(tuple, INC.sessions_batch(events, chunk=7).collect()))
+    assert a == b
+
+
+def test_sessions_hot_user(spark):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=3 * i if i < 50 else 3 * i + 30), 1) for i in range(80)]
+    rows += [(100 + i, base + dt.timedelta(minutes=20 * i), 2) for i in range(5)]
+    ev = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long")
+    got = sorted((r.user_id, r.n_events) for r in INC.sessions_batch(ev, chunk=4).collect())
+    assert got == [(1, 30), (1, 50), (2, 1), (2, 1), (2, 1), (2, 1), (2, 1)]
