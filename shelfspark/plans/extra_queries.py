@@ -9,8 +9,9 @@ from shelfspark.operators import encode as EN
 from shelfspark.operators import evaluation as EV
 from shelfspark.plans import pipelines as PL
 from shelfspark.plans import sql_text as S
-from shelfspark.plans.registered import (_CATALOG_SQL, _RECORDS_SQL, DIM, K_CHAT, _qa_sql, _records, big, r6,
-                                         register, t)
+from shelfspark.plans.registered import (_CATALOG_SQL, _RECORDS_SQL, DIM, K_CHAT, SQL_SEARCH_TEXT, _qa_sql,
+                                         _records, big, r6, register, t)
+from shelfspark.plans.registered import digest as _digest
 from shelfspark.sources import catalog as SC
 
 
@@ -86,3 +87,27 @@ def ivf_topk(spark, sf):
     index = KN.ivf_build(e, 8, cid="vec_id", cvec="embedding", space="cosine", seed=7)
     hits = KN.ivf_join(e, index, 5, probe=3, qid="vec_id", qvec="embedding")
     return hits.select("qid", big("rank").alias("rank"), "id", r6("distance").alias("distance"))
+
+
+_COLLECTION_SQL = f"""
+{SQL_SEARCH_TEXT},
+coll AS (SELECT "Uniq Id" AS id, coalesce(search_text, '') AS document, "Product Name" AS name,
+                string_split("Image", '|')[1] AS image_url FROM st),
+cv AS (SELECT k AS id, v FROM {S.hash_vectors('coll', 'id', 'document', DIM)})
+SELECT c.id, len(cv.v)::BIGINT AS dim, round({S.weighted_digest('cv.v')}, 6) AS digest, c.name, c.image_url,
+       c.id AS product_id
+FROM coll c JOIN cv ON c.id = cv.id"""
+
+
+@register("catalog_text_collection", _COLLECTION_SQL)
+def catalog_text_collection(spark, sf):
+    """PL2 (text): cleaned catalog -> stand-in encoder -> versioned collection
+    under the shared checkpoint folder -> read back with its metadata."""
+    from shelfspark.session import scratch_path
+
+    cleaned = PL.clean_catalog(PL.catalog_from_tables(spark, sf), F.col("`Uniq Id`").cast("bigint"))
+    cleaned = cleaned.withColumn("id", F.col("`Uniq Id`"))
+    out = PL.build_collections(cleaned, scratch_path(spark, "collections"), dim=DIM)
+    coll = out["text"]
+    return coll.select("id", big(F.size("embedding")).alias("dim"), r6(_digest("embedding")).alias("digest"),
+                       "metadata.name", "metadata.image_url", "metadata.product_id")

@@ -109,6 +109,43 @@ def text_collection(products: DataFrame, text_col: str, dim: int = 64) -> DataFr
     return enc.select(F.col("id").cast("string").alias("id"), "embedding", "document")
 
 
+def catalog_metadata() -> "F.Column":
+    """Per-vector metadata of catalog collections."""
+    return F.struct(F.col("name").cast("string").alias("name"), F.col("image_url").alias("image_url"),
+                    F.col("product_id").cast("string").alias("product_id"),
+                    F.coalesce("search_text", F.lit("")).alias("search_text"))
+
+
+def build_collections(cleaned: DataFrame, root: str, dim: int = 64, image_fetcher=None, image_bins: int = 64,
+                      if_exists: str = "replace") -> dict:
+    """PL2: text (cosine), image (cosine) and multimodal (l2) collections from a
+    cleaned catalog (PL1 output), written as versioned collections.
+
+    Images are fetched through ``image_fetcher`` (S14) and encoded with the
+    byte-histogram stand-in (B2); a failed fetch becomes a zero vector with an
+    ``encode_failed`` flag (V7).  The multimodal vector is text ++ image (V4).
+    """
+    from shelfspark.sources import collections as CO
+
+    base = cleaned.select(F.col("id").cast("string").alias("id"),
+                          F.coalesce("search_text", F.lit("")).alias("document"),
+                          catalog_metadata().alias("metadata"), "image_url")
+    text = EN.hash_encode(base, "document", dim=dim, out="text_vec")
+    out = {"text": CO.save(text.select("id", F.col("text_vec").alias("embedding"), "document", "metadata"),
+                           root, "text", space="cosine", if_exists=if_exists)}
+    if image_fetcher is not None:
+        fetched = SC.fetch_media(text, "image_url", image_fetcher, out="image_bytes")
+        enc = fetched.withColumn("image_vec", EN.encode_column("image_bytes", EN.byte_histogram_model(image_bins)))
+        enc = (enc.withColumn("encode_failed", F.col("image_vec").isNull())
+                  .withColumn("image_vec", V.zero_fill("image_vec", image_bins)))
+        out["image"] = CO.save(enc.select("id", F.col("image_vec").alias("embedding"), "document", "metadata",
+                                          "encode_failed"), root, "image", space="cosine", if_exists=if_exists)
+        mm = enc.select("id", V.concat_vectors("text_vec", "image_vec").alias("embedding"), "document",
+                        "metadata", "encode_failed")
+        out["multimodal"] = CO.save(mm, root, "multimodal", space="l2", if_exists=if_exists)
+    return out
+
+
 def repair_embeddings(raw: DataFrame, id_col: str, text_col: str, vec_text_col: str, order_by) -> DataFrame:
     """PL3: V1 parse -> I2 generated ids -> I4 suffixes -> P6 validity -> W1 dedupe."""
     with_pos = ID.dense_id(raw, order_by, out="__pos")

@@ -100,3 +100,46 @@ def test_media_files(spark):
     files = SC.read_media_files(spark, "/root/testdata/sf0.001", glob="region.parquet")
     r = files.first()
     assert r.length == len(r.content) > 0
+
+
+def test_build_collections_with_images(spark, scratch):
+    from shelfspark.plans import pipelines as PL
+
+    cleaned = spark.createDataFrame(
+        [(0, "name: a | category: x", "u/ok1", "p0", "A"), (1, "", "u/bad", "p1", "B"), (2, "name: c", None, "p2", "C")],
+        "id long, search_text string, image_url string, product_id string, name string")
+
+    def fetcher():
+        def fetch(urls):
+            return [None if (u is None or "bad" in u) else b"\x00\x01\xff" * 10 for u in urls]
+        return fetch
+
+    out = PL.build_collections(cleaned, os.path.join(scratch, "c"), dim=16, image_fetcher=fetcher, image_bins=8)
+    text = {r.id: r for r in out["text"].collect()}
+    img = {r.id: r for r in out["image"].collect()}
+    mm = {r.id: r for r in out["multimodal"].collect()}
+    assert len(text["0"].embedding) == 16 and text["0"].metadata.product_id == "p0"
+    assert img["1"].encode_failed and img["1"].embedding == [0.0] * 8
+    assert not img["0"].encode_failed and abs(sum(x * x for x in img["0"].embedding) - 1) < 1e-5
+    assert len(mm["2"].embedding) == 24
+    opened = CO.open_all(spark, os.path.join(scratch, "c"))
+    assert opened["multimodal"]["space"] == "l2" and opened["text"]["space"] == "cosine"
+    meta = CO.metadata_table(opened["text"]["df"])
+    assert set(meta.columns) == {"id", "name", "image_url", "product_id", "search_text"}
+
+
+def test_keep_columns_synth_and_predictions_sink(spark, scratch):
+    from shelfspark.functions import text as TX
+    from shelfspark.operators import evaluation as EV
+
+    df = spark.createDataFrame([("1", "T", "C", "x")], "`Uniq Id` string, `Product Name` string, Category string, z string")
+    assert SC.keep_columns(df).columns == ["Uniq Id", "Product Name", "Category"]
+    assert df.select(TX.synth_description("`Product Name`", "Category")).first()[0] == "T C"
+    pred = spark.createDataFrame([("q", ["g"], ["c1", "c2"], "a")], "question string, ground_truths array<string>, "
+                                                                  "contexts array<string>, answer string")
+    scored = EV.score(EV.harmonize(pred))
+    SC.write_predictions(scored, EV.summarize(scored), os.path.join(scratch, "run"))
+    back = spark.read.option("header", True).option("escape", "\"").csv(os.path.join(scratch, "run", "predictions"))
+    assert back.first()["contexts"] == '["c1","c2"]'
+    m = spark.read.json(os.path.join(scratch, "run", "metrics")).first()
+    assert m["n_questions"] == 1
