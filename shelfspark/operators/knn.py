@@ -40,9 +40,14 @@ TIE_DIGITS = 12
 # numpy kernel (runs inside tasks)
 
 def _as_matrix(vectors, dim: int | None = None) -> np.ndarray:
+    """Rows of equal width -> float64 matrix (pandas/Arrow arrays, no Python floats)."""
     if len(vectors) == 0:
         return np.zeros((0, dim or 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    values = vectors.to_numpy() if hasattr(vectors, "to_numpy") else vectors
+    m = np.vstack([np.asarray(v, dtype=np.float64) for v in values])
+    if dim is not None and m.shape[1] != dim:
+        raise ValueError(f"vector width {m.shape[1]} != {dim}")
+    return m
 
 
 def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarray,
@@ -161,10 +166,18 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
 
 def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> DataFrame:
     spark = q.sparkSession
-    # Bounded by the size check in knn_join; the only vectors that reach the driver.
-    rows = c.collect()
-    ids, e, e_sq, e_norm = _prepare_corpus([r["id"] for r in rows], [r["vec"] for r in rows])
-    dim = e.shape[1]
+    # Bounded by the size check in knn_join; the only vectors that reach the
+    # driver, moved as Arrow buffers (no per-float Python objects).
+    tbl = c.select("id", F.col("vec").cast("array<double>").alias("vec")).toArrow()
+    ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
+    vec = tbl.column("vec").combine_chunks()
+    widths = np.diff(vec.offsets.to_numpy())
+    if len(widths) and widths.min() != widths.max():
+        raise ValueError("ragged corpus vectors")
+    dim = int(widths[0]) if len(widths) else 0
+    e = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
+    e_sq = np.einsum("ij,ij->i", e, e)
+    e_norm = np.sqrt(e_sq)
     bc = spark.sparkContext.broadcast((ids, e, e_sq, e_norm))
 
     def run(batches):
@@ -172,9 +185,7 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> Da
         for pdf in batches:
             if pdf.empty:
                 continue
-            qm = _as_matrix(pdf["vec"].tolist(), dim)
-            if qm.shape[1] != dim:
-                raise ValueError(f"query width {qm.shape[1]} != corpus width {dim}")
+            qm = _as_matrix(pdf["vec"], dim)
             qids = pdf["qid"].to_numpy()
             out = list(_topk_block(qm, e_b, e_sq_b, e_norm_b, ids_b, k, space))
             if out:
@@ -199,8 +210,8 @@ def _knn_blocked(q: DataFrame, c: DataFrame, k: int, space: str, schema,
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"].tolist())
-        qm = _as_matrix(qpdf["vec"].tolist(), e.shape[1])
+        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"])
+        qm = _as_matrix(qpdf["vec"], e.shape[1])
         qids = qpdf["qid"].to_numpy()
         out = list(_topk_block(qm, e, e_sq, e_norm, ids, k, space))
         if not out:
@@ -359,8 +370,8 @@ def ivf_join(queries: DataFrame, index: dict, k: int, probe: int = 1, *, qid: st
         empty = pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
         if qpdf.empty or cpdf.empty:
             return empty
-        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"].tolist())
-        qm = _as_matrix(qpdf["vec"].tolist(), e.shape[1])
+        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"])
+        qm = _as_matrix(qpdf["vec"], e.shape[1])
         out = list(_topk_block(qm, e, e_sq, e_norm, ids, k, space))
         if not out:
             return empty
