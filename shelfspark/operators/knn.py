@@ -15,7 +15,9 @@ blocked    Both sides large: queries and corpus are cut into blocks of bounded
            rows; each (query block, corpus block) pair meets in one cogroup task
            that emits a local top-k; a ``row_number() <= k`` window (with Catalyst's
            partial ``WindowGroupLimit``) merges the per-block candidates.  Every
-           task holds at most one query block and one corpus block.
+           task holds at most one query block and one corpus block.  Exact search
+           is inherently queries x corpus work; beyond that, use ``ivf_join``,
+           which only compares a query with the cells it probes.
 """
 
 from __future__ import annotations
@@ -306,7 +308,12 @@ def ivf_build(corpus: DataFrame, cells: int, *, cid: str = "id", cvec: str = "ve
     base = corpus.select(F.col(cid).alias("id"), F.col(cvec).alias("vec")) \
                  .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
     feat = V.l2_normalize("vec") if space == "cosine" else F.transform("vec", lambda x: x.cast("double"))
-    train = base.withColumn("__features", array_to_vector(feat))
+    # k-means iterates over its input: materialise it once in the shared
+    # checkpoint folder so encoders upstream are not re-run every iteration.
+    from shelfspark.session import checkpoint_root
+
+    checkpoint_root(corpus.sparkSession)
+    train = base.withColumn("__features", array_to_vector(feat)).checkpoint(eager=True)
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="__features",
                    predictionCol="cell").fit(train)
     index = model.transform(train).select("id", "vec", F.col("cell").cast("int").alias("cell"))

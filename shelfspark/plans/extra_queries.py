@@ -24,17 +24,42 @@ def media_histogram(spark, sf):
                       big(F.size("vec")).alias("dim"))
 
 
-@register("answer_batch")
+def _answer_batch_sql() -> str:
+    a, rest = PL.EVAL_PROMPT.split("{context}")
+    b, c = rest.split("{question}")
+    sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    return f"""
+{SQL_SEARCH_TEXT},
+cat AS (SELECT CAST(row_number() OVER (ORDER BY __key) - 1 AS VARCHAR) AS id, coalesce(search_text, '') AS document,
+               string_split("Image", '|')[1] AS image_url FROM st),
+cv AS (SELECT k AS id, v FROM {S.hash_vectors('cat', 'id', 'document', DIM)}),
+qs AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user'),
+qv AS (SELECT k AS qid, v FROM {S.hash_vectors('qs', 'qid', 'question', DIM)}),
+hits AS ({S.topk('qv', 'cv', K_CHAT, 'cosine')}),
+blocks AS (SELECT h.qid, h.rank, c.document || CASE WHEN c.image_url IS NOT NULL
+                  THEN chr(10) || 'Image URL: ' || c.image_url ELSE '' END AS block
+           FROM hits h JOIN cat c ON h.id = c.id),
+ctx AS (SELECT qid, count(*) AS n, string_agg(block, {sep} ORDER BY rank) AS context FROM blocks GROUP BY qid)
+SELECT q.qid, coalesce(ctx.n, 0)::BIGINT AS n_contexts,
+       length(CASE WHEN coalesce(ctx.n, 0) = 0 THEN 'I don''t know.'
+                   ELSE {S.lit(a)} || ctx.context || {S.lit(b)} || coalesce(q.question, '') || {S.lit(c)} END)::BIGINT
+       AS answer_chars
+FROM qs q LEFT JOIN ctx ON q.qid = ctx.qid"""
+
+
+@register("answer_batch", _answer_batch_sql())
 def answer_batch(spark, sf):
     """PL4: user turns as questions against the catalog text collection."""
+    from shelfspark.session import scratch_path
+
     cat = PL.clean_catalog(PL.catalog_from_tables(spark, sf), F.col("`Uniq Id`").cast("bigint"))
-    coll = PL.text_collection(cat.withColumn("id", F.col("id")), "search_text", dim=DIM) \
-             .join(cat.select(F.col("id").cast("string").alias("id"), "image_url"), "id")
+    # PL2 then PL4: the collection is built and stored once, then searched.
+    coll = PL.build_collections(cat, scratch_path(spark, "collections"), dim=DIM)["text"]
     conv = t(spark, sf, "conversations").where(F.col("role") == "user")
     qs = EN.hash_encode(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
                                     F.col("text").alias("question")), "question", dim=DIM)
     ans = PL.answer_batch(qs, coll, K_CHAT, "cosine", dim=DIM)
-    return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), F.length("answer").alias("answer_chars"))
+    return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), big(F.length("answer")).alias("answer_chars"))
 
 
 _EVAL_SQL = f"""
@@ -111,3 +136,17 @@ def catalog_text_collection(spark, sf):
     coll = out["text"]
     return coll.select("id", big(F.size("embedding")).alias("dim"), r6(_digest("embedding")).alias("digest"),
                        "metadata.name", "metadata.image_url", "metadata.product_id")
+
+
+@register("tolerant_csv_counts", "SELECT count(*) AS n_good, 0::BIGINT AS n_corrupt FROM documents")
+def tolerant_csv_counts(spark, sf):
+    """S3: documents written as CSV (quotes, newlines, bars inside fields) to the
+    shared folder, read back with the tolerant reader; good and corrupt rows."""
+    from shelfspark.session import scratch_path
+
+    path = scratch_path(spark, "documents-csv")
+    (t(spark, sf, "documents").select("doc_id", "text", "lang")
+        .write.option("header", True).option("escape", '"').csv(path))
+    good, corrupt = SC.read_tolerant_csv(spark, path, ["doc_id", "text"])
+    return good.select(F.lit(1).alias("g")).unionByName(corrupt.select(F.lit(0).alias("g"))) \
+            .agg(F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_corrupt"))

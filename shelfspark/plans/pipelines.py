@@ -160,8 +160,13 @@ def answer_batch(questions: DataFrame, collection: DataFrame, k: int = CHAT_TOP_
                  model_factory=None, qvec: str = "vec", dim: int | None = None) -> DataFrame:
     """PL4: k-NN -> metadata lookup -> context blocks (F12) -> prompt -> answer."""
     hits = KN.knn_join(questions, collection, k, space, qvec=qvec, cvec="embedding", dim=dim)
-    meta = collection.select("id", "document", F.col("image_url") if "image_url" in collection.columns
-                             else F.lit(None).cast("string").alias("image_url"))
+    if "image_url" in collection.columns:
+        url = F.col("image_url")
+    elif "metadata" in collection.columns:
+        url = F.col("metadata.image_url").alias("image_url")
+    else:
+        url = F.lit(None).cast("string").alias("image_url")
+    meta = collection.select("id", "document", url)
     blocks = (KN.with_documents(hits, meta)
                 .withColumn("block", TX.context_block("document", "image_url")))
     ctx = EV.contexts_by_rank(blocks, "qid", "rank", "block")
