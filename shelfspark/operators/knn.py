@@ -11,6 +11,10 @@ broadcast  The corpus is small enough (rows x dim x 8 bytes <= ``broadcast_bytes
            checked with a count before anything is collected): it is shipped once
            as a numpy matrix and each query partition computes its own top-k with
            a matrix product (``mapInPandas``).  No shuffle at all.
+broadcast_queries
+           The query side is the small one (e.g. a few distinct questions against
+           a large corpus): queries are shipped, the corpus streams through
+           ``mapInPandas`` and per-partition top-k lists are merged by a window.
 blocked    Both sides large: queries and corpus are cut into blocks of bounded
            rows; each (query block, corpus block) pair meets in one cogroup task
            that emits a local top-k; a ``row_number() <= k`` window (with Catalyst's
@@ -143,9 +147,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
         raise ValueError("k must be positive")
     q, c = _normalise_inputs(queries, corpus, qid, qvec, cid, cvec)
     schema = _result_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
-    # Size check without computing the vectors: counting the unfiltered input
-    # prunes the vector column (an encoder UDF is not run); it bounds the rows
-    # that can reach the broadcast.  The width comes from one row.
+    # Size checks without computing the vectors: counting the unfiltered inputs
+    # prunes the vector columns (an encoder UDF is not run); the counts bound
+    # the rows that can reach a broadcast.  The width comes from one row.
     n_corpus = corpus.select(cid).count()
     if n_corpus == 0:
         return q.sparkSession.createDataFrame([], schema)
@@ -154,30 +158,71 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
         if first is None:
             return q.sparkSession.createDataFrame([], schema)
         dim = int(first["d"])
+    corpus_fits = n_corpus * dim * 8 <= broadcast_bytes
+    # The query count is only needed when the corpus cannot be broadcast.
+    n_queries = None if (strategy in ("auto", "broadcast") and corpus_fits) else queries.select(qid).count()
+    queries_fit = n_queries is not None and n_queries * dim * 8 <= broadcast_bytes
     if strategy == "auto":
-        strategy = "broadcast" if n_corpus * dim * 8 <= broadcast_bytes else "blocked"
+        # Corpus first: no merge shuffle.  Then the query side.  Then blocks.
+        strategy = "broadcast" if corpus_fits else ("broadcast_queries" if queries_fit else "blocked")
     if strategy == "broadcast":
-        if n_corpus * dim * 8 > broadcast_bytes:
+        if not corpus_fits:
             raise ValueError("corpus exceeds the broadcast bound; use strategy='blocked'")
         return _knn_broadcast(q, c, k, space, schema)
+    if strategy == "broadcast_queries":
+        if not queries_fit:
+            raise ValueError("queries exceed the broadcast bound; use strategy='blocked'")
+        return _knn_broadcast_queries(q, c, k, space, schema)
     if strategy == "blocked":
-        n_queries = q.count()
         return _knn_blocked(q, c, k, space, schema, n_queries, n_corpus, block_rows)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> DataFrame:
-    spark = q.sparkSession
-    # Bounded by the size check in knn_join; the only vectors that reach the
-    # driver, moved as Arrow buffers (no per-float Python objects).
-    tbl = c.select("id", F.col("vec").cast("array<double>").alias("vec")).toArrow()
-    ids = np.asarray(tbl.column("id").to_pylist(), dtype=object)
+def _collect_matrix(df: DataFrame, key: str):
+    """Arrow collect of a size-checked side: keys and a float64 matrix."""
+    tbl = df.select(key, F.col("vec").cast("array<double>").alias("vec")).toArrow()
+    keys = np.asarray(tbl.column(key).to_pylist(), dtype=object)
     vec = tbl.column("vec").combine_chunks()
     widths = np.diff(vec.offsets.to_numpy())
     if len(widths) and widths.min() != widths.max():
-        raise ValueError("ragged corpus vectors")
+        raise ValueError("ragged vectors")
     dim = int(widths[0]) if len(widths) else 0
-    e = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
+    m = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), dim)
+    return keys, m
+
+
+def _knn_broadcast_queries(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> DataFrame:
+    """Small query side: queries are broadcast, the corpus streams through
+    ``mapInPandas`` emitting each query's local top-k per partition, and a
+    ``row_number() <= k`` window merges them (partial limit before the shuffle)."""
+    spark = q.sparkSession
+    qids, qm = _collect_matrix(q, "qid")
+    bc = spark.sparkContext.broadcast((qids, qm))
+
+    def run(batches):
+        qids_b, qm_b = bc.value
+        for pdf in batches:
+            if pdf.empty or len(qids_b) == 0:
+                continue
+            ids, e, e_sq, e_norm = _prepare_corpus(pdf["id"].tolist(), pdf["vec"])
+            out = list(_topk_block(qm_b, e, e_sq, e_norm, ids, k, space))
+            if out:
+                idx, rank, hit, dist = zip(*out)
+                yield pd.DataFrame({"qid": qids_b[list(idx)], "rank": np.asarray(rank, dtype=np.int32),
+                                    "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
+
+    cand = c.mapInPandas(run, schema)
+    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))
+
+
+def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> DataFrame:
+    spark = q.sparkSession
+    # Bounded by the size check in knn_join; the only vectors that reach the
+    # driver, moved as Arrow buffers (no per-float Python objects).
+    ids, e = _collect_matrix(c, "id")
+    dim = e.shape[1]
     e_sq = np.einsum("ij,ij->i", e, e)
     e_norm = np.sqrt(e_sq)
     bc = spark.sparkContext.broadcast((ids, e, e_sq, e_norm))

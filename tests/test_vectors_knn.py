@@ -74,7 +74,8 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("space", ["l2", "cosine"])
-@pytest.mark.parametrize("strategy,block", [("broadcast", 4096), ("blocked", 7), ("blocked", 4096)])
+@pytest.mark.parametrize("strategy,block", [("broadcast", 4096), ("broadcast_queries", 4096), ("blocked", 7),
+                                            ("blocked", 4096), ("auto", 4096)])
 def test_knn_matches_brute_force(spark, space, strategy, block):
     rng = np.random.default_rng(7)
     cs = [(i, rng.normal(size=5).round(2).tolist()) for i in range(40)]
