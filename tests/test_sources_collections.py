@@ -57,8 +57,7 @@ def test_tolerant_csv_required_and_corrupt(spark, scratch):
 def test_product_records_and_json(spark, scratch):
     df = spark.createDataFrame([("  a  b ", "T", None, "img|x"), (None, "T2", "C", None)],
                                "id string, title string, cat string, image string")
-    rec = SC.product_records(df, None, "title", None, "cat", "image", pos_col=None) if False else \
-        SC.product_records(df.withColumn("pos", F.monotonically_increasing_id()), "id", "title", None, "cat", "image")
+    rec = SC.product_records(df, "id", "title", None, "cat", "image")
     rows = rec.collect()
     assert rows[0].id == "a b" and rows[0].Description == "T" and rows[0].image_url == "img|x"
     assert rows[1].Description == "T2 C" and rows[1].image_url is None
