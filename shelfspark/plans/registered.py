@@ -191,9 +191,12 @@ def embed_text(spark, sf):
     return j.select("p_partkey", TX.embed_text("p_name", "text", "p_type").alias("embed_text"))
 
 
-@register("token_sets", f"SELECT doc_id, list_sort({S.tokens('text')}) AS tokens FROM documents")
+@register("token_sets", f"SELECT doc_id, array_to_string(list_sort({S.tokens('text')}), ' ') AS tokens, "
+                        f"len({S.tokens('text')})::BIGINT AS n_tokens FROM documents")
 def token_sets(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.array_sort(TX.tokens("text")).alias("tokens"))
+    tok = TX.tokens("text")
+    return t(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(tok), " ").alias("tokens"),
+                                            big(F.size(tok)).alias("n_tokens"))
 
 
 # ---------------------------------------------------------------------------
@@ -457,14 +460,15 @@ def vector_dims(spark, sf):
 
 
 @register("l2_normalize", f"""
-SELECT vec_id, list_transform(CASE WHEN {S.norm('s')} > 0
-         THEN list_transform(s, lambda x: x::DOUBLE / {S.norm('s')}) ELSE {S.dvec('s')} END,
-         lambda x: round(x, 6)) AS normalized
-FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + label)) AS s FROM embeddings)""")
+SELECT vec_id, len(n)::BIGINT AS dim, round({S.weighted_digest('n')}, 6) AS digest, round({S.norm('n')}, 6) AS norm
+FROM (SELECT vec_id, CASE WHEN {S.norm('s')} > 0 THEN list_transform(s, lambda x: x::DOUBLE / {S.norm('s')})
+                          ELSE {S.dvec('s')} END AS n
+      FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + label)) AS s FROM embeddings))""")
 def l2_normalize(spark, sf):
     e = t(spark, sf, "embeddings")
     scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
-    return e.select("vec_id", V.round_vector(V.l2_normalize(scaled), 6).alias("normalized"))
+    n = V.l2_normalize(scaled)
+    return e.select("vec_id", big(F.size(n)).alias("dim"), r6(digest(n)).alias("digest"), r6(V.norm(n)).alias("norm"))
 
 
 @register("zero_fill", f"""
@@ -553,7 +557,7 @@ def _empty_profile_sql() -> str:
                          f"count_if({S.is_blank(f'CAST({c} AS VARCHAR)')}) AS n_empty, count(*) AS n_rows, "
                          f"true AS present FROM {table}")
         for c in missing:
-            parts.append(f"SELECT '{table}', '{c}', NULL::BIGINT, NULL::BIGINT, false")
+            parts.append(f"SELECT '{table}', '{c}', 0::BIGINT, 0::BIGINT, false")
     return " UNION ALL ".join(parts)
 
 
@@ -563,7 +567,8 @@ def empty_profile(spark, sf):
     p = PR.empty_profile(t(spark, sf, "pages"), ["url", "html"])
     return (d.withColumn("table_name", F.lit("documents"))
              .unionByName(p.withColumn("table_name", F.lit("pages")))
-             .select("table_name", "column_name", "n_empty", "n_rows", "present"))
+             .select("table_name", "column_name", F.coalesce("n_empty", F.lit(0)).alias("n_empty"),
+                     F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "present"))
 
 
 @register("vector_length_hist", f"""
@@ -765,13 +770,14 @@ WITH {_PAIRS_SQL}
 SELECT conv_id, turn,
        CASE WHEN reply IS NOT NULL AND reply <> '' THEN reply ELSE '' END AS reference,
        CASE WHEN reply IS NOT NULL AND reply <> '' THEN 1 ELSE 0 END::BIGINT AS n_truths,
-       [coalesce(question, 'None')] AS contexts
+       coalesce(question, 'None') AS contexts
 FROM pairs WHERE role = 'user'""")
 def harmonize_eval(spark, sf):
     p = _pairs(spark, sf).select("conv_id", "turn", F.col("reply").alias("ground_truths"),
                                  F.array("question").alias("contexts"))
     h = EV.harmonize(p)
-    return h.select("conv_id", "turn", "reference", big(F.size("ground_truths")).alias("n_truths"), "contexts")
+    return h.select("conv_id", "turn", "reference", big(F.size("ground_truths")).alias("n_truths"),
+                    F.array_join("contexts", "\n").alias("contexts"))
 
 
 @register("f1_lex", f"""
@@ -918,9 +924,14 @@ def render_prompt(spark, sf):
 WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 10 MINUTE THEN 1 ELSE 0 END)
           OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM o)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*) AS n_events
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
+       strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n_events
 FROM s GROUP BY user_id, sid""")
 def session_counts(spark, sf):
     from shelfspark.streaming.incremental import sessions_batch
 
-    return sessions_batch(t(spark, sf, "events"))
+    fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    s = sessions_batch(t(spark, sf, "events"))
+    # Times as ISO text with microseconds: identical rendering in both engines.
+    return s.select("user_id", F.date_format("session_start", fmt).alias("session_start"),
+                    F.date_format("session_end", fmt).alias("session_end"), "n_events")
