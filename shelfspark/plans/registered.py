@@ -320,8 +320,10 @@ def answer_guard(spark, sf):
     e = t(spark, sf, "embeddings")
     hits = KN.knn_join(e, e, K_CHAT, "cosine", qid="vec_id", qvec="embedding", cid="vec_id", cvec="embedding")
     hits = hits.where((F.col("distance") < GUARD_RADIUS) & (F.col("id") != F.col("qid")))
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ctx = EV.contexts_by_rank(KN.with_documents(hits, docs), "qid", "rank", "text")
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    # A hit without a stored document contributes an empty context.
+    named = KN.with_documents(hits, docs).withColumn("text", F.coalesce("text", F.lit("")))
+    ctx = EV.contexts_by_rank(named, "qid", "rank", "text")
     q = e.select(F.col("vec_id").alias("qid")).join(ctx, "qid", "left")
     q = q.withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     ans = EN.generate(q, F.get(F.col("contexts"), 0), "contexts", EN.echo_model())
@@ -810,7 +812,8 @@ def _bench_contexts(spark, sf) -> DataFrame:
     docs = t(spark, sf, "documents").select("doc_id", "text")
     dv = EN.hash_encode(docs, "text", dim=DIM)
     hits = KN.knn_join(b, dv, K_CHAT, "cosine", qid="item_id", qvec="vec", cid="doc_id", cvec="vec", dim=DIM)
-    named = KN.with_documents(hits, docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t")))
+    named = KN.with_documents(hits, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))) \
+              .withColumn("t", F.coalesce("t", F.lit("")))
     ctx = EV.contexts_by_rank(named, "qid", "rank", "t")
     return ctx.select("qid", F.array_join("contexts", " ").alias("ctx_text"))
 
