@@ -4,8 +4,8 @@ Tables carry no order, so every operator takes an explicit ``order_by`` key that
 must be a total order (unique).  Nothing here sends a whole table, or a whole
 hot group, through one task:
 
-* ``dense_id`` range-partitions by the order key and adds per-partition offsets
-  (a table with one row per partition, broadcast).
+* ``dense_id`` buckets rows by sampled key bounds (literals in the plan), numbers
+  rows within a bucket and adds per-bucket offsets (one row per bucket, broadcast).
 * ``running_sum`` is a segmented prefix sum: a window per (group, chunk of the
   integral order key) plus a prefix over chunk totals, so a group holding a third
   of the table is spread over many tasks.
@@ -25,7 +25,6 @@ GENERATED_ID_PREFIX = "generated_id_"
 DUPLICATE_SUFFIX_SEPARATOR = "__"
 
 DEFAULT_CHUNK = 1 << 20
-_LOW_BITS = (1 << 33) - 1
 
 
 def _cols(cols) -> list[Column]:
@@ -39,25 +38,64 @@ def _num_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | None = None) -> DataFrame:
+def _bucket_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Binary search over sorted bound literals: the number of bounds <= key."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key < bounds[mid], _bucket_expr(key, bounds, lo, mid)) \
+            .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
+
+
+def _literal(value, dtype) -> Column:
+    from pyspark.sql import types as T
+
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_literal(value[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
+    return F.lit(value).cast(dtype)
+
+
+def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | None = None,
+             sample_per_bucket: int = 20, seed: int = 17) -> DataFrame:
     """0-based dense position in ``order_by`` order, without a global window.
 
-    The range exchange has an explicit partition count, so AQE never coalesces it
-    and both consumers (the counts and the rows) read the same reused exchange.
+    Bucket bounds come from a bounded sample of the keys (at most about
+    ``num_partitions * sample_per_bucket`` keys reach the driver), sorted by
+    Spark and inlined as literals; a binary CASE tree puts each row in its
+    bucket.  Counts per bucket (one row per bucket, broadcast) give offsets and
+    ``row_number`` within a bucket gives the rest.  The ids depend only on key
+    values, never on partitioning or arrival order, so every consumer and any
+    recomputation after a lost executor see the same ids.  ``order_by`` must be
+    unique.
     """
     n = num_partitions or _num_partitions(df)
     order = _cols(order_by)
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("__pid", F.spark_partition_id())
-                .withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    # offsets has one row per partition: a proven bound for the broadcast.
-    return (ranged.join(F.broadcast(offsets), "__pid")
-                  .withColumn(out, (F.col("__off") + F.col("__row")).cast("bigint"))
-                  .drop("__pid", "__row", "__off"))
+    single = len(order) == 1
+    keyed = df.withColumn("__key", order[0] if single else F.struct(*order))
+    bounds: list = []
+    if n > 1:
+        total = keyed.select("__key").count()
+        if total > 0:
+            frac = min(1.0, 1.2 * n * sample_per_bucket / total)
+            sample = (keyed.select("__key").where(F.col("__key").isNotNull())
+                           .sample(False, frac, seed).orderBy("__key").collect())
+            dtype = keyed.schema["__key"].dataType
+            picks = [sample[(i * len(sample)) // n]["__key"] for i in range(1, n)] if sample else []
+            uniq: list = []
+            for v in picks:
+                if not uniq or v != uniq[-1]:
+                    uniq.append(v)
+            bounds = [_literal(v, dtype) for v in uniq]
+    bucketed = keyed.withColumn("__bucket", _bucket_expr(F.col("__key"), bounds, 0, len(bounds)))
+    counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    within = Window.partitionBy("__bucket").orderBy(*order)
+    # offsets has one row per bucket: a proven bound for the broadcast.
+    return (bucketed.withColumn("__rn", F.row_number().over(within))
+                    .join(F.broadcast(offsets), "__bucket")
+                    .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
+                    .drop("__key", "__bucket", "__rn", "__off"))
 
 
 def running_sum(df: DataFrame, group_by, order_col: str, value: Column, out: str,

@@ -27,12 +27,13 @@ def collapse(x: str) -> str:
 
 
 def unescape(x: str) -> str:
-    # The driver tables only hold these entities; '&amp;' last keeps one-pass semantics.
+    # The driver tables only hold these entities (legacy names also decode
+    # without the semicolon); '&amp' last keeps one-pass semantics.
     out = f"coalesce({x}, '')"
-    for ent, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&#39;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{ent}', '{ch}')"
-    return out
+    for name, ch in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">")):
+        out = f"regexp_replace({out}, '&{name};?', '{ch}', 'g')"
+    out = "replace(" + out + ", '&#39;', '''')"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
 
 
 def clean_text(x: str) -> str:
