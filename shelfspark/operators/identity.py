@@ -68,34 +68,41 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
     recomputation after a lost executor see the same ids.  ``order_by`` must be
     unique.
     """
+    from pyspark.sql import types as T
+
     n = num_partitions or _num_partitions(df)
     order = _cols(order_by)
     single = len(order) == 1
     keyed = df.withColumn("__key", order[0] if single else F.struct(*order))
-    bounds: list = []
-    if n > 1:
+    dtype = keyed.schema["__key"].dataType
+    picks: list = []
+    if n > 1 and single and isinstance(dtype, T.NumericType):
+        # One pass, bounded memory: Spark's approximate quantiles of the key.
+        probs = [i / n for i in range(1, n)]
+        picks = keyed.approxQuantile("__key", probs, 1.0 / (10 * n))
+    elif n > 1:
         total = keyed.select("__key").count()
         if total > 0:
             frac = min(1.0, 1.2 * n * sample_per_bucket / total)
             sample = (keyed.select("__key").where(F.col("__key").isNotNull())
                            .sample(False, frac, seed).orderBy("__key").collect())
-            dtype = keyed.schema["__key"].dataType
             picks = [sample[(i * len(sample)) // n]["__key"] for i in range(1, n)] if sample else []
-            uniq: list = []
-            for v in picks:
-                if not uniq or v != uniq[-1]:
-                    uniq.append(v)
-            bounds = [_literal(v, dtype) for v in uniq]
+    uniq: list = []
+    for v in picks:
+        if not uniq or v != uniq[-1]:
+            uniq.append(v)
+    bounds = [_literal(v, dtype) for v in uniq]
     bucketed = keyed.withColumn("__bucket", _bucket_expr(F.col("__key"), bounds, 0, len(bounds)))
-    counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    within = Window.partitionBy("__bucket").orderBy(*order)
+    ranked = bucketed.withColumn("__rn", F.row_number().over(within))
+    # Bucket sizes read off the window output: same clustering, same exchange.
+    counts = ranked.groupBy("__bucket").agg(F.max("__rn").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    within = Window.partitionBy("__bucket").orderBy(*order)
     # offsets has one row per bucket: a proven bound for the broadcast.
-    return (bucketed.withColumn("__rn", F.row_number().over(within))
-                    .join(F.broadcast(offsets), "__bucket")
-                    .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
-                    .drop("__key", "__bucket", "__rn", "__off"))
+    return (ranked.join(F.broadcast(offsets), "__bucket")
+                  .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
+                  .drop("__key", "__bucket", "__rn", "__off"))
 
 
 def running_sum(df: DataFrame, group_by, order_col: str, value: Column, out: str,
