@@ -39,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
@@ -63,3 +64,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shelfspark`` importable on executors (the ``--py-files`` route).
+
+    Pandas UDFs and ``mapInPandas`` functions reference this package, so the
+    executors' Python workers must import it.  The package is zipped once per
+    SparkContext and added with ``addPyFile``; Spark distributes it.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfspark_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="shelfspark-pyfiles-")
+    zpath = os.path.join(out_dir, "shelfspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    sc._shelfspark_shipped = True
