@@ -3,7 +3,7 @@
 Everything except HTML entity decoding is a built-in Spark expression, so it
 stays inside whole-stage code generation.  Entity decoding needs the full
 HTML5 entity table (2,000+ names), which Spark lacks, so it is one Arrow-batched
-``pandas_udf`` that only touches values that contain ``&``.
+``pandas_udf`` that only receives values that contain ``&``.
 
 Unicode note: Python's ``\\s``/``\\w``/``strip`` are Unicode-aware while the JVM
 shorthand classes are not, so the explicit classes below are used everywhere.
@@ -45,17 +45,18 @@ def _col(c) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _html_unescape(s: pd.Series) -> pd.Series:
-    s = s.fillna("")
-    mask = s.str.contains("&", regex=False)
-    if mask.any():
-        s = s.copy()
-        s[mask] = s[mask].map(html.unescape)
-    return s
+    return s.map(lambda v: html.unescape(v) if isinstance(v, str) else None)
 
 
 def html_unescape(c) -> Column:
-    """HTML entity decoding (null -> '')."""
-    return _html_unescape(_col(c))
+    """HTML entity decoding (null -> '').
+
+    Only values that contain ``&`` are sent to Python; the others travel to the
+    UDF as nulls (a null bit in the Arrow batch) and are taken back unchanged.
+    """
+    c = _col(c)
+    decoded = _html_unescape(F.when(F.instr(c, "&") > 0, c))
+    return F.coalesce(decoded, c, F.lit(""))
 
 
 def strip_ws(c) -> Column:
