@@ -56,54 +56,86 @@ def _as_matrix(vectors, dim: int | None = None) -> np.ndarray:
     return m
 
 
+def _exact_row(qv: np.ndarray, cand: np.ndarray, e: np.ndarray, e_norm: np.ndarray, space: str) -> np.ndarray:
+    ev = e[cand]
+    if space == "l2":
+        diff = ev - qv[None, :]
+        return np.einsum("ij,ij->i", diff, diff)
+    qn = math.sqrt(float(qv @ qv))
+    den = qn * e_norm[cand]
+    dots = ev @ qv
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(den > 0, 1.0 - dots / np.where(den > 0, den, 1.0), 1.0)
+
+
 def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarray,
                 ids: np.ndarray, k: int, space: str):
-    """Exact top-k of every row of ``q`` against ``e``.
-
-    A fast matrix form selects candidates (every row within a small tolerance
-    of the k-th value, so ties and rounding cannot drop a true neighbour); the
-    candidates are then re-scored with the direct formula and sorted by
-    (distance, id).  Yields (query_index, rank, id, distance).
+    """Exact top-k of every row of ``q`` against ``e``; yields (query_index, rank, id, distance).
+
+    Per tile of queries: the matrix form ranks all corpus rows, ``argpartition``
+    keeps ``k + 8`` candidates per query, the candidates are re-scored with the
+    direct formula and ordered by (distance rounded to ``TIE_DIGITS``, id) with
+    one ``lexsort``.  A query whose k-th distance is not clearly below every
+    non-candidate (ties or rounding near the cut) is redone on its own with all
+    rows within tolerance of the k-th value, so results are exact.
     """
-    n = e.shape[0]
+    n, dim = e.shape
     if n == 0 or q.shape[0] == 0:
         return
     kk = min(k, n)
-    step = max(1, _TILE_ELEMS // max(n, 1))
+    pad = min(n, kk + 8)
+    id_rank = np.empty(n, dtype=np.int64)
+    id_rank[np.asarray(sorted(range(n), key=lambda i: ids[i]), dtype=np.int64)] = np.arange(n)
+    step = max(1, min(_TILE_ELEMS // n, _TILE_ELEMS // (pad * max(dim, 1))))
+    e_sq_max = float(e_sq.max())
     for start in range(0, q.shape[0], step):
         qs = q[start:start + step]
+        m = qs.shape[0]
         prod = qs @ e.T
+        q_sq = np.einsum("ij,ij->i", qs, qs)
         if space == "l2":
-            q_sq = np.einsum("ij,ij->i", qs, qs)
             approx = np.maximum(q_sq[:, None] - 2.0 * prod + e_sq[None, :], 0.0)
-            scale = q_sq[:, None] + e_sq[None, :] + 1.0
+            tol = 1e-9 * (q_sq + e_sq_max + 1.0)
         else:
-            q_norm = np.sqrt(np.einsum("ij,ij->i", qs, qs))
+            q_norm = np.sqrt(q_sq)
             denom = q_norm[:, None] * e_norm[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
                 approx = np.where(denom > 0, 1.0 - prod / np.where(denom > 0, denom, 1.0), 1.0)
-            scale = np.full_like(approx, 2.0)
-        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-        tol = 1e-9 * scale.max(axis=1)
-        for r in range(qs.shape[0]):
-            cand = np.nonzero(approx[r] <= kth[r] + tol[r])[0]
-            qv = qs[r]
-            ev = e[cand]
-            if space == "l2":
-                diff = ev - qv[None, :]
-                exact = np.einsum("ij,ij->i", diff, diff)
-            else:
-                qn = math.sqrt(float(qv @ qv))
-                en = e_norm[cand]
-                dots = ev @ qv
-                exact = np.array([1.0 if (qn == 0 or en[i] == 0) else 1.0 - dots[i] / (qn * en[i])
-                                  for i in range(len(cand))], dtype=np.float64)
-            # Distances equal to TIE_DIGITS decimals are ties broken by id, so
-            # summation-order noise cannot reorder results between engines.
-            order = sorted(range(len(cand)), key=lambda i: (round(float(exact[i]), TIE_DIGITS) + 0.0,
-                                                            ids[cand[i]]))[:kk]
-            for rank, i in enumerate(order, start=1):
-                yield start + r, rank, ids[cand[i]], float(exact[i])
+            tol = np.full(m, 2e-9)
+        if pad < n:
+            part = np.argpartition(approx, pad - 1, axis=1)[:, :pad]
+            bound = np.take_along_axis(approx, part, 1).max(axis=1)
+        else:
+            part = np.broadcast_to(np.arange(n), (m, n)).copy()
+            bound = np.full(m, np.inf)
+        ev = e[part]
+        if space == "l2":
+            diff = ev - qs[:, None, :]
+            exact = np.einsum("mpd,mpd->mp", diff, diff)
+        else:
+            dots = np.einsum("mpd,md->mp", ev, qs)
+            den = q_norm[:, None] * e_norm[part]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                exact = np.where(den > 0, 1.0 - dots / np.where(den > 0, den, 1.0), 1.0)
+        # Distances equal to TIE_DIGITS decimals are ties broken by id, so
+        # summation-order noise cannot reorder results between engines.
+        key = np.round(exact, TIE_DIGITS) + 0.0
+        order = np.lexsort((id_rank[part], key), axis=1)[:, :kk]
+        top = np.take_along_axis(part, order, 1)
+        top_d = np.take_along_axis(exact, order, 1)
+        safe = np.take_along_axis(key, order, 1)[:, -1] + 2 * tol < bound
+        for r in range(m):
+            if safe[r]:
+                for j in range(kk):
+                    yield start + r, j + 1, ids[top[r, j]], float(top_d[r, j])
+                continue
+            kth = np.partition(approx[r], kk - 1)[kk - 1]
+            cand = np.nonzero(approx[r] <= kth + 2 * tol[r])[0]
+            ex = _exact_row(qs[r], cand, e, e_norm, space)
+            ex_key = np.round(ex, TIE_DIGITS) + 0.0
+            rows = np.lexsort((id_rank[cand], ex_key))[:kk]
+            for j, i in enumerate(rows, start=1):
+                yield start + r, j, ids[cand[i]], float(ex[i])
 
 
 def _prepare_corpus(ids, vecs):

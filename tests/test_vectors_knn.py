@@ -128,3 +128,15 @@ def test_ivf_recall_and_full_probe(spark):
     want = {(q, i) for q, _, i, _ in exact}
     got = {(r.qid, r.id) for r in approx.collect()}
     assert len(got & want) / len(want) >= 0.8
+
+
+@pytest.mark.parametrize("space", ["l2", "cosine"])
+def test_knn_many_exact_ties_use_id_order(spark, space):
+    # More tied rows than the kernel's candidate pad: the fallback must order by id.
+    same = [1.0, 2.0, 3.0]
+    cs = [(i, list(same)) for i in range(40, 10, -1)] + [(100 + i, [float(i), -1.0, 0.5]) for i in range(10)]
+    cdf = spark.createDataFrame(cs, "id long, vec array<double>")
+    qdf = spark.createDataFrame([(1, list(same)), (2, [0.0, 0.0, 0.0])], "qid long, vec array<double>")
+    got = _rows(KN.knn_join(qdf, cdf, 5, space))
+    assert got == brute([(1, same), (2, [0.0, 0.0, 0.0])], cs, 5, space)
+    assert [r[2] for r in got if r[0] == 1] == [11, 12, 13, 14, 15]
