@@ -204,3 +204,15 @@ def evaluate(pairs: DataFrame, collection: DataFrame, k: int = EVAL_TOP_K, space
     pred = pred.withColumn("first_context", F.get(F.col("contexts"), 0))
     answered = EN.generate(pred, "first_context", "contexts", model_factory or EN.echo_model())
     return EV.score(EV.harmonize(answered))
+
+
+def report(scored: DataFrame, path: str, worst_n: int = 5, key: str = "question") -> dict:
+    """Write the per-row predictions, the ``worst_n`` rows by ``f1_lex``
+    and the one-row summary under ``path``; returns the three DataFrames."""
+    summary = EV.summarize(scored)
+    worst_rows = EV.worst(scored, worst_n, key)
+    SC.write_predictions(scored, summary, path)
+    worst_rows.select([F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct")
+                       else F.col(f.name) for f in worst_rows.schema.fields]) \
+              .coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/worst")
+    return {"predictions": scored, "worst": worst_rows, "summary": summary}

@@ -142,3 +142,16 @@ def test_keep_columns_synth_and_predictions_sink(spark, scratch):
     assert back.first()["contexts"] == '["c1","c2"]'
     m = spark.read.json(os.path.join(scratch, "run", "metrics")).first()
     assert m["n_questions"] == 1
+
+
+def test_report_writes_three_outputs(spark, scratch):
+    from shelfspark.operators import evaluation as EV
+    from shelfspark.plans import pipelines as PL
+
+    pred = spark.createDataFrame([(f"q{i}", ["a b c"], ["a b"], "a" if i % 2 else "z") for i in range(8)],
+                                 "question string, ground_truths array<string>, contexts array<string>, answer string")
+    out = PL.report(EV.score(EV.harmonize(pred)), os.path.join(scratch, "rep"), worst_n=3)
+    assert out["worst"].count() == 3
+    worst = spark.read.option("header", True).csv(os.path.join(scratch, "rep", "worst"))
+    assert worst.count() == 3 and {r.answer for r in worst.collect()} == {"z"}
+    assert spark.read.json(os.path.join(scratch, "rep", "metrics")).first()["n_questions"] == 8
