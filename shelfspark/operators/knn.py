@@ -356,16 +356,14 @@ def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus:
                          k: int, space: str = "cosine", **kw) -> DataFrame:
     """Search each distinct question text once and join the hits back.
 
-    ``encode_fn(df, text_col) -> df`` adds a ``vec`` column.
+    ``encode_fn(df, text_col) -> df`` adds a ``vec`` column.  The question text
+    itself is the query key (no id assignment, no collisions); hits are joined
+    back to every row that asked it.
     """
-    from shelfspark.operators.identity import dense_id
-
-    keyed = dense_id(questions.select(text_col).distinct(), text_col, out="qid")
-    vecs = encode_fn(keyed, text_col)
-    hits = knn_join(vecs.select("qid", "vec"), corpus, k, space, **kw)
-    return (questions.join(keyed, text_col)
-                     .join(hits, "qid")
-                     .drop("qid"))
+    distinct_q = questions.select(text_col).distinct()
+    vecs = encode_fn(distinct_q, text_col)
+    hits = knn_join(vecs.select(F.col(text_col).alias("__q"), "vec"), corpus, k, space, qid="__q", **kw)
+    return questions.join(hits.withColumnRenamed("qid", text_col), text_col)
 
 
 # ---------------------------------------------------------------------------
