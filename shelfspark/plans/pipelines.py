@@ -78,9 +78,6 @@ def clean_catalog(raw: DataFrame, order_by) -> DataFrame:
 
     Only ``search_text`` uses cleaned text; ``name`` is the raw title.
     """
-    # Dense ids first: the range exchange then moves raw rows, and its sampling
-    # pass never runs the cleaning expressions.
-    raw = ID.dense_id(raw, order_by, out="id")
     cols = set(raw.columns)
 
     def cleaned(c, fn=TX.clean_text):
@@ -96,7 +93,10 @@ def clean_catalog(raw: DataFrame, order_by) -> DataFrame:
         "product_id": F.col("`Uniq Id`"),
         "name": F.col("`Product Name`"),
     })
-    return out
+    # Cleaning runs on the scan partitions (full parallelism); the id pass then
+    # moves finished rows.  Its bounds job reads only the key, so column pruning
+    # keeps the cleaning expressions out of it.
+    return ID.dense_id(out, order_by, out="id")
 
 
 def text_collection(products: DataFrame, text_col: str, dim: int = 64) -> DataFrame:
