@@ -62,7 +62,7 @@ def answer_batch(spark, sf):
     return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), big(F.length("answer")).alias("answer_chars"))
 
 
-_EVAL_SQL = f"""
+_EVAL_BASE = f"""
 WITH {_CATALOG_SQL}, {_RECORDS_SQL},
 capped AS (SELECT * FROM records ORDER BY __key LIMIT {PL.EVAL_CAP}),
 sampled AS (SELECT *, row_number() OVER (ORDER BY md5('{PL.EVAL_SAMPLE_SEED}:' || CAST(__key AS VARCHAR)), __key) - 1
@@ -77,13 +77,15 @@ qv AS (SELECT k AS qid, v FROM {S.hash_vectors('qs', 'question', 'question', DIM
 hits AS ({S.topk('qv', 'cv', PL.EVAL_TOP_K, 'l2')}),
 ctx AS (SELECT h.qid AS question, list(c.document ORDER BY h.rank) AS contexts
         FROM hits h JOIN coll c ON h.id = c.id GROUP BY h.qid),
-pred AS (SELECT kp.ground_truth AS reference, coalesce(ctx.contexts, []) AS contexts
+pred AS (SELECT kp.pid, kp.q_index, kp.question, kp.ground_truth AS reference, coalesce(ctx.contexts, []) AS contexts
          FROM kept kp LEFT JOIN ctx ON kp.question = ctx.question),
 ans AS (SELECT *, CASE WHEN len(contexts) = 0 THEN 'I don''t know.' ELSE contexts[1] END AS answer FROM pred),
-sc AS (SELECT {S.f1(S.tokens('reference'), S.tokens('answer'))} AS answer_f1,
+sc AS (SELECT pid, q_index, question, {S.f1(S.tokens('reference'), S.tokens('answer'))} AS answer_f1,
               {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('reference'))} AS context_recall,
               {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('answer'))} AS context_precision,
-              contexts FROM ans)
+              contexts FROM ans)"""
+
+_EVAL_SQL = _EVAL_BASE + """
 SELECT round(coalesce(avg(answer_f1), 0.0), 6) AS answer_f1, round(coalesce(avg(context_recall), 0.0), 6) AS context_recall,
        round(coalesce(avg(context_precision), 0.0), 6) AS context_precision, count(*) AS n_questions,
        count_if(len(contexts) = 0) AS n_no_context
@@ -150,3 +152,24 @@ def tolerant_csv_counts(spark, sf):
     good, corrupt = SC.read_tolerant_csv(spark, path, ["doc_id", "text"])
     return good.select(F.lit(1).alias("g")).unionByName(corrupt.select(F.lit(0).alias("g"))) \
             .agg(F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_corrupt"))
+
+
+_PRED_SQL = _EVAL_BASE + """
+SELECT pid, q_index::BIGINT AS q_index, question, round(answer_f1, 6) AS answer_f1,
+       round(context_recall, 6) AS context_recall, round(context_precision, 6) AS context_precision,
+       len(contexts)::BIGINT AS n_contexts
+FROM sc"""
+
+
+@register("eval_predictions", _PRED_SQL)
+def eval_predictions(spark, sf):
+    """E3/E4/E5-E7 per evaluation pair (the table behind ``eval_summary``)."""
+    records = _records(spark, sf)
+    pairs = PL.evaluation_pairs(records, "__key")
+    coll = PL.text_collection(records.withColumn("text", F.concat_ws(" || ", "Title", "Description", "Category")),
+                              "text", dim=DIM)
+    scored = PL.evaluate(pairs, coll, PL.EVAL_TOP_K, "l2", dim=DIM)
+    return scored.select("pid", "q_index", "question", r6("answer_f1").alias("answer_f1"),
+                         r6("context_recall").alias("context_recall"),
+                         r6("context_precision").alias("context_precision"),
+                         big(F.size("contexts")).alias("n_contexts"))

@@ -55,3 +55,15 @@ def test_keep_first(spark):
     df = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (5, None), (4, None)], "pos long, id string")
     out = sorted((r.id or "", r.pos) for r in ID.keep_first(df, "id", "pos").collect())
     assert out == [("", 4), ("x", 1), ("y", 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 5, 32])
+def test_dense_id_string_and_composite_keys(spark, parts):
+    words = [f"w{(i * 37) % 211:03d}é" for i in range(211)]
+    df = spark.createDataFrame([(w,) for w in words], "k string").repartition(3)
+    got = {r.k: r.pos for r in ID.dense_id(df, "k", num_partitions=parts).collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words))}
+    rows = [(i % 4, (i * 7) % 50, i) for i in range(200)]
+    cdf = spark.createDataFrame(rows, "a int, b int, c long")
+    got2 = {(r.a, r.b, r.c): r.pos for r in ID.dense_id(cdf, ["a", "b", "c"], num_partitions=parts).collect()}
+    assert got2 == {t: i for i, t in enumerate(sorted(rows))}
