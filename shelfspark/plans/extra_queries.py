@@ -1,5 +1,5 @@
-"""Registered queries checked by rows (Python stand-in models, media files,
-approximate search) plus the end-to-end evaluation summary."""
+"""Registered queries for the media, collection, answer and evaluation pipelines
+(PL2, PL4, PL5, S3, S14, J4); all but the media and IVF queries have oracles."""
 
 from __future__ import annotations
 
@@ -33,7 +33,8 @@ def _answer_batch_sql() -> str:
 cat AS (SELECT CAST(row_number() OVER (ORDER BY __key) - 1 AS VARCHAR) AS id, coalesce(search_text, '') AS document,
                string_split("Image", '|')[1] AS image_url FROM st),
 cv AS (SELECT k AS id, v FROM {S.hash_vectors('cat', 'id', 'document', DIM)}),
-qs AS (SELECT conv_id * 1000 + turn AS qid, text AS question FROM conversations WHERE role = 'user'),
+qs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, text AS question
+       FROM conversations WHERE role = 'user'),
 qv AS (SELECT k AS qid, v FROM {S.hash_vectors('qs', 'qid', 'question', DIM)}),
 hits AS ({S.topk('qv', 'cv', K_CHAT, 'cosine')}),
 blocks AS (SELECT h.qid, h.rank, c.document || CASE WHEN c.image_url IS NOT NULL
@@ -56,8 +57,9 @@ def answer_batch(spark, sf):
     # PL2 then PL4: the collection is built and stored once, then searched.
     coll = PL.build_collections(cat, scratch_path(spark, "collections"), dim=DIM)["text"]
     conv = t(spark, sf, "conversations").where(F.col("role") == "user")
-    qs = EN.hash_encode(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
-                                    F.col("text").alias("question")), "question", dim=DIM)
+    # (conversation, turn) as an exact text key: no arithmetic packing that could collide.
+    qid = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    qs = EN.hash_encode(conv.select(qid.alias("qid"), F.col("text").alias("question")), "question", dim=DIM)
     ans = PL.answer_batch(qs, coll, K_CHAT, "cosine", dim=DIM)
     return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), big(F.length("answer")).alias("answer_chars"))
 
