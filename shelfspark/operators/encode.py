@@ -56,6 +56,25 @@ def encode(df: DataFrame, col: str, fn_factory, dim: int | None = None, batch_si
     return res
 
 
+def encode_predict_batch(df: DataFrame, col: str, make_predict_fn, dim: int, batch_size: int = 32,
+                         out: str = "vec") -> DataFrame:
+    """B1 through Spark ML's ``predict_batch_udf``.
+
+    ``make_predict_fn()`` returns ``predict(inputs: np.ndarray) -> np.ndarray``
+    of shape (batch, dim); Spark caches the model per Python worker and feeds
+    fixed-size batches.  Use this for numpy-in/numpy-out models; ``encode`` for
+    list-valued inputs.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql import types as T
+
+    udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=None)
+    res = df.withColumn(out, udf(F.col(col)))
+    return res.withColumn(out, F.when(F.col(out).isNull() | (F.size(out) == dim), F.col(out))
+                          .otherwise(F.raise_error(F.lit(f"encoder output width is not {dim}"))))
+
+
 # ---------------------------------------------------------------------------
 # Stand-in encoder: feature hashing of the token set.
 #
