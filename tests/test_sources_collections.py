@@ -155,3 +155,11 @@ def test_report_writes_three_outputs(spark, scratch):
     worst = spark.read.option("header", True).csv(os.path.join(scratch, "rep", "worst"))
     assert worst.count() == 3 and {r.answer for r in worst.collect()} == {"z"}
     assert spark.read.json(os.path.join(scratch, "rep", "metrics")).first()["n_questions"] == 8
+
+
+def test_product_records_position_fallback(spark):
+    df = spark.createDataFrame([(7, "T", "C"), (8, "U", None)], "pos long, title string, cat string")
+    rows = {r.id: r for r in SC.product_records(df, None, "title", None, "cat", None, pos_col="pos").collect()}
+    assert set(rows) == {"7", "8"}
+    assert rows["7"].Description == "T C" and rows["8"].Description == "U" and rows["8"].Category == ""
+    assert rows["7"].image_url is None
