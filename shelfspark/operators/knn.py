@@ -353,7 +353,7 @@ def with_documents(hits: DataFrame, collection: DataFrame, id_col: str = "id") -
 
 
 def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus: DataFrame,
-                         k: int, space: str = "cosine", **kw) -> DataFrame:
+                         k: int, space: str = "cosine", max_broadcast_hits: int = 1_000_000, **kw) -> DataFrame:
     """Search each distinct question text once and join the hits back.
 
     ``encode_fn(df, text_col) -> df`` adds a ``vec`` column.  The question text
@@ -363,7 +363,14 @@ def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus:
     distinct_q = questions.select(text_col).distinct()
     vecs = encode_fn(distinct_q, text_col)
     hits = knn_join(vecs.select(F.col(text_col).alias("__q"), "vec"), corpus, k, space, qid="__q", **kw)
-    return questions.join(hits.withColumnRenamed("qid", text_col), text_col)
+    hits = hits.withColumnRenamed("qid", text_col)
+    # Few distinct questions means very hot join keys on the question table:
+    # broadcast the hits (distinct x k rows, counted first) so that table is
+    # never shuffled by question.  Beyond the bound, a shuffle join (AQE splits
+    # skewed partitions).
+    if distinct_q.count() * k <= max_broadcast_hits:
+        hits = F.broadcast(hits)
+    return questions.join(hits, text_col)
 
 
 # ---------------------------------------------------------------------------
