@@ -35,17 +35,22 @@ EVAL_TOP_K = 5
 CHAT_TOP_K = 3
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the cluster has cores.
+MAX_SPREAD_SPLITS = 64
+
+
+def spread_small_scan(df: DataFrame, max_splits: int = MAX_SPREAD_SPLITS) -> DataFrame:
+    """Rebalance a *small* scan that has fewer partitions than the cluster has cores.
 
     Text, vector and UDF work is CPU-bound; a small file with one row group (or
     a small table streamed through a broadcast join) would otherwise run in a
-    single task.  Large inputs (more splits than cores) are left as
-    scanned, so this never adds a shuffle at scale.
+    single task.  Only scans with at most ``max_splits`` splits (a few GB at
+    the default split size) are rebalanced, so large inputs are never shuffled
+    just to spread them.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    n = df.rdd.getNumPartitions()
+    if n < target and n <= max_splits:
+        return df.repartition(min(target, max_splits * 4))
     return df
 
 
