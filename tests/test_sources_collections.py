@@ -163,3 +163,11 @@ def test_product_records_position_fallback(spark):
     assert set(rows) == {"7", "8"}
     assert rows["7"].Description == "T C" and rows["8"].Description == "U" and rows["8"].Category == ""
     assert rows["7"].image_url is None
+
+
+def test_cap_first_n_cutoff_path_is_exact(spark):
+    df = spark.range(0, 20000).select(((F.col("id") * 7919) % 20000).alias("k"), F.col("id")).repartition(16)
+    fast = sorted(r.k for r in SC.cap_first_n(df, "k", 300, max_merge_rows=100).collect())
+    assert fast == list(range(300))
+    plain = sorted(r.k for r in SC.cap_first_n(df, "k", 300).collect())
+    assert plain == fast
