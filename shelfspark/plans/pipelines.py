@@ -189,7 +189,13 @@ def evaluation_pairs(records: DataFrame, order_col: str, n_cap: int = EVAL_CAP,
     sampled = EV.hash_sample(capped, order_col, n_sample, seed, out="sample_idx")
     with_pid = ID.fill_blank_ids(sampled.withColumn("pid", F.col("id")), "pid", "sample_idx", style="md5",
                                  title="Title", category="Category")
-    return EV.qa_pairs(with_pid, "Title", "Description", "Category", keep=["pid", "sample_idx"])
+    pairs = EV.qa_pairs(with_pid, "Title", "Description", "Category", keep=["pid", "sample_idx"])
+    # At most 2 x n_sample rows, read several times downstream (counts, distinct
+    # questions, join-back): cut the lineage once in the shared checkpoint folder.
+    from shelfspark.session import checkpoint_root
+
+    checkpoint_root(records.sparkSession)
+    return pairs.checkpoint(eager=True)
 
 
 def evaluate(pairs: DataFrame, collection: DataFrame, k: int = EVAL_TOP_K, space: str = "l2",
