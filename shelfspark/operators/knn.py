@@ -360,7 +360,12 @@ def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus:
     itself is the query key (no id assignment, no collisions); hits are joined
     back to every row that asked it.
     """
-    distinct_q = questions.select(text_col).distinct()
+    from shelfspark.session import checkpoint_root
+
+    # Read three times (count, encode, search): materialise once in the shared
+    # checkpoint folder instead of re-deriving it from the question pipeline.
+    checkpoint_root(questions.sparkSession)
+    distinct_q = questions.select(text_col).distinct().checkpoint(eager=True)
     vecs = encode_fn(distinct_q, text_col)
     hits = knn_join(vecs.select(F.col(text_col).alias("__q"), "vec"), corpus, k, space, qid="__q", **kw)
     hits = hits.withColumnRenamed("qid", text_col)
