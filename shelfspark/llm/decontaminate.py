@@ -129,12 +129,12 @@ def search_shard(tests: TestSuffixes, texts: list[bytes]):
     return n_words, doc, at - begin[doc], length, key
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[bytes], most: int = SHARD_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts with a bounded number of bytes together (or one text)."""
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= SHARD_BYTES):
+        while j < len(texts) and (j == i or size + len(texts[j]) <= most):
             size += len(texts[j])
             j += 1
         yield i, texts[i:j]

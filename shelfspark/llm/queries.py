@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, exact, mixing, toxicity
+from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, toxicity
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -61,6 +61,11 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op3_near_dedup")
+def op3_near_dedup(spark, sf_dir):
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -75,6 +80,32 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.deduplicate(table(spark, sf_dir, "documents"), exact.new_index(spark))
 
 
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 5))::BIGINT AS h FROM x),
+r AS (
+  SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 1048573 % 4 = 0 AS cut
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (
+  SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM r),
+chunk AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, pos),
+rep AS (
+  SELECT *, n >= 2 AND regexp_matches(body, '[^\x20\x09-\x0D]')
+            AND row_number() OVER (PARTITION BY body, n ORDER BY doc_id, pos) > 1 AS gone
+  FROM chunk)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM rep GROUP BY doc_id
+"""
+
+
+@register("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 DECONTAMINATE_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
