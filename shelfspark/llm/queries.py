@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, toxicity
+from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, substrings, toxicity
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -66,6 +66,32 @@ def op3_near_dedup(spark, sf_dir):
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT win.doc_id, i FROM win JOIN least USING (k) WHERE m < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+runs AS (
+  SELECT doc_id, count(DISTINCT g) AS n_repeats
+  FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, count(gone.p) AS n_removed, string_agg(t, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS s
+  FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256, CAST(coalesce(n_repeats, 0) AS BIGINT) AS n_repeats
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+
+@register("op6_substring_dedup", SUBSTRING_SQL)
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
