@@ -33,7 +33,7 @@ NO_ID = np.iinfo(np.int64).max
 
 REQUEST = "tag string, bucket int, block long, keys binary, vals array<binary>"
 REPLY = "tag string, bucket int, block long, vals array<binary>"
-_VALS = pa.list_(pa.binary())
+VALS = pa.list_(pa.binary())
 
 
 def n_buckets(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
@@ -54,7 +54,7 @@ def write_blocks(docs: DataFrame, encode: Callable, buckets: int, doc_id: str =
         size = seq = 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([encode(ids, texts)], _VALS)],
+            return pa.RecordBatch.from_arrays([pa.array([task << 24 | seq], pa.int64()), pa.array([encode(ids, texts)], VALS)],
                                               names=["block", "payload"])
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), binary_values(b.column("text"))):
@@ -104,7 +104,7 @@ def request_batch(rows: Iterable[tuple]) -> pa.RecordBatch:
     tag, bucket, block, keys, vals = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), (), ())
     return pa.RecordBatch.from_arrays(
         [pa.array(tag, pa.string()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(keys, pa.binary()),
-         pa.array(vals, _VALS)], names=["tag", "bucket", "block", "keys", "vals"])
+         pa.array(vals, VALS)], names=["tag", "bucket", "block", "keys", "vals"])
 
 
 def replies(requests: DataFrame, kinds: dict[str, list[tuple[str, str]]],
@@ -134,7 +134,7 @@ def replies(requests: DataFrame, kinds: dict[str, list[tuple[str, str]]],
         if summary is not None and (more := summary(tag, totals)) is not None:
             blocks, out = [*blocks, -1], [*out, [pack(x) for x in more]]
         return pa.table({"tag": pa.array([tag] * len(out), pa.string()), "bucket": pa.array([bucket] * len(out), pa.int32()),
-                         "block": pa.array(blocks, pa.int64()), "vals": pa.array(out, _VALS)})
+                         "block": pa.array(blocks, pa.int64()), "vals": pa.array(out, VALS)})
 
     return requests.groupBy("tag", "bucket").applyInArrow(answer, REPLY)
 

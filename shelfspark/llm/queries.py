@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, substrings, toxicity
+from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, substrings, suffixtree, toxicity
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_suffix_tree_lm")
+def op1_suffix_tree_lm(spark, sf_dir):
+    return suffixtree.report(table(spark, sf_dir, "documents"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
