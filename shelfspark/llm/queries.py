@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import decontaminate, exact, lines, mixing, neardup, substrings, suffixtree, toxicity
+from shelfspark.llm import chatformat, decontaminate, exact, lines, mixing, neardup, substrings, suffixtree, toxicity
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -61,6 +61,29 @@ def op2_source_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+CHAT_SQL = r"""
+WITH all_rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT *, len(regexp_extract_all(text,
+    '<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*\|user\|>|<\\*\|assistant\|>|<\\*\|system\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>')) AS n_control
+  FROM all_rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + n_control + 24) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@register("op4_chat_format", CHAT_SQL)
+def op4_chat_format(spark, sf_dir):
+    return chatformat.report(table(spark, sf_dir, "conversations"))
+
+
 @register("op5_toxicity")
 def op5_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
