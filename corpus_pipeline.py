@@ -8,8 +8,9 @@ one's ``docs``.  All but the last keep the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfspark.llm import decontaminate, mixing, toxicity
+from shelfspark.llm import decontaminate, lines, mixing, neardup, toxicity
 from shelfspark.llm.common import prepare, stored, table
 
 
@@ -19,6 +20,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: repeated line chunks are cut out of the texts (n_chars follows
+    the text); a document of which no line is left goes."""
+    prepare(spark)
+    return lines.cleaned(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: one document of every group of near duplicates stays."""
+    prepare(spark)
+    return neardup.deduplicated(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that hold a benchmark window go."""
     prepare(spark)
@@ -33,6 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]

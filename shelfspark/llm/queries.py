@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import chatformat, decontaminate, exact, lines, mixing, neardup, substrings, suffixtree, toxicity
+from shelfspark.llm import chatformat, decontaminate, exact, lines, mixing, neardup, pii, substrings, suffixtree, toxicity
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -134,6 +134,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.deduplicate(table(spark, sf_dir, "documents"), exact.new_index(spark))
 
 
+@register("op8_contextual_pii")
+def op8_contextual_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
