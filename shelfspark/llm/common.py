@@ -55,6 +55,12 @@ def hash_mod(c: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one struct: helper columns beside it can't clash
+    with the names of an input."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def join_counted(left: DataFrame, groups: DataFrame, key: list[str], size: str, total: int,
                  share: int = 1000) -> DataFrame:
     """Inner join of ``left`` with ``groups`` (one row per key; ``size`` is the

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import join_counted, stored, text_of
+from shelfspark.llm.common import join_counted, stored, text_of, whole_row
 
 #: Average lines of a chunk, and the modulus of the rolling hash (a prime below 2**20).
 DIVISOR, MODULUS = 4, 1048573
@@ -83,37 +83,32 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .select("key", "doc_id", "pos", "n_lines", F.coalesce("gone", F.lit(False)).alias("removed")))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, divisor: int = DIVISOR,
-                min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated chunks cut out of the text and the columns
-    n_chunks, n_lines, n_removed (lines) added."""
+def _marked(docs: DataFrame, doc_id: str, text: str, divisor: int, min_lines: int) -> DataFrame:
+    """row (the input's columns), body (the text that is left), n_lines, n_removed."""
     marks = repeated_chunks(docs, doc_id, text, divisor=divisor, min_lines=min_lines)
     flags = (marks.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("pos", "removed"))).alias("flags"),
         F.sum(F.when(F.col("removed"), F.col("n_lines")).otherwise(0)).alias("n_removed"))
         .filter("n_removed > 0").withColumn("flags", F.col("flags.removed")))
-    left = F.filter(F.zip_with(chunks(text, divisor), F.col("_flags"), lambda c, gone: F.when(~gone, c)), lambda c: c.isNotNull())
+    rows = docs.select(_row_key(doc_id, text).alias("key"), whole_row(docs)).join(flags, "key", "left")
+    old = F.col("row")[text]
+    left = F.filter(F.zip_with(chunks(old, divisor), F.col("flags"), lambda c, gone: F.when(~gone, c)), lambda c: c.isNotNull())
     rebuilt = F.regexp_replace(F.array_join(left, "\n"), F.lit(r"(^|\n)L"), F.lit("$1"))
-    names = [c for c in docs.columns]
-    out = (docs.select(*[F.col(f"`{c}`") for c in names], _row_key(doc_id, text).alias("_key"))
-           .join(flags.select(F.col("key").alias("_key"), F.col("flags").alias("_flags"), F.col("n_removed").alias("_gone")),
-                 "_key", "left"))
-    return out.select(
-        *[F.when(F.col("_flags").isNull(), F.col(f"`{c}`")).otherwise(rebuilt).alias(c) if c == text else F.col(f"`{c}`")
-          for c in names],
-        F.size(F.split(text_of(text), "\n", -1)).cast("long").alias("_n_lines"),
-        F.coalesce("_gone", F.lit(0)).cast("long").alias("_n_removed"))
-
-
-def report(docs: DataFrame, **options) -> DataFrame:
+    return rows.select("row", F.when(F.col("flags").isNull(), old).otherwise(rebuilt).alias("body"),
+                       F.size(F.split(text_of(old), "\n", -1)).cast("long").alias("n_lines"),
+                       F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, divisor: int = DIVISOR,
+           min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), kept_sha256 (of the text that is left)."""
-    out = deduplicate(docs.select("doc_id", "text"), **options)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-                      F.sha2(text_of("text").cast("binary"), 256).alias("kept_sha256"))
+    out = _marked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", divisor, min_lines)
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(text_of("body").cast("binary"), 256).alias("kept_sha256"))
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated chunks cut out; documents of which no line is
-    left are gone, all columns keep their names."""
-    out = deduplicate(docs, doc_id, text, **options)
-    return out.filter("_n_removed < _n_lines").drop("_n_lines", "_n_removed")
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, divisor: int = DIVISOR,
+            min_lines: int = MIN_LINES) -> DataFrame:
+    """``docs`` with the repeated chunks cut out of the text; documents of which no
+    line is left are gone."""
+    out = _marked(docs, doc_id, text, divisor, min_lines).filter("n_removed < n_lines")
+    return out.select(*[F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import WORD, join_counted, stored, text_of
+from shelfspark.llm.common import WORD, join_counted, stored, text_of, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,11 +94,14 @@ def _with_copies(sized: DataFrame, targets: DataFrame, seed: str, total: int | N
 def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text",
           copy_col: str = "copy_no", **options) -> DataFrame:
     """The mix itself: every document's row as often as its copies, with the
-    number of the copy (from 1) in ``copy_col``."""
+    number of the copy (from 1) in ``copy_col`` (with underscores added while the
+    input has a column of that name)."""
+    while copy_col in docs.columns:
+        copy_col += "_"
     opts = {"weights": WEIGHTS, "share": SHARE, "most": MOST, "seed": SEED} | options
     src = F.col(source).cast("string")
     sizes = docs.select(src.alias("source"), n_tokens(text).alias("size"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("doc_id"),
+    rows = docs.select(whole_row(docs), F.col(doc_id).alias("doc_id"),
                        src.alias("source"))
     targets = stored(_targets(sizes, opts["weights"], opts["share"], opts["most"]), "mix-targets")
     out = _with_copies(rows, targets, opts["seed"], docs.count())

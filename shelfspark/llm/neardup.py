@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import (Words, binary_values, join_counted, mix64, pack_sorted, stored, unpack_sorted,
-                                   window_hash)
+from shelfspark.llm.common import (Words, binary_values, join_counted, mix64, pack_sorted, stored, text_of,
+                                   unpack_sorted, whole_row, window_hash)
 from shelfspark.llm.components import components
 from shelfspark.llm.decontaminate import _slices
 
@@ -150,9 +150,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, k in enumerate(full):
                 each[k], packed[k] = bands[row].tolist(), regs[row].tobytes()
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").slice(i, len(part)).cast(pa.int64()), pa.array(n, pa.int64()),
+                b.column("doc_id").slice(i, len(part)), b.column("text_hash").slice(i, len(part)), pa.array(n, pa.int64()),
                 pa.array([class_id(s) for s in sets], pa.int64()), pa.array(each, pa.list_(pa.int64())),
-                pa.array(packed, pa.binary())], names=["doc_id", "n", "cid", "bands", "regs"])
+                pa.array(packed, pa.binary())], names=["doc_id", "text_hash", "n", "cid", "bands", "regs"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,10 +283,12 @@ def find_links(docs: DataFrame, sk: DataFrame, doc_id: str, text: str) -> DataFr
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, kept."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    sk = stored(src.mapInArrow(_sketch, "doc_id long, n long, cid long, bands array<long>, regs binary"), "neardup-sketches")
+def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, n, cid, component_id of every row."""
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"),
+                      F.col(text).cast("binary").alias("text"))
+    sk = stored(src.mapInArrow(_sketch, "doc_id long, text_hash long, n long, cid long, bands array<long>, regs binary"),
+                "neardup-sketches")
     labels = find_links(docs, sk, doc_id, text)
     classes = sk.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     if labels is None:
@@ -296,18 +298,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                        .withColumn("label", F.coalesce("label", "cid")), "neardup-classes")
         smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
         classes = join_counted(named, smallest, ["label"], "size", named.count())
-    rows = sk.select("doc_id", "n", "cid")
+    rows = sk.select("doc_id", "text_hash", "n", "cid")
     linked = join_counted(rows.filter("n > 0"), classes.select("cid", "rows", "component_id"), ["cid"], "rows", rows.count())
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return (linked.select("doc_id", "n", "cid", "component_id").unionByName(alone)
-            .select("doc_id", F.col("n").alias("n_shingles"), "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("cid").alias("class_id")))
+    return linked.drop("rows").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id."""
+    return _judged(docs, doc_id, text).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("cid").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one document of every component."""
-    gone = near_duplicates(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that stay: one document of every component.  Rows are
+    told apart by id and text, should an id be there twice."""
+    gone = (_judged(docs, doc_id, text).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct())
+    rows = docs.select(whole_row(docs), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("h"))
+    return (rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_text")), "left_anti")
+            .select("row.*"))
 
 
 def report(docs: DataFrame) -> DataFrame:
