@@ -57,30 +57,18 @@ def precision_tokens(answer: Column, contexts_text: Column) -> Column:
 # ---------------------------------------------------------------------------
 # pairs
 
-def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42, out: str = "sample_idx",
-                max_merge_rows: int = 5_000_000) -> DataFrame:
-    """T4: reproducible sample of ``n`` rows, the same on any partitioning.
-
-    Rows are ordered by md5(seed:key) and the first ``n`` kept
-    (``TakeOrderedAndProject``: per-partition top-n, then one merge).  When
-    that merge would exceed ``max_merge_rows``, rows are first filtered to an
-    md5 prefix range expected to hold about 4n rows (md5 is uniform); the
-    filtered set is counted and used only if it holds at least n rows, so the
-    sample is unchanged.
-    """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string")))
-    hashed = df.withColumn("__h", h)
-    if n * df.rdd.getNumPartitions() > max_merge_rows:
-        total = df.count()
-        if total > 4 * n:
-            limit_hex = format(min(16 ** 8 - 1, int(4.0 * n / total * 16 ** 8) + 1), "08x")
-            narrowed = hashed.where(F.substring("__h", 1, 8) < F.lit(limit_hex))
-            if narrowed.count() >= n:
-                hashed = narrowed
-    picked = hashed.orderBy("__h", key).limit(n)
+def hash_sample(df: DataFrame, key: str, n: int | None, seed: int = 42, out: str = "sample_idx") -> DataFrame:
+    """T4: reproducible sample of ``n`` rows (None: all), the same on any
+    partitioning: the first rows by md5(seed:key)."""
+    from shelfspark.operators.identity import dense_id
+    from shelfspark.sources.catalog import top_rows
+
+    hashed = df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string"))))
+    if n is None:
+        return dense_id(hashed, ["__h", key], out=out).drop("__h")
     # n rows at most: a bounded single-partition window for the sample position.
-    return (picked.withColumn(out, (F.row_number().over(Window.orderBy("__h", key)) - 1).cast("bigint"))
-                  .drop("__h"))
+    return (top_rows(hashed, ["__h", key], n)
+            .withColumn(out, (F.row_number().over(Window.orderBy("__h", key)) - 1).cast("bigint")).drop("__h"))
 
 
 def qa_pairs(products: DataFrame, title: str, description: str, category: str,

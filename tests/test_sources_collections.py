@@ -44,14 +44,22 @@ def test_read_catalog_edges(spark, scratch):
     assert rows["4"]["About Product"] is None
 
 
-def test_tolerant_csv_required_and_corrupt(spark, scratch):
+def test_tolerant_csv_required_short_and_long_rows(spark, scratch):
     p = os.path.join(scratch, "emb.csv")
-    _write(p, "id,text,embedding\n1,a,\"[1,2]\"\n2,b,\"[3,4]\",extra\n")
+    _write(p, "\ufeffid, text ,embedding\n1,a,\"[1,2]\"\n2,b\n3,c,\"[3,4]\",extra\n4,\"x\ny\",NA\n")
     with pytest.raises(ValueError):
         SC.read_tolerant_csv(spark, p, ["id", "vector"])
-    good, corrupt = SC.read_tolerant_csv(spark, p, ["id", "text", "embedding"])
-    assert good.count() + corrupt.count() == 2
-    assert good.where(F.col("id") == "1").count() == 1
+    good, corrupt = SC.read_tolerant_csv(spark, p, ["id", "embedding"], one_of=["text", "document"])
+    assert sorted(map(tuple, good.collect())) == [("1", "a", "[1,2]"), ("2", "b", None), ("4", "x\ny", None)]
+    assert [r.fields for r in corrupt.collect()] == [["3", "c", "[3,4]", "extra"]]
+
+
+def test_tolerant_csv_tries_the_next_settings(spark, scratch):
+    p = os.path.join(scratch, "odd.csv")
+    _write(p, 'id,"text\\",embedding"\n1,a\n')
+    # Only with the backslash as escape the header has the column text",embedding.
+    good, _ = SC.read_tolerant_csv(spark, p, ["id", 'text",embedding'])
+    assert [tuple(r) for r in good.collect()] == [("1", "a")]
 
 
 def test_product_records_and_json(spark, scratch):
@@ -70,6 +78,27 @@ def test_product_records_and_json(spark, scratch):
 def test_detect_vector_column(spark):
     df = spark.createDataFrame([("1", "[1,2]", "x"), ("2", "[3]", "y")], "a string, b string, c string")
     assert SC.detect_vector_column(df) == "b"
+    late = spark.createDataFrame([(str(i), None, "x") for i in range(300)] + [("q", "[1,2]", "y")], "a string, b string, c string")
+    assert SC.detect_vector_column(late.coalesce(1)) == "b"
+    assert SC.detect_vector_column(late.withColumnRenamed("c", " Vectors ")) == " Vectors "
+    assert SC.detect_vector_column(late.select("a", "c")) is None
+
+
+def test_column_pick_by_name_then_fallback(spark):
+    df = spark.createDataFrame([(0, "short", "a much longer text"), (1, "s", "another long one")], "pos long, a string, b string")
+    assert SC.pick_text_column(df) == "b" and SC.pick_text_column(df, vector_col="b") == "a"
+    assert SC.pick_text_column(df.withColumnRenamed("a", "body")) == "body"
+    same, name = SC.with_id_column(df.withColumnRenamed("a", "pid"), "pos")
+    assert name == "pid"
+    new, name = SC.with_id_column(df, "pos")
+    assert name == "__id__" and sorted(r["__id__"] for r in new.collect()) == ["0", "1"]
+
+
+def test_clean_catalog_sink(spark, scratch):
+    df = spark.createDataFrame([("1", 'say "hi"\nthere', None), ("2", "a,b", "x")], "id string, search_text string, name string")
+    SC.write_clean_catalog(df, os.path.join(scratch, "clean"))
+    back = SC.read_catalog(spark, os.path.join(scratch, "clean"), df.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
 def _coll(spark, rows):
@@ -165,9 +194,10 @@ def test_product_records_position_fallback(spark):
     assert rows["7"].image_url is None
 
 
-def test_cap_first_n_cutoff_path_is_exact(spark):
+def test_cap_first_n_keeps_every_row_it_should(spark):
     df = spark.range(0, 20000).select(((F.col("id") * 7919) % 20000).alias("k"), F.col("id")).repartition(16)
-    fast = sorted(r.k for r in SC.cap_first_n(df, "k", 300, max_merge_rows=100).collect())
-    assert fast == list(range(300))
-    plain = sorted(r.k for r in SC.cap_first_n(df, "k", 300).collect())
-    assert plain == fast
+    assert sorted(r.k for r in SC.cap_first_n(df, "k", 300).collect()) == list(range(300))
+    assert SC.cap_first_n(df, "k", None).count() == 20000
+    nan = df.select(F.when(F.col("k") % 10 > 0, F.lit(float("nan"))).otherwise(F.col("k").cast("double")).alias("k"))
+    assert SC.cap_first_n(nan, "k", 300).count() == 300
+    assert SC.cap_first_n(nan, "k", 2500).where(~F.isnan("k")).count() == 2000
