@@ -142,18 +142,37 @@ def catalog_text_collection(spark, sf):
                        "metadata.name", "metadata.image_url", "metadata.product_id")
 
 
-@register("tolerant_csv_counts", "SELECT count(*) AS n_good, 0::BIGINT AS n_corrupt FROM documents")
+@register("tolerant_csv_counts", """
+SELECT count_if(doc_id % 7 <> 0) AS n_good, count_if(doc_id % 7 = 0) AS n_corrupt,
+       count_if(doc_id % 7 <> 0 AND doc_id % 5 = 0) AS n_short FROM documents""")
 def tolerant_csv_counts(spark, sf):
-    """S3: documents written as CSV (quotes, newlines, bars inside fields) to the
-    shared folder, read back with the tolerant reader; good and corrupt rows."""
+    """S3: documents written as CSV with every fifth row short and every seventh
+    too long, read back with the tolerant reader."""
     from shelfspark.session import scratch_path
 
     path = scratch_path(spark, "documents-csv")
-    (t(spark, sf, "documents").select("doc_id", "text", "lang")
-        .write.option("header", True).option("escape", '"').csv(path))
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.coalesce("text", F.lit("")), '"', '""'), F.lit('"'))
+    doc = F.col("doc_id")
+    line = (F.when(doc % 7 == 0, F.concat_ws(",", doc.cast("string"), quoted, F.lit("x"), F.lit("too many")))
+             .when(doc % 5 == 0, F.concat_ws(",", doc.cast("string"), quoted))
+             .otherwise(F.concat_ws(",", doc.cast("string"), quoted, F.lit("x"))))
+    # One line per file part carries the header, as any CSV writer does.
+    rows = t(spark, sf, "documents").select(line.alias("value"))
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        for i, b in enumerate(batches):
+            if i == 0:
+                yield pa.RecordBatch.from_arrays([pa.array(["doc_id,text,lang"], b.schema.field(0).type)], schema=b.schema)
+            yield b
+
+    rows.mapInArrow(with_header, "value string").write.text(path)
     good, corrupt = SC.read_tolerant_csv(spark, path, ["doc_id", "text"])
-    return good.select(F.lit(1).alias("g")).unionByName(corrupt.select(F.lit(0).alias("g"))) \
-            .agg(F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_corrupt"))
+    return (good.select(F.lit(1).alias("g"), F.col("lang").isNull().alias("short"))
+            .unionByName(corrupt.select(F.lit(0).alias("g"), F.lit(False).alias("short")))
+            .agg(F.count_if(F.col("g") == 1).alias("n_good"), F.count_if(F.col("g") == 0).alias("n_corrupt"),
+                 F.count_if("short").alias("n_short")))
 
 
 _PRED_SQL = _EVAL_BASE + """
@@ -175,3 +194,94 @@ def eval_predictions(spark, sf):
                          r6("context_recall").alias("context_recall"),
                          r6("context_precision").alias("context_precision"),
                          big(F.size("contexts")).alias("n_contexts"))
+
+
+@register("upsert_collection", f"""
+WITH base AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding AS v, 'base' AS document FROM embeddings),
+b1 AS (SELECT id, min(document) AS document FROM (
+         SELECT CAST(vec_id AS VARCHAR) AS id, 'first ' || k AS document FROM embeddings, (VALUES ('a'), ('b')) t(k) WHERE vec_id % 3 = 0) GROUP BY id),
+b2 AS (SELECT CAST(vec_id + 1 AS VARCHAR) AS id, 'second' AS document FROM embeddings WHERE vec_id % 5 = 0),
+ids AS (SELECT id FROM base UNION SELECT id FROM b1 UNION SELECT id FROM b2)
+SELECT ids.id, coalesce(b2.document, b1.document, base.document) AS document
+FROM ids LEFT JOIN b2 USING (id) LEFT JOIN b1 USING (id) LEFT JOIN base USING (id)""")
+def upsert_collection(spark, sf):
+    """S7 + S8: build, two upserts (one with duplicates inside, written twice under
+    one batch number), read back."""
+    from shelfspark.session import scratch_path
+    from shelfspark.sources import collections as CO
+
+    root = scratch_path(spark, "upserts")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
+    row = lambda key, doc: (key.cast("string").alias("id"), "embedding", doc.alias("document"))
+    CO.save(e.select(*row(F.col("vec_id"), F.lit("base"))), root, "vectors")
+    one = (e.where("vec_id % 3 = 0").withColumn("k", F.explode(F.array(F.lit("b"), F.lit("a"))))
+           .select(*row(F.col("vec_id"), F.concat(F.lit("first "), "k"))))
+    CO.upsert(one, root, "vectors", "document", batch=1)
+    CO.upsert(one, root, "vectors", "document", batch=1)
+    two = e.where("vec_id % 5 = 0").select(*row(F.col("vec_id") + 1, F.lit("second")))
+    return CO.upsert(two, root, "vectors", "document", batch=2).select("id", "document")
+
+
+@register("list_collections", """
+SELECT 'text' AS name, 'cosine' AS space, max(len(embedding))::INT AS dim, 2::BIGINT AS version, 1::BIGINT AS batches FROM embeddings
+UNION ALL SELECT 'extra', 'l2', max(len(embedding))::INT, 1, 1 FROM embeddings""")
+def list_collections(spark, sf):
+    """S7 ``replace`` and ``keep`` on existing collections, S10 listing."""
+    from shelfspark.session import scratch_path
+    from shelfspark.sources import collections as CO
+
+    root = scratch_path(spark, "listed")
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", F.lit("d").alias("document"))
+    CO.save(e, root, "text", space="cosine")
+    CO.save(e, root, "text", space="cosine", if_exists="replace")
+    CO.save(e.limit(1), root, "text", space="cosine", if_exists="keep")
+    CO.save(e, root, "extra")
+    return CO.list_collections(spark, root)
+
+
+_DOC_COLUMNS = ["doc_id", "text", "lang"]
+
+
+@register("detect_vector_column", "SELECT 'vec_text' AS column_name, count(*) AS n_rows FROM embeddings")
+def detect_vector_column(spark, sf):
+    """No column has a vector's name, and the first values of the right one are null."""
+    e = t(spark, sf, "embeddings").select(
+        F.when(F.col("vec_id") % 2 == 1, F.to_json(F.transform("embedding", lambda x: x.cast("double")))).alias("vec_text"),
+        F.concat(F.lit("["), F.col("vec_id").cast("string")).alias("half"), F.col("vec_id").cast("string").alias("other"))
+    return e.agg(F.lit(SC.detect_vector_column(e)).alias("column_name"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("column_pick", """
+SELECT 'body' AS named, 'text' AS widest, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS id FROM documents""")
+def column_pick(spark, sf):
+    """Text column by name, by width, and the id from the position."""
+    from shelfspark.operators import identity as ID
+
+    d = t(spark, sf, "documents").select(*_DOC_COLUMNS)
+    named = SC.pick_text_column(d.withColumnRenamed("lang", "body").withColumnRenamed("text", "words"))
+    widest = SC.pick_text_column(d.select(F.col("doc_id").alias("n"), F.col("text").alias("words"), "lang")).replace("words", "text")
+    placed = ID.dense_id(d.select(F.col("doc_id").alias("number")), "number", out="pos")
+    out, id_col = SC.with_id_column(placed, "pos")
+    return out.select(F.lit(named).alias("named"), F.lit(widest).alias("widest"), F.col(id_col).alias("id"))
+
+
+@register("synth_description", f"""
+SELECT CAST(p_partkey AS VARCHAR) AS id, {S.collapse("p_name || ' ' || p_type")} AS "Description" FROM part""")
+def synth_description(spark, sf):
+    """records from a table without a description column."""
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"))
+    return SC.product_records(p, "id", "title", None, "category", None).select("id", "Description")
+
+
+@register("clean_catalog_sink", f"""
+{SQL_SEARCH_TEXT} SELECT "Uniq Id" AS product_id, CASE WHEN search_text <> '' THEN search_text END AS search_text FROM st""")
+def clean_catalog_sink(spark, sf):
+    """P1 + PL1 + S5: useful columns, cleaned, written as CSV and read back."""
+    from shelfspark.session import scratch_path
+
+    raw = SC.keep_columns(PL.catalog_from_tables(spark, sf))
+    path = scratch_path(spark, "clean-catalog")
+    cleaned = PL.clean_catalog(raw, F.col("`Uniq Id`").cast("bigint"))
+    SC.write_clean_catalog(cleaned, path)
+    # Product texts hold words that the reader would take for missing values; none here.
+    return SC.read_catalog(spark, path, cleaned.columns).select("product_id", "search_text")

@@ -46,11 +46,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only a
+    local session (tests, benches) without it gets a fresh scratch folder; on a
+    cluster a folder of one machine would lose data, so it is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="shelfspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

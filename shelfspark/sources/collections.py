@@ -2,24 +2,28 @@
 
 Layout under ``root``::
 
-    <root>/<name>/data/version=<n>/part-*.parquet     vectors + document + metadata
-    <root>/<name>/manifest/version=<n>/part-*.json    one row: name, space, dim, n, version
-
-A version's data is written completely (Spark's commit protocol) before its
-manifest row; readers take the highest version that has a manifest, so a
-crashed or concurrent writer never exposes half a collection.  Re-running a
-write for the same version overwrites only that version (idempotent).
+    <root>/<name>/data/<uuid>/part-*.parquet            rows of one write
+    <root>/<name>/manifest/version=<n>/batch=<b>/*.json  one row: name, space, dim, n, version, batch, path
+
+A version is a full build (batch 0) and the batches added to it since.  An upsert
+writes only its own rows, as a batch; readers take the newest batch's row per id.
+``compact`` writes the current rows as a new version.  A write's data is complete
+before its manifest row names it, so a crashed writer exposes nothing; the same
+batch id written again replaces that batch (a replayed micro-batch changes
+nothing).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfspark.operators.identity import keep_first
 
-MANIFEST_SCHEMA = "name string, space string, dim int, n long, version long"
+MANIFEST_SCHEMA = "name string, space string, dim int, n long, version long, batch long, path string"
 
 
 def _paths(root: str, name: str) -> tuple[str, str]:
@@ -27,28 +31,38 @@ def _paths(root: str, name: str) -> tuple[str, str]:
     return f"{base}/data", f"{base}/manifest"
 
 
-def current_manifest(spark: SparkSession, root: str, name: str):
-    """The newest manifest row of a collection, or None when it does not exist."""
+def _manifest(spark: SparkSession, root: str, name: str) -> list:
+    """Manifest rows of the newest version, by batch (empty: no such collection).
+
+    One small row per batch since the last full build; ``compact`` starts anew."""
     _, man = _paths(root, name)
     try:
-        rows = spark.read.schema(MANIFEST_SCHEMA).json(man)
+        # A reader with a schema of its own: version and batch are in the rows too.
+        rows = spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", True).json(man)
+        newest = rows.select(F.max("version")).first()[0]
     except AnalysisException:
+        return []
+    return [] if newest is None else rows.where(F.col("version") == newest).orderBy("batch").collect()
+
+
+def current_manifest(spark: SparkSession, root: str, name: str) -> dict | None:
+    """Name, space, dim, version, number of batches and (if nothing was added
+    since the full build) rows n; None when the collection does not exist."""
+    rows = _manifest(spark, root, name)
+    if not rows:
         return None
-    row = rows.orderBy(F.col("version").desc()).limit(1).collect()
-    return row[0] if row else None
+    return {"name": name, "space": rows[0]["space"], "dim": max(r["dim"] for r in rows), "version": rows[0]["version"],
+            "batches": len(rows), "last_batch": rows[-1]["batch"], "n": rows[0]["n"] if len(rows) == 1 else None}
 
 
-def _write_version(df: DataFrame, root: str, name: str, space: str, version: int) -> DataFrame:
+def _write(df: DataFrame, root: str, name: str, space: str, version: int, batch: int) -> None:
     spark = df.sparkSession
     data, man = _paths(root, name)
-    out = f"{data}/version={version}"
-    df.write.mode("overwrite").parquet(out)
-    written = spark.read.parquet(out)
-    stats = written.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    manifest = spark.createDataFrame([(name, space, int(stats["dim"] or 0), int(stats["n"]), version)],
-                                     MANIFEST_SCHEMA)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{man}/version={version}")
-    return written
+    out = f"{data}/{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    stats = spark.read.schema(df.schema).parquet(out).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    row = spark.createDataFrame([(name, space, int(stats["dim"] or 0), int(stats["n"]), version, batch, out)], MANIFEST_SCHEMA)
+    row.coalesce(1).write.mode("overwrite").json(f"{man}/version={version}/batch={batch}")
 
 
 def save(df: DataFrame, root: str, name: str, space: str = "l2", if_exists: str = "replace") -> DataFrame:
@@ -61,63 +75,78 @@ def save(df: DataFrame, root: str, name: str, space: str = "l2", if_exists: str
         raise ValueError(f"unknown space {space!r}")
     spark = df.sparkSession
     cur = current_manifest(spark, root, name)
-    if cur is not None and if_exists == "keep" and cur["n"] > 0:
+    if cur is not None and if_exists == "keep" and (cur["n"] is None or cur["n"] > 0):
         return open_collection(spark, root, name)
-    version = 1 if cur is None else int(cur["version"]) + 1
-    return _write_version(df, root, name, space, version)
-
-
-DEFAULT_BROADCAST_IDS = 2_000_000
+    _write(df, root, name, space, 1 if cur is None else int(cur["version"]) + 1, 0)
+    return open_collection(spark, root, name)
 
 
-def merge_upsert(old: DataFrame, new: DataFrame, id_col: str = "id", order_by: str | None = None,
-                 broadcast_ids: int = DEFAULT_BROADCAST_IDS) -> DataFrame:
+def merge_upsert(old: DataFrame, new: DataFrame, id_col: str, order_by) -> DataFrame:
     """S8 as a plan: rows of ``new`` replace rows of ``old`` with the same id.
 
     Duplicates inside ``new`` are resolved first (first in ``order_by`` order).
-    When the batch holds at most ``broadcast_ids`` ids (counted first; the count
-    reads only the id column) they are broadcast, so the stored collection is
-    filtered in place instead of being shuffled; larger batches use a shuffle
-    anti join.
     """
-    if order_by is not None:
-        new = keep_first(new, id_col, order_by)
+    new = keep_first(new, id_col, order_by)
     cols = old.columns
-    ids = new.select(id_col)
-    if new.select(id_col).count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    return old.join(ids, id_col, "left_anti").select(*cols).unionByName(new.select(*cols))
+    return old.join(new.select(id_col), id_col, "left_anti").select(*cols).unionByName(new.select(*cols))
 
 
-def upsert(df: DataFrame, root: str, name: str, id_col: str = "id", order_by: str | None = None,
-           version: int | None = None) -> DataFrame:
-    """Upsert by id into a new version (created when the collection is absent).
+def upsert(df: DataFrame, root: str, name: str, order_by, id_col: str = "id", batch: int | None = None,
+           space: str = "l2") -> DataFrame:
+    """Upsert by id; writes the batch's rows only (created when absent).
 
-    With an explicit ``version`` the merge reads version ``version - 1`` and
-    overwrites ``version``: replaying the same batch gives the same result.
+    Duplicates inside the batch are resolved by ``order_by`` (the first stays).
+    ``batch`` (from 1) names the batch: the same number again replaces it; without
+    one, the next number is taken.
     """
     spark = df.sparkSession
     cur = current_manifest(spark, root, name)
-    if cur is None or version == 1:
-        if order_by is not None:
-            df = keep_first(df, id_col, order_by)
-        return _write_version(df, root, name, "l2" if cur is None else cur["space"], 1)
-    target = int(cur["version"]) + 1 if version is None else version
-    data, _ = _paths(root, name)
-    old = spark.read.parquet(f"{data}/version={target - 1}")
-    merged = merge_upsert(old, df.select(*old.columns) if order_by is None else df, id_col, order_by)
-    return _write_version(merged.select(*old.columns), root, name, cur["space"], target)
-
-
-def open_collection(spark: SparkSession, root: str, name: str, required: bool = True) -> DataFrame | None:
-    """The newest complete version of a collection."""
-    cur = current_manifest(spark, root, name)
-    if cur is None:
+    if batch is None:
+        batch = 1 if cur is None else int(cur["last_batch"]) + 1
+    if batch < 1:
+        raise ValueError("batch numbers start at 1")
+    version, kind = (1, space) if cur is None else (int(cur["version"]), cur["space"])
+    _write(keep_first(df, id_col, order_by), root, name, kind, version, batch)
+    return open_collection(spark, root, name, id_col=id_col)
+
+
+def open_collection(spark: SparkSession, root: str, name: str, required: bool = True, id_col: str = "id") -> DataFrame | None:
+    """The current rows of a collection: of every id the newest batch's."""
+    rows = _manifest(spark, root, name)
+    if not rows:
         if required:
             raise FileNotFoundError(f"collection {name!r} not found under {root}")
         return None
-    data, _ = _paths(root, name)
-    return spark.read.parquet(f"{data}/version={cur['version']}")
+    first = spark.read.parquet(rows[0]["path"])
+    if len(rows) == 1:
+        return first
+    parts = None
+    for r in rows:
+        p = spark.read.schema(first.schema).parquet(r["path"]).withColumn("__batch", F.lit(r["batch"]))
+        parts = p if parts is None else parts.unionByName(p)
+    w = Window.partitionBy(id_col).orderBy(F.col("__batch").desc())
+    return parts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__batch")
+
+
+def compact(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The current rows as a new version with nothing added (earlier versions stay
+    for readers that opened them)."""
+    cur = current_manifest(spark, root, name)
+    _write(open_collection(spark, root, name), root, name, cur["space"], int(cur["version"]) + 1, 0)
+    return open_collection(spark, root, name)
+
+
+def list_collections(spark: SparkSession, root: str) -> DataFrame:
+    """Name, space, dim, version and batches of every collection under ``root``."""
+    schema = "name string, space string, dim int, version long, batches long"
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+        newest = rows.groupBy("name").agg(F.max("version").alias("version"))
+        return (rows.join(newest, ["name", "version"]).groupBy("name", "version")
+                .agg(F.first("space").alias("space"), F.max("dim").alias("dim"), F.count(F.lit(1)).alias("batches"))
+                .select("name", "space", "dim", "version", "batches"))
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def open_all(spark: SparkSession, root: str, main: str = "multimodal",

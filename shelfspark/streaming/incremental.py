@@ -1,9 +1,9 @@
 """Structured Streaming forms of the incremental operators.
 
 R1  Incremental collection upsert: a file stream of new catalog rows is
-    cleaned and encoded per micro-batch and merged into the versioned
-    collection with ``foreachBatch``.  The batch id is recorded in the version
-    manifest path, so a replayed batch rewrites the same version (idempotent).
+    cleaned and encoded per micro-batch and added to the collection with
+    ``foreachBatch``.  The stored batch number follows from the micro-batch id
+    alone, so a batch replayed after a restart replaces itself.
 R2  Sessions over an event stream: ``session_window`` with a watermark; the
     batch form (``session_counts``) is the same plan on a static DataFrame.
 """
@@ -78,17 +78,18 @@ def stream_sessions(spark, path: str, schema, checkpoint: str, gap: str = DEFAUL
     return writer.start()
 
 
-def stream_upserts(spark, path: str, schema, root: str, name: str, checkpoint: str, prepare,
-                   id_col: str = "id", order_by: str | None = None):
-    """File stream -> ``prepare(df)`` (clean + encode) -> upsert per micro-batch."""
-    from shelfspark.sources import collections as CO
+def stream_upserts(spark, path: str, schema, root: str, name: str, checkpoint: str, prepare, order_by,
+                   id_col: str = "id"):
+    """File stream -> ``prepare(df)`` (clean + encode) -> upsert per micro-batch.
 
-    cur = CO.current_manifest(spark, root, name)
-    base = 0 if cur is None else int(cur["version"])
+    ``order_by`` decides which of several rows with one id in a micro-batch stays.
+    One stream writes a collection between two full builds: its batch numbers are
+    its micro-batch ids plus one.
+    """
+    from shelfspark.sources import collections as CO
 
     def merge(batch: DataFrame, batch_id: int):
-        # Version is a function of the batch id: a replayed batch rewrites it.
-        CO.upsert(prepare(batch), root, name, id_col=id_col, order_by=order_by, version=base + batch_id + 1)
+        CO.upsert(prepare(batch), root, name, order_by, id_col=id_col, batch=batch_id + 1)
 
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     return (src.writeStream.foreachBatch(merge)

@@ -111,17 +111,27 @@ def test_collection_rebuild_upsert_open(spark, scratch):
     assert v1.count() == 2
     kept = CO.save(_coll(spark, [("z", [1.0, 1.0], "Z")]), root, "text", if_exists="keep")
     assert sorted(r.id for r in kept.collect()) == ["a", "b"]
-    up = CO.upsert(_coll(spark, [("b", [0.5, 0.5], "B2"), ("c", [1.0, 1.0], "C")]), root, "text")
-    assert sorted((r.id, r.document) for r in up.collect()) == [("a", "A"), ("b", "B2"), ("c", "C")]
+    newer = _coll(spark, [("b", [0.5, 0.5], "B2"), ("b", [0.0, 0.0], "B3"), ("c", [1.0, 1.0], "C")])
+    want = [("a", "A"), ("b", "B2"), ("c", "C")]
+    up = CO.upsert(newer, root, "text", "document", batch=1)
+    assert sorted((r.id, r.document) for r in up.collect()) == want
+    # The same batch again replaces itself; another one adds to it.
+    assert sorted((r.id, r.document) for r in CO.upsert(newer, root, "text", "document", batch=1).collect()) == want
+    CO.upsert(_coll(spark, [("a", [0.0, 0.0], "A2")]), root, "text", "document")
     man = CO.current_manifest(spark, root, "text")
-    assert (man["version"], man["n"], man["dim"], man["space"]) == (2, 3, 2, "cosine")
-    # Replaying the same versioned upsert gives the same table.
-    again = CO.upsert(_coll(spark, [("b", [0.5, 0.5], "B2"), ("c", [1.0, 1.0], "C")]), root, "text", version=2)
-    assert sorted(r.id for r in again.collect()) == ["a", "b", "c"]
+    assert (man["version"], man["batches"], man["dim"], man["space"]) == (1, 3, 2, "cosine")
+    assert sorted(r.document for r in CO.compact(spark, root, "text").collect()) == ["A2", "B2", "C"]
+    man = CO.current_manifest(spark, root, "text")
+    assert (man["version"], man["n"], man["batches"]) == (2, 3, 1)
+    CO.save(_coll(spark, [("n", [1.0], "N")]), root, "image")
+    assert sorted(map(tuple, CO.list_collections(spark, root).collect())) == [("image", "l2", 1, 1, 1), ("text", "cosine", 2, 2, 1)]
+    assert CO.list_collections(spark, root + "-none").count() == 0
+    CO.save(_coll(spark, [("m", [1.0], "M")]), root, "image", if_exists="replace")
+    assert [r.id for r in CO.open_collection(spark, root, "image").collect()] == ["m"]
     with pytest.raises(FileNotFoundError):
         CO.open_all(spark, root, main="multimodal")
-    allc = CO.open_all(spark, root, main="text", optional=("image",))
-    assert allc["image"] is None and allc["text"]["space"] == "cosine"
+    allc = CO.open_all(spark, root, main="text", optional=("other",))
+    assert allc["other"] is None and allc["text"]["space"] == "cosine"
 
 
 def test_media_files(spark):

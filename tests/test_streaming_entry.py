@@ -25,17 +25,30 @@ def test_stream_upserts_equal_batch(spark, scratch):
     from shelfspark.sources import collections as CO
 
     src = os.path.join(scratch, "in")
-    rows1 = [("a", [1.0], "A"), ("b", [2.0], "B")]
+    rows1 = [("a", [1.0], "A"), ("b", [2.0], "B"), ("b", [2.5], "Bx")]
     rows2 = [("b", [3.0], "B2"), ("c", [4.0], "C")]
     schema = "id string, embedding array<float>, document string"
     spark.createDataFrame(rows1, schema).coalesce(1).write.parquet(os.path.join(src, "f1"))
     spark.createDataFrame(rows2, schema).coalesce(1).write.parquet(os.path.join(src, "f2"))
     root = os.path.join(scratch, "colls")
-    q = INC.stream_upserts(spark, os.path.join(src, "*"), spark.createDataFrame([], schema).schema, root, "text",
-                           os.path.join(scratch, "ck"), prepare=lambda df: df)
-    q.awaitTermination()
-    got = sorted((r.id, r.document) for r in CO.open_collection(spark, root, "text").collect())
-    assert got == [("a", "A"), ("b", "B2"), ("c", "C")]
+    def run():
+        q = INC.stream_upserts(spark, os.path.join(src, "*"), spark.createDataFrame([], schema).schema, root, "text",
+                               os.path.join(scratch, "ck"), prepare=lambda df: df, order_by="document")
+        q.awaitTermination()
+        return sorted((r.id, r.document) for r in CO.open_collection(spark, root, "text").collect())
+
+    assert run() == [("a", "A"), ("b", "B2"), ("c", "C")]
+    # Restart: a third batch, after one more process start.
+    spark.createDataFrame([("c", [5.0], "C2"), ("d", [6.0], "D")], schema).coalesce(1).write.parquet(os.path.join(src, "f3"))
+    assert run() == [("a", "A"), ("b", "B2"), ("c", "C2"), ("d", "D")]
+    # Replay: the commit of the last batch is lost, so the stream runs it again.
+    commits = os.path.join(scratch, "ck", "commits")
+    last = max(f for f in os.listdir(commits) if f.isdigit())
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, f)):
+            os.remove(os.path.join(commits, f))
+    assert run() == [("a", "A"), ("b", "B2"), ("c", "C2"), ("d", "D")]
+    assert CO.current_manifest(spark, root, "text")["batches"] == 3
 
 
 def test_entry_and_contract(spark):
