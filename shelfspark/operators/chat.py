@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import strip_ws
-from shelfspark.operators.identity import DEFAULT_CHUNK, running_sum
+from shelfspark.operators.identity import running_sum
 from shelfspark.operators.sequence import neighbour
 
 # Roles and transcript labels.
@@ -20,6 +20,9 @@ ASSISTANT_ROLE = "assistant"
 USER_LABEL = "**You:**"
 ASSISTANT_LABEL = "**Assistant:**"
 
+#: Turns of one conversation that one task holds, with their texts.
+TURN_CHUNK = 4096
+
 
 def _non_blank(text: str) -> Column:
     return F.col(text).isNotNull() & (strip_ws(F.col(text)) != "")
@@ -31,7 +34,7 @@ def default_reset(prev_role: str = "prev_role") -> Column:
 
 
 def threads(log: DataFrame, is_reset: Column | None = None, conv: str = "conv_id", turn: str = "turn",
-            text: str = "text", chunk: int = DEFAULT_CHUNK) -> DataFrame:
+            text: str = "text", chunk: int = TURN_CHUNK) -> DataFrame:
     """Drop blank turns, then number threads by a running count of resets."""
     kept = log.where(_non_blank(text))
     with_prev = neighbour(kept, conv, turn, ["role"], "prev", "prev_", chunk=chunk)
@@ -42,28 +45,36 @@ def threads(log: DataFrame, is_reset: Column | None = None, conv: str = "conv_id
 
 
 def transcript(log: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text",
-               chunk: int = 4096) -> DataFrame:
+               chunk: int = TURN_CHUNK) -> DataFrame:
     """One transcript string per conversation, labelled by role, blank turns skipped.
 
     Lines are first joined per (conversation, chunk of turns), then the chunk
-    strings per conversation, so no task sorts a whole conversation's turns.
+    strings per conversation, so no task sorts a whole conversation's turns.  The
+    transcript itself is one value; ``transcript_chunks`` is the form for
+    conversations that are too long for that.
     """
+    partial = transcript_chunks(log, conv, turn, text, chunk)
+    return (partial.groupBy(conv)
+                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))),
+                                                 lambda x: x["part"]), "\n").alias("transcript"),
+                        F.sum("n").cast("bigint").alias("n_lines")))
+
+
+def transcript_chunks(log: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text",
+                      chunk: int = TURN_CHUNK) -> DataFrame:
+    """C2 in pieces: (conversation, chunk, part, n), the lines of ``chunk`` turns each."""
     label = F.when(F.col("role") == USER_ROLE, F.lit(USER_LABEL)).otherwise(F.lit(ASSISTANT_LABEL))
     lines = (log.where(_non_blank(text))
                 .select(conv, turn, F.concat(label, F.lit(" "), F.col(text)).alias("line"),
-                        F.floor(F.col(turn) / F.lit(chunk)).alias("__chunk")))
-    partial = (lines.groupBy(conv, "__chunk")
+                        F.floor(F.col(turn) / F.lit(chunk)).alias("chunk")))
+    return (lines.groupBy(conv, "chunk")
                     .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(turn, "line"))),
-                                                  lambda x: x["line"]), "\n").alias("__part"),
-                         F.count(F.lit(1)).alias("__n")))
-    return (partial.groupBy(conv)
-                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "__part"))),
-                                                 lambda x: x["__part"]), "\n").alias("transcript"),
-                        F.sum("__n").cast("bigint").alias("n_lines")))
+                                                  lambda x: x["line"]), "\n").alias("part"),
+                         F.count(F.lit(1)).alias("n")))
 
 
 def turn_pairs(log: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text",
-               chunk: int = DEFAULT_CHUNK) -> DataFrame:
+               chunk: int = TURN_CHUNK) -> DataFrame:
     """Each user turn with the following turn's text when that turn is the assistant's."""
     nxt = neighbour(log, conv, turn, ["role", text], "next", "next_", chunk=chunk)
     return (nxt.where(F.col("role") == USER_ROLE)

@@ -90,17 +90,13 @@ def token_buckets(c, dim: int) -> Column:
 def _hash_model(dim: int):
     def factory():
         def fn(bucket_lists: list) -> list:
-            out = []
-            for b in bucket_lists:
-                if b is None:
-                    out.append(None)
-                    continue
-                h = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-                n = float(np.sqrt(h @ h))
-                if n > 0:
-                    h = h / n
-                out.append(h.astype(np.float32).tolist())
-            return out
+            there = [np.asarray(b, dtype=np.int64) for b in bucket_lists if b is not None]
+            row = np.repeat(np.arange(len(there)), [len(b) for b in there]).astype(np.int64)
+            flat = row * dim + np.concatenate(there) if there else row
+            h = np.bincount(flat, minlength=len(there) * dim).reshape(len(there), dim).astype(np.float64)
+            n = np.sqrt(np.einsum("ij,ij->i", h, h))[:, None]
+            rows = iter((h / np.where(n > 0, n, 1.0)).astype(np.float32))
+            return [None if b is None else next(rows) for b in bucket_lists]
         return fn
     return factory
 

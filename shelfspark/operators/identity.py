@@ -25,6 +25,8 @@ GENERATED_ID_PREFIX = "generated_id_"
 DUPLICATE_SUFFIX_SEPARATOR = "__"
 
 DEFAULT_CHUNK = 1 << 20
+#: Rows that one bucket of ``dense_id`` should hold at most (on average).
+ROWS_PER_BUCKET = 4_000_000
 
 
 def _cols(cols) -> list[Column]:
@@ -66,11 +68,11 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
     ``row_number`` within a bucket gives the rest.  The ids depend only on key
     values, never on partitioning or arrival order, so every consumer and any
     recomputation after a lost executor see the same ids.  ``order_by`` must be
-    unique.
+    unique; a null key comes first.  The number of buckets follows the rows.
     """
     from pyspark.sql import types as T
 
-    n = num_partitions or _num_partitions(df)
+    n = num_partitions or max(_num_partitions(df), -(-df.count() // ROWS_PER_BUCKET))
     order = _cols(order_by)
     single = len(order) == 1
     keyed = df.withColumn("__key", order[0] if single else F.struct(*order))
@@ -92,7 +94,9 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
         if not uniq or v != uniq[-1]:
             uniq.append(v)
     bounds = [_literal(v, dtype) for v in uniq]
-    bucketed = keyed.withColumn("__bucket", _bucket_expr(F.col("__key"), bounds, 0, len(bounds)))
+    # A null key sorts first: it belongs to the first bucket.
+    bucketed = keyed.withColumn("__bucket", F.when(F.col("__key").isNull(), F.lit(0))
+                                .otherwise(_bucket_expr(F.col("__key"), bounds, 0, len(bounds))))
     within = Window.partitionBy("__bucket").orderBy(*order)
     ranked = bucketed.withColumn("__rn", F.row_number().over(within))
     # Bucket sizes read off the window output: same clustering, same exchange.
@@ -156,8 +160,19 @@ def fill_blank_ids(df: DataFrame, id_col: str, pos_col: str, style: str = "posit
 
 def suffix_duplicates(df: DataFrame, id_col: str, pos_col: str, out: str | None = None,
                       chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """I4: the k-th repeat (k >= 1, in position order) of an id gets ``__k``."""
+    """I4: the k-th repeat (k >= 1, in position order) of an id gets ``__k``.
+
+    An id that already looked like that may now be there twice; such repeats get a
+    suffix again, until every id is unique (checked; one pass if there are none).
+    """
     out = out or id_col
+    done = _suffix_once(df, id_col, pos_col, out, chunk)
+    while suffix_collisions(done, out):
+        done = _suffix_once(done, out, pos_col, out, chunk)
+    return done
+
+
+def _suffix_once(df: DataFrame, id_col: str, pos_col: str, out: str, chunk: int) -> DataFrame:
     ranked = running_sum(df, id_col, pos_col, F.lit(1), "__k", chunk=chunk, inclusive=False)
     return (ranked.withColumn(out, F.when(F.col("__k") > 0,
                                           F.concat(F.col(id_col), F.lit(DUPLICATE_SUFFIX_SEPARATOR),

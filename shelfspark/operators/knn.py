@@ -7,21 +7,23 @@ vector).  Results are exact.
 
 Strategies
 ----------
-broadcast  The corpus is small enough (rows x dim x 8 bytes <= ``broadcast_bytes``,
-           checked with a count before anything is collected): it is shipped once
-           as a numpy matrix and each query partition computes its own top-k with
-           a matrix product (``mapInPandas``).  No shuffle at all.
+broadcast  The corpus is small enough (vectors and keys <= ``broadcast_bytes``,
+           measured before anything is collected): it is shipped once as a numpy
+           matrix and each query partition computes its own top-k with a matrix
+           product (``mapInPandas``).  No shuffle at all.
 broadcast_queries
            The query side is the small one (e.g. a few distinct questions against
            a large corpus): queries are shipped, the corpus streams through
            ``mapInPandas`` and per-partition top-k lists are merged by a window.
-blocked    Both sides large: queries and corpus are cut into blocks of bounded
-           rows; each (query block, corpus block) pair meets in one cogroup task
-           that emits a local top-k; a ``row_number() <= k`` window (with Catalyst's
-           partial ``WindowGroupLimit``) merges the per-block candidates.  Every
-           task holds at most one query block and one corpus block.  Exact search
-           is inherently queries x corpus work; beyond that, use ``ivf_join``,
-           which only compares a query with the cells it probes.
+cells      Both sides large: the corpus is cut into cells around pivots.  With the
+           count and radius of every cell, the triangle inequality bounds each
+           query's k-th distance from above and every cell's distance from below;
+           a query only goes to cells that can still hold one of its k nearest.
+           Exact for any data; how many cells are left depends on how well the
+           data cluster.  ``ivf_join`` is the approximate form, for the caller to
+           choose.
+
+``auto`` takes the first that fits.  All strategies return the same rows.
 """
 
 from __future__ import annotations
@@ -68,9 +70,9 @@ def _exact_row(qv: np.ndarray, cand: np.ndarray, e: np.ndarray, e_norm: np.ndarr
         return np.where(den > 0, 1.0 - dots / np.where(den > 0, den, 1.0), 1.0)
 
 
-def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarray,
-                ids: np.ndarray, k: int, space: str):
-    """Exact top-k of every row of ``q`` against ``e``; yields (query_index, rank, id, distance).
+def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarray, id_rank: np.ndarray, k: int, space: str):
+    """Exact top-k of every row of ``q`` against ``e``: arrays (query index, rank,
+    corpus index, distance).
 
     Per tile of queries: the matrix form ranks all corpus rows, ``argpartition``
     keeps ``k + 8`` candidates per query, the candidates are re-scored with the
@@ -80,14 +82,14 @@ def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarr
     rows within tolerance of the k-th value, so results are exact.
     """
     n, dim = e.shape
+    none = np.empty(0, np.int64)
     if n == 0 or q.shape[0] == 0:
-        return
+        return none, none, none, np.empty(0)
     kk = min(k, n)
     pad = min(n, kk + 8)
-    id_rank = np.empty(n, dtype=np.int64)
-    id_rank[np.asarray(sorted(range(n), key=lambda i: ids[i]), dtype=np.int64)] = np.arange(n)
     step = max(1, min(_TILE_ELEMS // n, _TILE_ELEMS // (pad * max(dim, 1))))
     e_sq_max = float(e_sq.max())
+    hit, dist = np.empty((q.shape[0], kk), np.int64), np.empty((q.shape[0], kk))
     for start in range(0, q.shape[0], step):
         qs = q[start:start + step]
         m = qs.shape[0]
@@ -121,27 +123,31 @@ def _topk_block(q: np.ndarray, e: np.ndarray, e_sq: np.ndarray, e_norm: np.ndarr
         # summation-order noise cannot reorder results between engines.
         key = np.round(exact, TIE_DIGITS) + 0.0
         order = np.lexsort((id_rank[part], key), axis=1)[:, :kk]
-        top = np.take_along_axis(part, order, 1)
-        top_d = np.take_along_axis(exact, order, 1)
+        hit[start:start + m] = np.take_along_axis(part, order, 1)
+        dist[start:start + m] = np.take_along_axis(exact, order, 1)
         safe = np.take_along_axis(key, order, 1)[:, -1] + 2 * tol < bound
-        for r in range(m):
-            if safe[r]:
-                for j in range(kk):
-                    yield start + r, j + 1, ids[top[r, j]], float(top_d[r, j])
-                continue
+        for r in np.flatnonzero(~safe).tolist():
             kth = np.partition(approx[r], kk - 1)[kk - 1]
             cand = np.nonzero(approx[r] <= kth + 2 * tol[r])[0]
             ex = _exact_row(qs[r], cand, e, e_norm, space)
-            ex_key = np.round(ex, TIE_DIGITS) + 0.0
-            rows = np.lexsort((id_rank[cand], ex_key))[:kk]
-            for j, i in enumerate(rows, start=1):
-                yield start + r, j, ids[cand[i]], float(ex[i])
+            rows = np.lexsort((id_rank[cand], np.round(ex, TIE_DIGITS) + 0.0))[:kk]
+            hit[start + r], dist[start + r] = cand[rows], ex[rows]
+    return (np.repeat(np.arange(q.shape[0]), kk), np.tile(np.arange(1, kk + 1), q.shape[0]), hit.ravel(), dist.ravel())
 
 
-def _prepare_corpus(ids, vecs):
-    e = _as_matrix(vecs)
-    e_sq = np.einsum("ij,ij->i", e, e) if len(e) else np.zeros(0)
-    return np.asarray(ids, dtype=object), e, e_sq, np.sqrt(e_sq)
+class _Corpus:
+    """A block of the corpus: ids, their order, vectors and norms, once per block."""
+
+    def __init__(self, ids, e: np.ndarray):
+        self.ids, self.e = np.asarray(ids, dtype=object), e
+        self.e_sq = np.einsum("ij,ij->i", e, e) if len(e) else np.zeros(0)
+        self.e_norm = np.sqrt(self.e_sq)
+        self.id_rank = np.empty(len(self.ids), np.int64)
+        self.id_rank[np.argsort(np.array(list(ids)), kind="stable")] = np.arange(len(self.ids))
+
+    def top(self, qids: np.ndarray, qm: np.ndarray, k: int, space: str) -> pd.DataFrame:
+        i, rank, hit, dist = _topk_block(qm, self.e, self.e_sq, self.e_norm, self.id_rank, k, space)
+        return pd.DataFrame({"qid": qids[i], "rank": rank.astype(np.int32), "id": self.ids[hit], "distance": dist})
 
 
 # ---------------------------------------------------------------------------
@@ -167,11 +173,13 @@ def _normalise_inputs(queries, corpus, qid, qvec, cid, cvec):
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *,
              qid: str = "qid", qvec: str = "vec", cid: str = "id", cvec: str = "vec",
              strategy: str = "auto", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-             block_rows: int = DEFAULT_BLOCK_ROWS, dim: int | None = None) -> DataFrame:
+             block_rows: int = DEFAULT_BLOCK_ROWS, dim: int | None = None, cells: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows for every query row.
 
     ``dim`` (the vector width, when the caller knows it, e.g. an encoder's
     output width) saves computing one corpus vector for the size check.
+    ``cells`` sets the number of cells of the ``cells`` strategy (about the square
+    root of the corpus otherwise).
     """
     if space not in ("l2", "cosine"):
         raise ValueError(f"unknown space {space!r}")
@@ -179,10 +187,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
         raise ValueError("k must be positive")
     q, c = _normalise_inputs(queries, corpus, qid, qvec, cid, cvec)
     schema = _result_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
-    # Size checks without computing the vectors: counting the unfiltered inputs
-    # prunes the vector columns (an encoder UDF is not run); the counts bound
-    # the rows that can reach a broadcast.  The width comes from one row.
-    n_corpus = corpus.select(cid).count()
+    # Rows and key bytes of the unfiltered inputs: the vector columns are pruned
+    # (an encoder UDF is not run).  The width comes from one row.
+    n_corpus, corpus_keys = _measure(corpus, cid)
     if n_corpus == 0:
         return q.sparkSession.createDataFrame([], schema)
     if dim is None:
@@ -190,24 +197,26 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
         if first is None:
             return q.sparkSession.createDataFrame([], schema)
         dim = int(first["d"])
-    corpus_fits = n_corpus * dim * 8 <= broadcast_bytes
-    # The query count is only needed when the corpus cannot be broadcast.
-    n_queries = None if (strategy in ("auto", "broadcast") and corpus_fits) else queries.select(qid).count()
-    queries_fit = n_queries is not None and n_queries * dim * 8 <= broadcast_bytes
-    if strategy == "auto":
-        # Corpus first: no merge shuffle.  Then the query side.  Then blocks.
-        strategy = "broadcast" if corpus_fits else ("broadcast_queries" if queries_fit else "blocked")
-    if strategy == "broadcast":
-        if not corpus_fits:
-            raise ValueError("corpus exceeds the broadcast bound; use strategy='blocked'")
+    fits = n_corpus * dim * 8 + corpus_keys <= broadcast_bytes
+    if strategy in ("auto", "broadcast") and fits:
         return _knn_broadcast(q, c, k, space, schema)
-    if strategy == "broadcast_queries":
-        if not queries_fit:
-            raise ValueError("queries exceed the broadcast bound; use strategy='blocked'")
-        return _knn_broadcast_queries(q, c, k, space, schema)
-    if strategy == "blocked":
-        return _knn_blocked(q, c, k, space, schema, n_queries, n_corpus, block_rows)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "broadcast":
+        raise ValueError("corpus exceeds the broadcast bound; use strategy='cells'")
+    if strategy in ("auto", "broadcast_queries"):
+        n_queries, query_keys = _measure(queries, qid)
+        if n_queries * dim * 8 + query_keys <= broadcast_bytes:
+            return _knn_broadcast_queries(q, c, k, space, schema)
+        if strategy == "broadcast_queries":
+            raise ValueError("queries exceed the broadcast bound; use strategy='cells'")
+    elif strategy != "cells":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return _knn_cells(q, c, k, space, schema, cells or math.ceil(math.sqrt(n_corpus)), block_rows)
+
+
+def _measure(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows, and bytes of the keys as text."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(key).cast("string"))).alias("b")).first()
+    return int(r.n), int(r.b or 0)
 
 
 def _collect_matrix(df: DataFrame, key: str):
@@ -234,14 +243,8 @@ def _knn_broadcast_queries(q: DataFrame, c: DataFrame, k: int, space: str, schem
     def run(batches):
         qids_b, qm_b = bc.value
         for pdf in batches:
-            if pdf.empty or len(qids_b) == 0:
-                continue
-            ids, e, e_sq, e_norm = _prepare_corpus(pdf["id"].tolist(), pdf["vec"])
-            out = list(_topk_block(qm_b, e, e_sq, e_norm, ids, k, space))
-            if out:
-                idx, rank, hit, dist = zip(*out)
-                yield pd.DataFrame({"qid": qids_b[list(idx)], "rank": np.asarray(rank, dtype=np.int32),
-                                    "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
+            if not pdf.empty and len(qids_b):
+                yield _Corpus(pdf["id"].tolist(), _as_matrix(pdf["vec"])).top(qids_b, qm_b, k, space)
 
     cand = c.mapInPandas(run, schema)
     w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
@@ -255,64 +258,118 @@ def _knn_broadcast(q: DataFrame, c: DataFrame, k: int, space: str, schema) -> Da
     # driver, moved as Arrow buffers (no per-float Python objects).
     ids, e = _collect_matrix(c, "id")
     dim = e.shape[1]
-    e_sq = np.einsum("ij,ij->i", e, e)
-    e_norm = np.sqrt(e_sq)
-    bc = spark.sparkContext.broadcast((ids, e, e_sq, e_norm))
+    bc = spark.sparkContext.broadcast(_Corpus(ids, e))
 
     def run(batches):
-        ids_b, e_b, e_sq_b, e_norm_b = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            qm = _as_matrix(pdf["vec"], dim)
-            qids = pdf["qid"].to_numpy()
-            out = list(_topk_block(qm, e_b, e_sq_b, e_norm_b, ids_b, k, space))
-            if out:
-                idx, rank, hit, dist = zip(*out)
-                yield pd.DataFrame({"qid": qids[list(idx)], "rank": np.asarray(rank, dtype=np.int32),
-                                    "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
+            if not pdf.empty:
+                yield bc.value.top(pdf["qid"].to_numpy(), _as_matrix(pdf["vec"], dim), k, space)
 
     return q.mapInPandas(run, schema)
 
 
-def _knn_blocked(q: DataFrame, c: DataFrame, k: int, space: str, schema,
-                 n_queries: int, n_corpus: int, block_rows: int) -> DataFrame:
-    bq = max(1, math.ceil(n_queries / block_rows))
-    bc_ = max(1, math.ceil(n_corpus / block_rows))
-    # Each query row goes to every corpus block of its query block and vice versa:
-    # a cogroup key (qb, cb) holds at most one query block and one corpus block.
-    qk = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))) \
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc_ - 1))))
-    ck = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc_))) \
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+MAX_CELLS = 4096
+
+
+def _unit(m: np.ndarray, space: str) -> np.ndarray:
+    """Vectors whose Euclidean distances order like ``space``."""
+    if space == "l2":
+        return m
+    n = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return m / np.where(n > 0, n, 1.0)
+
+
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d = np.einsum("ij,ij->i", m, m)[:, None] - 2.0 * (m @ pivots.T) + np.einsum("ij,ij->i", pivots, pivots)[None, :]
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def _knn_cells(q: DataFrame, c: DataFrame, k: int, space: str, schema, cells: int, block_rows: int) -> DataFrame:
+    """Exact search over cells.  Pivots (at most MAX_CELLS vectors) and one row of
+    count and radius per cell are all that reaches the driver.
+
+    For a query and a cell with pivot distance d, radius r and n rows, all rows of
+    the cell lie within d + r and none nearer than d - r.  The smallest u such that
+    cells with d + r <= u hold k rows bounds the k-th distance, and only cells with
+    d - r <= u are searched.  Zero vectors under ``cosine`` (distance 1 to all) form
+    a cell of their own that every query searches, and zero queries search all.
+    """
+    from shelfspark.session import scratch_path
+
+    spark = q.sparkSession
+    picked = c.select("id", F.col("vec").cast("array<double>").alias("vec")).orderBy(F.xxhash64("id"), "id").limit(min(cells, MAX_CELLS))
+    _, pivots = _collect_matrix(picked, "id")
+    pivots = np.unique(_unit(pivots, space), axis=0)
+    slack = 1e-6 * (1.0 + float(np.abs(pivots).max(initial=0.0)))
+    bc = spark.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("struct<cell:int,dist:double>")
+    def place(vs: pd.Series) -> pd.DataFrame:
+        raw = _as_matrix(vs)
+        m = _unit(raw, space)
+        d = _distances(m, bc.value)
+        cell = d.argmin(axis=1)
+        zero = (raw == 0).all(axis=1) if space == "cosine" else np.zeros(len(m), bool)
+        return pd.DataFrame({"cell": np.where(zero, -1, cell).astype(np.int32), "dist": np.where(zero, 0.0, d[np.arange(len(m)), cell])})
+
+    path = scratch_path(spark, "knn-cells")
+    (c.withColumn("p", place("vec")).select("id", "vec", F.col("p.cell").alias("cell"), F.col("p.dist").alias("dist")).write.parquet(path))
+    index = spark.read.parquet(path)
+    stats = {r.cell: (r.n, r.r) for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
+    used = np.array(sorted(x for x in stats if x >= 0), np.int64)
+    count, radius = np.array([stats[x][0] for x in used], np.int64), np.array([stats[x][1] for x in used], np.float64)
+    everywhere = [-1] if -1 in stats else []
+
+    @F.pandas_udf("array<int>")
+    def reachable(vs: pd.Series) -> pd.Series:
+        raw = _as_matrix(vs)
+        d = _distances(_unit(raw, space), bc.value[used])
+        far = d + radius
+        order = np.argsort(far, axis=1)
+        enough = np.cumsum(count[order], axis=1) >= k
+        at = np.where(enough.any(axis=1), enough.argmax(axis=1), max(len(used) - 1, 0))
+        bound = np.take_along_axis(far, np.take_along_axis(order, at[:, None], 1), 1) if len(used) else far
+        go = d - radius <= bound + slack
+        go[~enough.any(axis=1) if len(used) else slice(None)] = True
+        if space == "cosine":
+            go[(raw == 0).all(axis=1)] = True
+        return pd.Series([used[g].tolist() + everywhere for g in go])
+
+    qc = q.withColumn("cell", F.explode(reachable("vec")))
+    return _search_cells(qc, index.select("id", "vec", "cell"), k, space, schema, block_rows)
+
+
+def _search_cells(qc: DataFrame, index: DataFrame, k: int, space: str, schema, block_rows: int) -> DataFrame:
+    """Top k of each query (qid, vec, cell) over the index rows (id, vec, cell) of
+    its cells.  Cells are cut into blocks of about ``block_rows`` rows on both
+    sides (block counts come from a table with one row per cell), so a hot cell is
+    many tasks; the lists of the blocks are merged by a window."""
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    per_cell = F.broadcast(blocks(index, "n_c").join(blocks(qc, "n_q"), "cell"))
+    qk = (qc.join(per_cell, "cell").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("n_q")))
+            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1))).select("cell", "qb", "cb", "qid", "vec"))
+    ck = (index.join(per_cell, "cell").withColumn("cb", F.pmod(F.xxhash64("id"), F.col("n_c")))
+               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).select("cell", "qb", "cb", "id", "vec"))
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
             return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"])
-        qm = _as_matrix(qpdf["vec"], e.shape[1])
-        qids = qpdf["qid"].to_numpy()
-        out = list(_topk_block(qm, e, e_sq, e_norm, ids, k, space))
-        if not out:
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        idx, rank, hit, dist = zip(*out)
-        return pd.DataFrame({"qid": qids[list(idx)], "rank": np.asarray(rank, dtype=np.int32),
-                             "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
-
-    cand = (qk.groupBy("qb", "cb").cogroup(ck.groupBy("qb", "cb"))
-              .applyInPandas(pair, schema))
-    if bc_ == 1:
-        return cand
+        block = _Corpus(cpdf["id"].tolist(), _as_matrix(cpdf["vec"]))
+        return block.top(qpdf["qid"].to_numpy(), _as_matrix(qpdf["vec"], block.e.shape[1]), k, space)
+
+    cand = qk.groupBy("cell", "qb", "cb").cogroup(ck.groupBy("cell", "qb", "cb")).applyInPandas(pair, schema)
     w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))
 
 
 def routed_knn(queries: DataFrame, collections: dict, k: int, *, qid: str = "qid",
-               text_vec: str = "text_vec", image_vec: str = "image_vec", **kw) -> DataFrame:
+               text_vec: str = "text_vec", image_vec: str = "image_vec",
+               wanted: tuple[str, ...] = ("multimodal", "text", "image"), **kw) -> DataFrame:
     """Both vectors -> 'multimodal' on their concatenation; text only -> 'text';
-    image only -> 'image'.  Output adds a ``route`` column.  Rows with neither
-    vector are returned by ``unroutable``."""
+    image only -> 'image'.  Output adds a ``route`` column.  Every ``wanted``
+    route needs its collection.  Rows with neither vector are returned by
+    ``unroutable``."""
     has_t = F.col(text_vec).isNotNull() & (F.size(text_vec) > 0)
     has_i = F.col(image_vec).isNotNull() & (F.size(image_vec) > 0)
     routes = [
@@ -321,10 +378,10 @@ def routed_knn(queries: DataFrame, collections: dict, k: int, *, qid: str = "qid
         ("image", ~has_t & has_i, F.col(image_vec)),
     ]
     out = None
-    for name, cond, vec in routes:
+    for name, cond, vec in (r for r in routes if r[0] in wanted):
         coll = collections.get(name)
         if coll is None:
-            continue
+            raise ValueError(f"no {name} collection given (pass the routes that are wanted)")
         coll_space = coll.get("space", "l2") if isinstance(coll, dict) else "l2"
         coll_df = coll["df"] if isinstance(coll, dict) else coll
         sub = queries.where(cond).select(F.col(qid).alias("qid"), vec.alias("vec"))
@@ -352,43 +409,52 @@ def with_documents(hits: DataFrame, collection: DataFrame, id_col: str = "id") -
         if id_col != "id" else hits.join(collection, "id", "left")
 
 
-def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus: DataFrame,
-                         k: int, space: str = "cosine", max_broadcast_hits: int = 1_000_000, **kw) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, by: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join on a key that few values of ``big`` dominate.  Rows of ``big`` are
+    spread over ``salts`` tasks per key by a hash of ``by``; rows of ``small`` are
+    repeated only for the (key, salt) pairs that occur."""
+    b = big.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    there = b.select(key, "__salt").distinct().join(small, key)
+    return b.join(there, [key, "__salt"], how).drop("__salt")
+
+
+def knn_distinct_queries(questions: DataFrame, text_col: str, encode_fn, corpus: DataFrame, k: int,
+                         space: str = "cosine", by: list[str] | None = None, **kw) -> DataFrame:
     """Search each distinct question text once and join the hits back.
 
     ``encode_fn(df, text_col) -> df`` adds a ``vec`` column.  The question text
     itself is the query key (no id assignment, no collisions); hits are joined
-    back to every row that asked it.
+    back to every row that asked it, popular questions spread by a hash of the
+    columns ``by`` (all columns otherwise).
     """
-    from shelfspark.session import checkpoint_root
-
-    # Read three times (count, encode, search): materialise once in the shared
-    # checkpoint folder instead of re-deriving it from the question pipeline.
-    checkpoint_root(questions.sparkSession)
-    distinct_q = questions.select(text_col).distinct().checkpoint(eager=True)
+    from shelfspark.session import scratch_path
+
+    # Read several times (size check, encode, search, join back): the narrow pair
+    # table is written once instead of derived again.
+    spark = questions.sparkSession
+    path = scratch_path(spark, "questions")
+    questions.write.parquet(path)
+    questions = spark.read.schema(questions.schema).parquet(path)
+    distinct_q = questions.select(text_col).distinct()
     vecs = encode_fn(distinct_q, text_col)
     hits = knn_join(vecs.select(F.col(text_col).alias("__q"), "vec"), corpus, k, space, qid="__q", **kw)
-    hits = hits.withColumnRenamed("qid", text_col)
-    # Few distinct questions means very hot join keys on the question table:
-    # broadcast the hits (distinct x k rows, counted first) so that table is
-    # never shuffled by question.  Beyond the bound, a shuffle join (AQE splits
-    # skewed partitions).
-    if distinct_q.count() * k <= max_broadcast_hits:
-        hits = F.broadcast(hits)
-    return questions.join(hits, text_col)
+    return salted_join(questions, hits.withColumnRenamed("qid", text_col), text_col, by or questions.columns)
 
 
 # ---------------------------------------------------------------------------
 # IVF approximate search
 
-def ivf_build(corpus: DataFrame, cells: int, *, cid: str = "id", cvec: str = "vec", space: str = "l2",
+def ivf_build(corpus: DataFrame, cells: int | None = None, *, cid: str = "id", cvec: str = "vec", space: str = "l2",
               seed: int = 1, max_iter: int = 20) -> dict:
-    """Cluster the corpus into ``cells`` with Spark ML k-means.
+    """Cluster the corpus into ``cells`` (about the square root of its rows, at most
+    MAX_CELLS, if not given) with Spark ML k-means.
 
     Returns ``{'df': (id, vec, cell), 'centroids': ndarray, 'space': space}``;
     the centroids (cells x dim) are the only data brought to the driver.
     Under ``cosine`` the clustering runs on unit vectors.
     """
+    if cells is None:
+        cells = int(min(max(2, math.ceil(math.sqrt(corpus.count()))), MAX_CELLS))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -411,10 +477,8 @@ def ivf_join(queries: DataFrame, index: dict, k: int, probe: int = 1, *, qid: st
              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Approximate k-NN: each query searches its ``probe`` nearest cells exactly.
 
-    Queries are routed to cells by a pandas UDF over the broadcast centroids;
-    each (cell, query block, corpus block) meets in one cogroup task, so a hot
-    cell is split into bounded blocks instead of one task; local top-k lists
-    are merged with ``row_number() <= k``.
+    Queries are routed to cells by one matrix product per batch with the broadcast
+    centroids.  A query gets fewer than ``k`` rows if its cells hold fewer.
     """
     spark = queries.sparkSession
     space = index["space"]
@@ -425,56 +489,10 @@ def ivf_join(queries: DataFrame, index: dict, k: int, probe: int = 1, *, qid: st
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest_cells(vs: pd.Series) -> pd.Series:
-        c = bc.value
-        out = []
-        for v in vs:
-            x = np.asarray(v, dtype=np.float64)
-            if space == "cosine":
-                n = math.sqrt(float(x @ x))
-                x = x / n if n > 0 else x
-            d = ((c - x[None, :]) ** 2).sum(axis=1)
-            out.append(np.argsort(d, kind="stable")[:probe].astype(np.int32).tolist())
-        return pd.Series(out)
+        d = _distances(_unit(_as_matrix(vs), space), bc.value)
+        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)))
 
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec")) \
                .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    qc = q.withColumn("cell", F.explode(nearest_cells("vec")))
-    idx = index["df"]
-    # Block counts per cell: tables with one row per cell (bounded by ``cells``).
-    c_sizes = {r["cell"]: r["n"] for r in idx.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    q_sizes = {r["cell"]: r["n"] for r in qc.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cb_map = {c: max(1, math.ceil(n / block_rows)) for c, n in c_sizes.items()}
-    qb_map = {c: max(1, math.ceil(n / block_rows)) for c, n in q_sizes.items()}
-
-    def lookup(m: dict, col: str):
-        if not m:
-            return F.lit(1)
-        pairs = []
-        for key, val in m.items():
-            pairs += [F.lit(int(key)), F.lit(int(val))]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col(col)), F.lit(1))
-
-    qk = (qc.withColumn("qb", F.pmod(F.xxhash64("qid"), lookup(qb_map, "cell")))
-            .withColumn("cb", F.explode(F.sequence(F.lit(0), lookup(cb_map, "cell") - 1))))
-    ck = (idx.withColumn("cb", F.pmod(F.xxhash64("id"), lookup(cb_map, "cell")))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), lookup(qb_map, "cell") - 1))))
-    schema = _result_schema(q.schema["qid"].dataType, idx.schema["id"].dataType)
-
-    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        if qpdf.empty or cpdf.empty:
-            return empty
-        ids, e, e_sq, e_norm = _prepare_corpus(cpdf["id"].tolist(), cpdf["vec"])
-        qm = _as_matrix(qpdf["vec"], e.shape[1])
-        out = list(_topk_block(qm, e, e_sq, e_norm, ids, k, space))
-        if not out:
-            return empty
-        i, rank, hit, dist = zip(*out)
-        return pd.DataFrame({"qid": qpdf["qid"].to_numpy()[list(i)], "rank": np.asarray(rank, dtype=np.int32),
-                             "id": list(hit), "distance": np.asarray(dist, dtype=np.float64)})
-
-    cand = (qk.groupBy("cell", "qb", "cb").cogroup(ck.groupBy("cell", "qb", "cb"))
-              .applyInPandas(pair, schema))
-    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))
+    schema = _result_schema(q.schema["qid"].dataType, index["df"].schema["id"].dataType)
+    return _search_cells(q.withColumn("cell", F.explode(nearest_cells("vec"))), index["df"], k, space, schema, block_rows)

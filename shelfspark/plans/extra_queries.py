@@ -1,5 +1,5 @@
 """Registered queries for the media, collection, answer and evaluation pipelines
-(PL2, PL4, PL5, S3, S14, J4); all but the media and IVF queries have oracles."""
+(PL2-PL5, S3-S13, J4); all but the probed IVF query have oracles."""
 
 from __future__ import annotations
 
@@ -15,18 +15,12 @@ from shelfspark.plans.registered import digest as _digest
 from shelfspark.sources import catalog as SC
 
 
-@register("media_histogram")
-def media_histogram(spark, sf):
-    """S14 + B2: every file of the table directory, byte-histogram vectors."""
-    files = SC.read_media_files(spark, sf, glob="*.parquet")
-    enc = files.withColumn("vec", EN.encode_column("content", EN.byte_histogram_model(), batch_size=4))
-    return enc.select(F.element_at(F.split("path", "/"), -1).alias("file"), big("length").alias("length"),
-                      big(F.size("vec")).alias("dim"))
+SHOP_PROMPT = "Products found:\n{context}\n===\nCustomer asks: {query}\nReply:"
 
 
 def _answer_batch_sql() -> str:
-    a, rest = PL.EVAL_PROMPT.split("{context}")
-    b, c = rest.split("{question}")
+    a, rest = SHOP_PROMPT.split("{context}")
+    b, c = rest.split("{query}")
     sep = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
     return f"""
 {SQL_SEARCH_TEXT},
@@ -42,9 +36,8 @@ blocks AS (SELECT h.qid, h.rank, c.document || CASE WHEN c.image_url IS NOT NULL
            FROM hits h JOIN cat c ON h.id = c.id),
 ctx AS (SELECT qid, count(*) AS n, string_agg(block, {sep} ORDER BY rank) AS context FROM blocks GROUP BY qid)
 SELECT q.qid, coalesce(ctx.n, 0)::BIGINT AS n_contexts,
-       length(CASE WHEN coalesce(ctx.n, 0) = 0 THEN 'I don''t know.'
-                   ELSE {S.lit(a)} || ctx.context || {S.lit(b)} || coalesce(q.question, '') || {S.lit(c)} END)::BIGINT
-       AS answer_chars
+       md5(CASE WHEN coalesce(ctx.n, 0) = 0 THEN 'I don''t know.'
+                ELSE {S.lit(a)} || ctx.context || {S.lit(b)} || coalesce(q.question, '') || {S.lit(c)} END) AS answer_md5
 FROM qs q LEFT JOIN ctx ON q.qid = ctx.qid"""
 
 
@@ -60,10 +53,12 @@ def answer_batch(spark, sf):
     # (conversation, turn) as an exact text key: no arithmetic packing that could collide.
     qid = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
     qs = EN.hash_encode(conv.select(qid.alias("qid"), F.col("text").alias("question")), "question", dim=DIM)
-    ans = PL.answer_batch(qs, coll, K_CHAT, "cosine", dim=DIM)
-    return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), big(F.length("answer")).alias("answer_chars"))
+    ans = PL.answer_batch(qs, coll, K_CHAT, "cosine", dim=DIM, prompt=SHOP_PROMPT)
+    return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 
+_PROMPT_A, _PROMPT_REST = PL.EVAL_PROMPT.split("{context}")
+_PROMPT_B, _PROMPT_C = _PROMPT_REST.split("{question}")
 _EVAL_BASE = f"""
 WITH {_CATALOG_SQL}, {_RECORDS_SQL},
 capped AS (SELECT * FROM records ORDER BY __key LIMIT {PL.EVAL_CAP}),
@@ -81,11 +76,13 @@ ctx AS (SELECT h.qid AS question, list(c.document ORDER BY h.rank) AS contexts
         FROM hits h JOIN coll c ON h.id = c.id GROUP BY h.qid),
 pred AS (SELECT kp.pid, kp.q_index, kp.question, kp.ground_truth AS reference, coalesce(ctx.contexts, []) AS contexts
          FROM kept kp LEFT JOIN ctx ON kp.question = ctx.question),
-ans AS (SELECT *, CASE WHEN len(contexts) = 0 THEN 'I don''t know.' ELSE contexts[1] END AS answer FROM pred),
+prompted AS (SELECT *, {S.lit(_PROMPT_A)} || array_to_string(contexts, chr(10) || chr(10)) || {S.lit(_PROMPT_B)} || question
+                       || {S.lit(_PROMPT_C)} AS prompt FROM pred),
+ans AS (SELECT *, CASE WHEN len(contexts) = 0 THEN 'I don''t know.' ELSE prompt END AS answer FROM prompted),
 sc AS (SELECT pid, q_index, question, {S.f1(S.tokens('reference'), S.tokens('answer'))} AS answer_f1,
               {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('reference'))} AS context_recall,
               {S.ratio_in(S.tokens("array_to_string(contexts, ' ')"), S.tokens('answer'))} AS context_precision,
-              contexts FROM ans)"""
+              contexts, md5(prompt) AS prompt_md5 FROM ans)"""
 
 _EVAL_SQL = _EVAL_BASE + """
 SELECT round(coalesce(avg(answer_f1), 0.0), 6) AS answer_f1, round(coalesce(avg(context_recall), 0.0), 6) AS context_recall,
@@ -94,30 +91,51 @@ SELECT round(coalesce(avg(answer_f1), 0.0), 6) AS answer_f1, round(coalesce(avg(
 FROM sc"""
 
 
+def _stored_collection(spark, records):
+    from shelfspark.session import scratch_path
+    from shelfspark.sources import collections as CO
+
+    coll = PL.text_collection(records.withColumn("text", F.concat_ws(" || ", "Title", "Description", "Category")), "text", dim=DIM)
+    return CO.save(coll, scratch_path(spark, "eval-collection"), "text")
+
+
 @register("eval_summary", _EVAL_SQL)
 def eval_summary(spark, sf):
     """PL5: pairs -> retrieval over the catalog collection -> answers -> scores -> summary."""
     records = _records(spark, sf)
     pairs = PL.evaluation_pairs(records, "__key")
-    coll = PL.text_collection(records.withColumn("text", F.concat_ws(" || ", "Title", "Description", "Category")),
-                              "text", dim=DIM)
+    coll = _stored_collection(spark, records)
     scored = PL.evaluate(pairs, coll, PL.EVAL_TOP_K, "l2", dim=DIM)
     s = EV.summarize(scored)
     return s.select(r6("answer_f1").alias("answer_f1"), r6("context_recall").alias("context_recall"),
                     r6("context_precision").alias("context_precision"), "n_questions", "n_no_context")
 
 
-@register("ivf_topk")
-def ivf_topk(spark, sf):
-    """IVF over the embeddings (8 cells, 3 probed), cosine, top 5."""
+_EMB_TOP5 = S.topk("(SELECT vec_id AS qid, embedding AS v FROM embeddings)", "(SELECT vec_id AS id, embedding AS v FROM embeddings)", 5, "cosine")
+
+
+def _ivf(spark, sf, probe):
     from shelfspark.operators import knn as KN
 
     e = t(spark, sf, "embeddings")
-    index = KN.ivf_build(e, 8, cid="vec_id", cvec="embedding", space="cosine", seed=7)
-    hits = KN.ivf_join(e, index, 5, probe=3, qid="vec_id", qvec="embedding")
+    index = KN.ivf_build(e, cid="vec_id", cvec="embedding", space="cosine", seed=7)
+    cells = len(index["centroids"])
+    hits = KN.ivf_join(e, index, 5, probe=probe or cells, qid="vec_id", qvec="embedding")
     return hits.select("qid", big("rank").alias("rank"), "id", r6("distance").alias("distance"))
 
 
+@register("ivf_topk", f"SELECT qid, rank::BIGINT AS rank, id, round(distance, 6) AS distance FROM ({_EMB_TOP5})")
+def ivf_topk(spark, sf):
+    """J4 with all cells (about the square root of the rows) probed: exact."""
+    return _ivf(spark, sf, None)
+
+
+@register("ivf_topk_probed")
+def ivf_topk_probed(spark, sf):
+    """J4, approximate: a few of the cells (recall is checked in the tests)."""
+    return _ivf(spark, sf, 8)
+
+
 _COLLECTION_SQL = f"""
 {SQL_SEARCH_TEXT},
 coll AS (SELECT "Uniq Id" AS id, coalesce(search_text, '') AS document, "Product Name" AS name,
@@ -178,7 +196,7 @@ def tolerant_csv_counts(spark, sf):
 _PRED_SQL = _EVAL_BASE + """
 SELECT pid, q_index::BIGINT AS q_index, question, round(answer_f1, 6) AS answer_f1,
        round(context_recall, 6) AS context_recall, round(context_precision, 6) AS context_precision,
-       len(contexts)::BIGINT AS n_contexts
+       len(contexts)::BIGINT AS n_contexts, prompt_md5
 FROM sc"""
 
 
@@ -187,13 +205,12 @@ def eval_predictions(spark, sf):
     """E3/E4/E5-E7 per evaluation pair (the table behind ``eval_summary``)."""
     records = _records(spark, sf)
     pairs = PL.evaluation_pairs(records, "__key")
-    coll = PL.text_collection(records.withColumn("text", F.concat_ws(" || ", "Title", "Description", "Category")),
-                              "text", dim=DIM)
+    coll = _stored_collection(spark, records)
     scored = PL.evaluate(pairs, coll, PL.EVAL_TOP_K, "l2", dim=DIM)
     return scored.select("pid", "q_index", "question", r6("answer_f1").alias("answer_f1"),
                          r6("context_recall").alias("context_recall"),
                          r6("context_precision").alias("context_precision"),
-                         big(F.size("contexts")).alias("n_contexts"))
+                         big(F.size("contexts")).alias("n_contexts"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 @register("upsert_collection", f"""
@@ -285,3 +302,112 @@ def clean_catalog_sink(spark, sf):
     SC.write_clean_catalog(cleaned, path)
     # Product texts hold words that the reader would take for missing values; none here.
     return SC.read_catalog(spark, path, cleaned.columns).select("product_id", "search_text")
+
+
+_IMAGE_BINS = 64
+_IMAGE_SQL = f"""
+{SQL_SEARCH_TEXT},
+coll AS (SELECT "Uniq Id" AS id, __key AS k, coalesce(search_text, '') AS document FROM st),
+bytes AS (SELECT page_id AS k, ('0x' || substr(h, 2 * i + 1, 2))::INT // {256 // _IMAGE_BINS} AS b
+          FROM (SELECT page_id, hex(encode(html)) AS h, unnest(range(0, octet_length(encode(html)))) AS i FROM pages WHERE html IS NOT NULL)),
+cnt AS (SELECT k, b, count(*)::DOUBLE AS c FROM bytes GROUP BY ALL),
+nrm AS (SELECT k, sqrt(sum(c * c)) AS n FROM cnt GROUP BY k),
+img AS (SELECT coll.id, list(coalesce(cnt.c / nrm.n, 0)::FLOAT::DOUBLE ORDER BY g.b) AS v,
+               bool_and(p.html IS NULL) AS encode_failed
+        FROM coll CROSS JOIN (SELECT range AS b FROM range({_IMAGE_BINS})) g LEFT JOIN pages p ON p.page_id = coll.k
+        LEFT JOIN cnt ON cnt.k = coll.k AND cnt.b = g.b LEFT JOIN nrm ON nrm.k = coll.k GROUP BY coll.id),
+cv AS (SELECT k AS id, v FROM {S.hash_vectors('coll', 'id', 'document', DIM)})"""
+
+
+def _media_collections(spark, sf):
+    """PL2 with the page sources as the products' media bytes (B2)."""
+    from shelfspark.session import scratch_path
+
+    cleaned = PL.clean_catalog(PL.catalog_from_tables(spark, sf), F.col("`Uniq Id`").cast("bigint")).withColumn("id", F.col("`Uniq Id`"))
+    pages = t(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.encode("html", "UTF-8").alias("media"))
+    return PL.build_collections(cleaned.join(pages, "id", "left"), scratch_path(spark, "collections"), dim=DIM,
+                                image_bins=_IMAGE_BINS, image_bytes="media")
+
+
+def _media_columns(coll):
+    return coll.select("id", "encode_failed", big(F.size("embedding")).alias("dim"), F.round(_digest("embedding"), 4).alias("digest"))
+
+
+@register("image_collection", _IMAGE_SQL + f"""
+SELECT id, encode_failed, len(v)::BIGINT AS dim, round({S.weighted_digest('v')}, 4) AS digest FROM img""")
+def image_collection(spark, sf):
+    return _media_columns(_media_collections(spark, sf)["image"])
+
+
+@register("multimodal_collection", _IMAGE_SQL + f"""
+SELECT id, encode_failed, len(w)::BIGINT AS dim, round({S.weighted_digest('w')}, 4) AS digest
+FROM (SELECT img.id, encode_failed, list_concat(cv.v, img.v) AS w FROM img JOIN cv ON img.id = cv.id)""")
+def multimodal_collection(spark, sf):
+    return _media_columns(_media_collections(spark, sf)["multimodal"])
+
+
+@register("answer_batch_routed", """
+SELECT 'text' AS route, count(*) AS n FROM conversations WHERE role = 'user' AND turn % 3 = 0
+UNION ALL SELECT 'image', count(*) FROM conversations WHERE role = 'user' AND turn % 3 = 1
+UNION ALL SELECT 'multimodal', count(*) FROM conversations WHERE role = 'user' AND turn % 3 = 2""")
+def answer_batch_routed(spark, sf):
+    """PL4 + J2: questions with a text vector, media bytes or both against the three collections."""
+    from shelfspark.operators import encode as EN
+
+    colls = _media_collections(spark, sf)
+    spaces = {"text": "cosine", "image": "cosine", "multimodal": "l2"}
+    given = {n: {"df": c.withColumnRenamed("embedding", "vec"), "space": spaces[n]} for n, c in colls.items()}
+    conv = t(spark, sf, "conversations").where("role = 'user'")
+    qid = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    qs = EN.hash_encode(conv.select(qid.alias("qid"), "turn", F.col("text").alias("question")), "question", dim=DIM, out="tv")
+    media = EN.encode_column(F.encode("question", "UTF-8"), EN.byte_histogram_model(_IMAGE_BINS))
+    qs = qs.select("qid", "turn", "question", F.when(F.col("turn") % 3 != 1, F.col("tv")).alias("text_vec"),
+                   F.when(F.col("turn") % 3 != 0, media).alias("image_vec"))
+    ans = PL.answer_batch(qs, given, K_CHAT, prompt=SHOP_PROMPT).where(F.size("contexts") == K_CHAT)
+    turn = F.substring_index("qid", ":", -1).cast("long")
+    route = F.when(turn % 3 == 0, "text").when(turn % 3 == 1, "image").otherwise("multimodal")
+    return ans.where(F.col("answer") == F.col("prompt")).groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("report_roundtrip", _EVAL_BASE + """
+SELECT pid, q_index::BIGINT AS q_index, CAST(round(answer_f1, 6) AS VARCHAR) = '' AS blank, count(*) OVER () AS n_rows,
+       (SELECT count(*) FROM sc) AS n_questions FROM sc""")
+def report_roundtrip(spark, sf):
+    """S13 + E10: predictions, worst rows and metrics written and read back."""
+    from shelfspark.session import scratch_path
+
+    records = _records(spark, sf)
+    scored = PL.evaluate(PL.evaluation_pairs(records, "__key"), _stored_collection(spark, records), PL.EVAL_TOP_K, "l2", dim=DIM)
+    path = scratch_path(spark, "report")
+    PL.report(scored, path)
+    back = SC.read_catalog(spark, f"{path}/predictions", scored.columns)
+    metrics = spark.read.json(f"{path}/metrics").select("n_questions")
+    n = back.agg(F.count(F.lit(1)).alias("n_rows"))
+    return (back.select("pid", big("q_index").alias("q_index"), F.col("answer_f1").isNull().alias("blank"))
+            .join(F.broadcast(n.join(F.broadcast(metrics))))
+            .select("pid", "q_index", "blank", "n_rows", "n_questions"))
+
+
+@register("repair_collection", f"""
+WITH src AS (SELECT e.vec_id, CASE WHEN e.label = 2 THEN NULL ELSE CAST(e.label AS VARCHAR) END AS id, d.text,
+                    CASE WHEN e.label = 1 THEN NULL ELSE embedding END AS v
+             FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id),
+ok AS (SELECT * FROM src WHERE v IS NOT NULL AND text IS NOT NULL AND {S.strip('text')} <> '')
+SELECT (SELECT count(*) FROM src) AS n_total, (SELECT count_if(id IS NULL) FROM src) AS n_bad_id,
+       (SELECT count_if(v IS NULL) FROM src) AS n_bad_vec, (SELECT count(*) FROM ok) AS n_stored,
+       (SELECT count(*) FROM ok) AS n_ids, (SELECT max(len(v))::BIGINT FROM ok) AS length""")
+def repair_collection(spark, sf):
+    """PL3 end to end from a CSV file with bad ids and vectors."""
+    from shelfspark.session import scratch_path
+
+    e = t(spark, sf, "embeddings")
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    rows = e.join(d, e["vec_id"] == d["doc_id"], "left").select(
+        F.when(F.col("label") != 2, F.col("label").cast("string")).alias("id"), "text",
+        F.when(F.col("label") != 1, F.to_json(F.transform("embedding", lambda x: x.cast("double")))).alias("embedding"))
+    path = scratch_path(spark, "repair-csv")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    out = PL.repair_collection(spark, path, scratch_path(spark, "repaired"), "text")
+    stored = out["collection"].agg(F.count(F.lit(1)).alias("n_stored"), F.count_distinct("id").alias("n_ids"))
+    return (out["counts"].select("n_total", "n_bad_id", "n_bad_vec").join(F.broadcast(stored))
+            .join(F.broadcast(out["lengths"].select("length"))))

@@ -122,24 +122,28 @@ def catalog_metadata() -> "F.Column":
 
 
 def build_collections(cleaned: DataFrame, root: str, dim: int = 64, image_fetcher=None, image_bins: int = 64,
-                      if_exists: str = "replace") -> dict:
+                      if_exists: str = "replace", image_bytes: str | None = None) -> dict:
     """PL2: text (cosine), image (cosine) and multimodal (l2) collections from a
     cleaned catalog (PL1 output), written as versioned collections.
 
-    Images are fetched through ``image_fetcher`` (S14) and encoded with the
-    byte-histogram stand-in (B2); a failed fetch becomes a zero vector with an
-    ``encode_failed`` flag (V7).  The multimodal vector is text ++ image (V4).
+    Images are the bytes in the column ``image_bytes``, or are fetched through
+    ``image_fetcher`` (S14); they are encoded with the byte-histogram stand-in
+    (B2).  A missing image becomes a zero vector with an ``encode_failed`` flag
+    (V7).  The multimodal vector is text ++ image (V4).
     """
     from shelfspark.sources import collections as CO
 
     base = cleaned.select(F.col("id").cast("string").alias("id"),
                           F.coalesce("search_text", F.lit("")).alias("document"),
-                          catalog_metadata().alias("metadata"), "image_url")
+                          catalog_metadata().alias("metadata"), "image_url", *([image_bytes] if image_bytes else []))
     text = EN.hash_encode(base, "document", dim=dim, out="text_vec")
     out = {"text": CO.save(text.select("id", F.col("text_vec").alias("embedding"), "document", "metadata"),
                            root, "text", space="cosine", if_exists=if_exists)}
-    if image_fetcher is not None:
-        fetched = SC.fetch_media(text, "image_url", image_fetcher, out="image_bytes")
+    if not out["text"].isEmpty():
+        V.assert_dim(out["text"], "embedding")
+    if image_fetcher is not None or image_bytes:
+        fetched = (text.withColumn("image_bytes", F.col(image_bytes)) if image_bytes
+                   else SC.fetch_media(text, "image_url", image_fetcher, out="image_bytes"))
         enc = fetched.withColumn("image_vec", EN.encode_column("image_bytes", EN.byte_histogram_model(image_bins)))
         enc = (enc.withColumn("encode_failed", F.col("image_vec").isNull())
                   .withColumn("image_vec", V.zero_fill("image_vec", image_bins)))
@@ -152,72 +156,112 @@ def build_collections(cleaned: DataFrame, root: str, dim: int = 64, image_fetche
 
 
 def repair_embeddings(raw: DataFrame, id_col: str, text_col: str, vec_text_col: str, order_by) -> DataFrame:
-    """PL3: V1 parse -> I2 generated ids -> I4 suffixes -> P6 validity -> W1 dedupe."""
+    """PL3, the rows: V1 parse -> I2 generated ids -> P6 validity -> I4 suffixes.
+
+    Repeated ids are made unique by suffixes, as the repair of the stored table
+    does; nothing valid is lost."""
     with_pos = ID.dense_id(raw, order_by, out="__pos")
     parsed = with_pos.withColumn("embedding", V.parse_vector(F.col(vec_text_col)))
     filled = ID.fill_blank_ids(parsed.withColumn("id", F.col(id_col).cast("string")), "id", "__pos",
                                style="generated")
     valid = filled.where(ID.valid_rows("id", text_col, "embedding"))
-    return ID.keep_first(valid, "id", "__pos")
+    return ID.suffix_duplicates(valid, "id", "__pos")
+
 
+def repair_collection(spark: SparkSession, csv_path: str, root: str, name: str, multiline: bool = True) -> dict:
+    """PL3 end to end: tolerant load (S3) -> column pick (P3, P4) -> quality counts
+    (A1) -> repair -> length histogram (A3) -> collection (S7).
+
+    Returns the DataFrames ``counts`` (before), ``corrupt``, ``lengths`` and ``collection``.
+    """
+    from shelfspark.operators import profile as PR
+    from shelfspark.session import scratch_path
+    from shelfspark.sources import collections as CO
 
-def answer_batch(questions: DataFrame, collection: DataFrame, k: int = CHAT_TOP_K, space: str = "cosine",
-                 model_factory=None, qvec: str = "vec", dim: int | None = None) -> DataFrame:
-    """PL4: k-NN -> metadata lookup -> context blocks (F12) -> prompt -> answer."""
-    hits = KN.knn_join(questions, collection, k, space, qvec=qvec, cvec="embedding", dim=dim)
-    if "image_url" in collection.columns:
-        url = F.col("image_url")
-    elif "metadata" in collection.columns:
-        url = F.col("metadata.image_url").alias("image_url")
+    good, corrupt = SC.read_tolerant_csv(spark, csv_path, [], multiline=multiline)
+    path = scratch_path(spark, "tolerant-rows")
+    good.write.parquet(path)
+    rows = spark.read.schema(good.schema).parquet(path)
+    vec = SC.detect_vector_column(rows)
+    text = SC.pick_text_column(rows, vec)
+    rows, id_col = SC.with_id_column(rows.withColumn("__row", F.monotonically_increasing_id()), "__row")
+    counts = PR.quality_counts(rows.withColumn("__v", V.parse_vector(vec)), id_col, text, "__v")
+    fixed = repair_embeddings(rows, id_col, text, vec, "__row")
+    stored = CO.save(fixed.select("id", "embedding", F.col(text).alias("document")), root, name)
+    return {"counts": counts, "corrupt": corrupt, "lengths": PR.length_histogram(stored, F.size("embedding")), "collection": stored}
+
+
+def answer_batch(questions: DataFrame, collection, k: int = CHAT_TOP_K, space: str = "cosine",
+                 model_factory=None, qvec: str = "vec", dim: int | None = None, prompt: str = EVAL_PROMPT) -> DataFrame:
+    """PL4: k-NN -> metadata lookup -> context blocks (F12) -> prompt -> answer.
+
+    ``collection`` is one collection searched with the vector column ``qvec``, or
+    a dict of collections (``open_all``) that the columns ``text_vec`` and
+    ``image_vec`` are routed to (J2).  ``prompt`` is the caller's template with the
+    slots {context} and {question} (or {query}).
+    """
+    if isinstance(collection, dict):
+        given = {n: c for n, c in collection.items() if c is not None}
+        hits = KN.routed_knn(questions, given, k, wanted=tuple(given), dim=None)
+        parts = [(n, c["df"] if isinstance(c, dict) else c) for n, c in given.items()]
     else:
-        url = F.lit(None).cast("string").alias("image_url")
-    meta = collection.select("id", "document", url)
-    blocks = (KN.with_documents(hits, meta)
-                .withColumn("block", TX.context_block("document", "image_url")))
+        hits = KN.knn_join(questions, collection, k, space, qvec=qvec, cvec="embedding", dim=dim).withColumn("route", F.lit(""))
+        parts = [("", collection)]
+    meta = None
+    for name, c in parts:
+        url = (F.col("image_url") if "image_url" in c.columns else F.col("metadata.image_url").alias("image_url")
+               if "metadata" in c.columns else F.lit(None).cast("string").alias("image_url"))
+        one = c.select(F.lit(name).alias("route"), "id", "document", url)
+        meta = one if meta is None else meta.unionByName(one)
+    blocks = hits.join(meta, ["route", "id"], "left").withColumn("block", TX.context_block("document", "image_url"))
     ctx = EV.contexts_by_rank(blocks, "qid", "rank", "block")
     q = questions.select("qid", "question").join(ctx, "qid", "left") \
                  .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     q = q.withColumn("context", EV.context_string(F.col("contexts")))
-    q = q.withColumn("prompt", TX.render_prompt(EVAL_PROMPT, context="context", question="question"))
+    q = q.withColumn("prompt", TX.render_prompt(prompt, context="context", question="question", query="question"))
     return EN.generate(q, "prompt", "contexts", model_factory or EN.echo_model())
 
 
-def evaluation_pairs(records: DataFrame, order_col: str, n_cap: int = EVAL_CAP,
-                     n_sample: int = EVAL_SAMPLE_SIZE, seed: int = EVAL_SAMPLE_SEED) -> DataFrame:
-    """First ``n_cap`` records -> reproducible sample -> question pairs with pids."""
+def evaluation_pairs(records: DataFrame, order_col: str, n_cap: int | None = EVAL_CAP,
+                     n_sample: int | None = EVAL_SAMPLE_SIZE, seed: int = EVAL_SAMPLE_SEED) -> DataFrame:
+    """First ``n_cap`` records -> reproducible sample -> question pairs with pids
+    (None: no cap, no sample)."""
     capped = SC.cap_first_n(records, order_col, n_cap)
     sampled = EV.hash_sample(capped, order_col, n_sample, seed, out="sample_idx")
     with_pid = ID.fill_blank_ids(sampled.withColumn("pid", F.col("id")), "pid", "sample_idx", style="md5",
                                  title="Title", category="Category")
     pairs = EV.qa_pairs(with_pid, "Title", "Description", "Category", keep=["pid", "sample_idx"])
-    # At most 2 x n_sample rows, read several times downstream (counts, distinct
-    # questions, join-back): cut the lineage once in the shared checkpoint folder.
-    from shelfspark.session import checkpoint_root
+    # Read several times downstream (distinct questions, join-back): written once.
+    from shelfspark.session import scratch_path
+
+    path = scratch_path(records.sparkSession, "pairs")
+    pairs.write.parquet(path)
+    return records.sparkSession.read.schema(pairs.schema).parquet(path)
+
 
-    checkpoint_root(records.sparkSession)
-    return pairs.checkpoint(eager=True)
+#: Between contexts in the evaluation prompt.
+EVAL_SEPARATOR = "\n\n"
 
 
 def evaluate(pairs: DataFrame, collection: DataFrame, k: int = EVAL_TOP_K, space: str = "l2",
-             dim: int = 64, model_factory=None) -> DataFrame:
-    """PL5: J6 retrieval of distinct questions -> contexts (A6) -> answers
-    -> harmonised predictions (E4) -> per-row scores (E5-E7, E9)."""
+             dim: int = 64, model_factory=None, prompt: str = EVAL_PROMPT) -> DataFrame:
+    """PL5: J6 retrieval of distinct questions -> contexts (A6) -> the caller's
+    prompt with all contexts and the question -> answers (B3) -> harmonised
+    predictions (E4) -> per-row scores (E5-E7, E9)."""
     def enc(df, col):
         return EN.hash_encode(df, col, dim=dim, out="vec")
 
-    hits = KN.knn_distinct_queries(pairs.select("question").distinct(), "question", enc, collection, k, space,
-                                   cvec="embedding", dim=dim)
+    vecs = enc(pairs.select("question").distinct(), "question")
+    hits = KN.knn_join(vecs, collection, k, space, qid="question", cvec="embedding", dim=dim).withColumnRenamed("qid", "question")
     docs = KN.with_documents(hits, collection.select("id", "document"))
     ctx = EV.contexts_by_rank(docs, "question", "rank", "document")
-    # One context row per distinct question: broadcast when that count is small
-    # (checked), so hot question keys never shuffle the pair table.
-    if pairs.select("question").distinct().count() <= 100_000:
-        ctx = F.broadcast(ctx)
-    pred = (pairs.join(ctx, "question", "left")
+    # Few distinct questions make hot keys: the pairs are spread over salts.
+    pred = (KN.salted_join(pairs, ctx, "question", ["pid", "q_index"], how="left")
                  .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
                  .withColumn("ground_truths", F.array("ground_truth")))
-    pred = pred.withColumn("first_context", F.get(F.col("contexts"), 0))
-    answered = EN.generate(pred, "first_context", "contexts", model_factory or EN.echo_model())
+    pred = pred.withColumn("context", F.array_join("contexts", EVAL_SEPARATOR))
+    pred = pred.withColumn("prompt", TX.render_prompt(prompt, context="context", question="question", query="question")).drop("context")
+    answered = EN.generate(pred, "prompt", "contexts", model_factory or EN.echo_model())
     return EV.score(EV.harmonize(answered))
 
 

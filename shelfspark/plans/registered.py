@@ -226,6 +226,19 @@ def cosine_topk(spark, sf):
     return _emb_topk(spark, sf, K_EVAL, "cosine")
 
 
+def _strategy(name: str, space: str, strategy: str):
+    @register(name, _emb_topk_sql(K_EVAL, space))
+    def run(spark, sf):
+        e = t(spark, sf, "embeddings")
+        hits = KN.knn_join(e, e, K_EVAL, space, qid="vec_id", qvec="embedding", cid="vec_id", cvec="embedding", strategy=strategy)
+        return hits.select("qid", big("rank").alias("rank"), "id", r6("distance").alias("distance"))
+
+
+for _space in ("l2", "cosine"):
+    _strategy(f"{_space}_topk_broadcast_queries", _space, "broadcast_queries")
+    _strategy(f"{_space}_topk_cells", _space, "cells")
+
+
 @register("context_blocks", f"""
 WITH hits AS ({S.topk(_EMB, _EMB, K_CHAT, 'cosine')}),
 blocks AS (
@@ -314,7 +327,7 @@ WITH hits AS (SELECT * FROM ({S.topk(_EMB, _EMB, K_CHAT, 'cosine')}) WHERE dista
 ctx AS (SELECT h.qid, list(coalesce(d.text, '') ORDER BY h.rank) AS contexts
         FROM hits h LEFT JOIN documents d ON h.id = d.doc_id GROUP BY h.qid)
 SELECT e.vec_id AS qid, coalesce(len(ctx.contexts), 0)::BIGINT AS n_contexts,
-       CASE WHEN coalesce(len(ctx.contexts), 0) = 0 THEN 'I don''t know.' ELSE ctx.contexts[1] END AS answer
+       CASE WHEN coalesce(len(ctx.contexts), 0) = 0 THEN 'I don''t know.' ELSE array_to_string(ctx.contexts, chr(10) || chr(10)) END AS answer
 FROM embeddings e LEFT JOIN ctx ON e.vec_id = ctx.qid""")
 def answer_guard(spark, sf):
     e = t(spark, sf, "embeddings")
@@ -326,7 +339,7 @@ def answer_guard(spark, sf):
     ctx = EV.contexts_by_rank(named, "qid", "rank", "text")
     q = e.select(F.col("vec_id").alias("qid")).join(ctx, "qid", "left")
     q = q.withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
-    ans = EN.generate(q, F.get(F.col("contexts"), 0), "contexts", EN.echo_model())
+    ans = EN.generate(q, F.array_join("contexts", PL.EVAL_SEPARATOR), "contexts", EN.echo_model())
     return ans.select("qid", big(F.size("contexts")).alias("n_contexts"), "answer")
 
 
@@ -352,6 +365,14 @@ def dense_row_id(spark, sf):
     return ID.dense_id(t(spark, sf, "documents").select("doc_id"), "doc_id", out="pos")
 
 
+@register("dense_row_id_null_key", """
+SELECT doc_id, (row_number() OVER (ORDER BY k NULLS FIRST) - 1)::BIGINT AS pos
+FROM (SELECT doc_id, CASE WHEN doc_id > 0 THEN md5(CAST(doc_id AS VARCHAR)) END AS k FROM documents)""")
+def dense_row_id_null_key(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") > 0, F.md5(F.col("doc_id").cast("string").cast("binary"))).alias("k"))
+    return ID.dense_id(d, "k", out="pos").select("doc_id", "pos")
+
+
 @register("fill_generated_id", f"""
 SELECT doc_id, CASE WHEN {S.is_blank('raw')} THEN 'generated_id_' || CAST(pos AS VARCHAR) ELSE {S.strip('raw')} END AS id
 FROM (SELECT doc_id, {_RAW_ID} AS raw, {_POS} AS pos FROM documents)""")
@@ -377,6 +398,23 @@ def suffix_duplicate_ids(spark, sf):
     return out.select("p_partkey", "id")
 
 
+@register("suffix_duplicate_ids_twice", """
+WITH raw AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '__1' ELSE p_brand END AS id FROM part),
+one AS (SELECT p_partkey, CASE WHEN k > 0 THEN id || '__' || k ELSE id END AS id
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) - 1 AS k FROM raw)),
+two AS (SELECT p_partkey, CASE WHEN k > 0 THEN id || '__' || k ELSE id END AS id
+        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) - 1 AS k FROM one)),
+three AS (SELECT p_partkey, CASE WHEN k > 0 THEN id || '__' || k ELSE id END AS id
+          FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) - 1 AS k FROM two))
+SELECT * FROM three""")
+def suffix_duplicate_ids_twice(spark, sf):
+    """Ids that end in a suffix from the start meet generated ones, and those meet others."""
+    p = t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("__1")))
+                                    .otherwise(F.col("p_brand")).alias("id"))
+    out = ID.suffix_duplicates(ID.dense_id(p, "p_partkey", out="pos"), "id", "pos")
+    return out.select("p_partkey", "id")
+
+
 @register("md5_synthetic_id", """
 SELECT p_partkey, substr(md5(coalesce(p_name, '') || '|' || coalesce(p_type, '') || '|' || CAST(pos AS VARCHAR)), 1, 16) AS id
 FROM (SELECT p_partkey, p_name, p_type, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part)""")
@@ -543,8 +581,9 @@ parsed AS (SELECT vec_id, p, CASE WHEN {S.is_blank('id')} THEN 'generated_id_' |
                   text, {_PARSE_FAULTY} AS v FROM pos),
 valid AS (SELECT * FROM parsed WHERE NOT {S.is_blank('id')} AND text IS NOT NULL AND {S.strip('text')} <> ''
           AND v IS NOT NULL AND len(v) > 0),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS rn FROM valid)
-SELECT id, vec_id, len(v)::BIGINT AS dim, round({S.weighted_digest('v')}, 6) AS digest FROM firsts WHERE rn = 1""")
+firsts AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) - 1 AS k FROM valid)
+SELECT CASE WHEN k > 0 THEN id || '__' || k ELSE id END AS id, vec_id, len(v)::BIGINT AS dim,
+       round({S.weighted_digest('v')}, 6) AS digest FROM firsts""")
 def repair_embeddings(spark, sf):
     out = PL.repair_embeddings(_faulty(spark, sf), "id", "text", "vec_text", "vec_id")
     return out.select("id", "vec_id", big(F.size("embedding")).alias("dim"), r6(digest("embedding")).alias("digest"))
@@ -680,7 +719,7 @@ UNION ALL SELECT * FROM new""")
 def upsert_merge(spark, sf):
     part = t(spark, sf, "part").select("p_partkey", "p_name", "p_size")
     new = part.where(F.col("p_size") > 25).withColumn("p_name", F.upper("p_name"))
-    return CO.merge_upsert(part, new, "p_partkey", order_by="p_partkey")
+    return CO.merge_upsert(part, new, "p_partkey", "p_partkey")
 
 
 # ---------------------------------------------------------------------------
@@ -877,7 +916,8 @@ def retrieve_distinct_join_back(spark, sf):
     def enc(df, col):
         return EN.hash_encode(df, col, dim=DIM, out="vec")
 
-    hits = KN.knn_distinct_queries(pairs, "question", enc, docs, K_EVAL, "cosine", cid="doc_id", cvec="vec", dim=DIM)
+    hits = KN.knn_distinct_queries(pairs.select("p_partkey", "q_index", "question"), "question", enc, docs, K_EVAL, "cosine",
+                                   by=["p_partkey"], cid="doc_id", cvec="vec", dim=DIM)
     return hits.select("p_partkey", "q_index", big("rank").alias("rank"), "id")
 
 

@@ -35,9 +35,8 @@ def test_suffix_duplicates_across_chunks(spark, chunk):
     ids = ["a", "a", "b", "a", "c", "a", "b", "a__1", "a"]
     df = spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
     out = {r.pos: r.id for r in ID.suffix_duplicates(df, "id", "pos", chunk=chunk).collect()}
-    assert [out[i] for i in range(len(ids))] == ["a", "a__1", "b", "a__2", "c", "a__3", "b__1", "a__1", "a__4"]
-    # The pre-existing "a__1" collides with a generated one: reported, not hidden.
-    assert ID.suffix_collisions(ID.suffix_duplicates(df, "id", "pos", chunk=chunk), "id") == 1
+    # The id that was "a__1" from the start meets a generated one and is moved on.
+    assert [out[i] for i in range(len(ids))] == ["a", "a__1", "b", "a__2", "c", "a__3", "b__1", "a__1__1", "a__4"]
 
 
 def test_running_sum_hot_group(spark):
@@ -67,3 +66,11 @@ def test_dense_id_string_and_composite_keys(spark, parts):
     cdf = spark.createDataFrame(rows, "a int, b int, c long")
     got2 = {(r.a, r.b, r.c): r.pos for r in ID.dense_id(cdf, ["a", "b", "c"], num_partitions=parts).collect()}
     assert got2 == {t: i for i, t in enumerate(sorted(rows))}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 30])
+def test_dense_id_null_key_comes_first(spark, parts):
+    for kind, keys in (("long", list(range(40))), ("string", [f"k{i:02d}" for i in range(40)])):
+        df = spark.createDataFrame([(k,) for k in [*keys, None]], f"k {kind}").repartition(3)
+        got = {r.k: r.pos for r in ID.dense_id(df, "k", num_partitions=parts).collect()}
+        assert got == {None: 0} | {k: i + 1 for i, k in enumerate(keys)}

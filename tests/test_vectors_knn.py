@@ -1,4 +1,4 @@
-"""Vector parsing/maths and k-NN: broadcast and blocked forms against numpy brute force."""
+"""Vector parsing/maths and k-NN: broadcast and cell forms against numpy brute force."""
 
 import math
 
@@ -74,8 +74,8 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("space", ["l2", "cosine"])
-@pytest.mark.parametrize("strategy,block", [("broadcast", 4096), ("broadcast_queries", 4096), ("blocked", 7),
-                                            ("blocked", 4096), ("auto", 4096)])
+@pytest.mark.parametrize("strategy,block", [("broadcast", 4096), ("broadcast_queries", 4096), ("cells", 3),
+                                            ("cells", 4096), ("auto", 4096)])
 def test_knn_matches_brute_force(spark, space, strategy, block):
     rng = np.random.default_rng(7)
     cs = [(i, rng.normal(size=5).round(2).tolist()) for i in range(40)]
@@ -101,6 +101,24 @@ def test_knn_edge_cases(spark):
     assert KN.knn_join(noq, cdf, 3, "cosine").count() == 0
 
 
+@pytest.mark.parametrize("space", ["l2", "cosine"])
+def test_cells_are_pruned_and_exact(spark, space):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(8, 6)) * 20
+    cs = [(i, (centers[i % 8] + rng.normal(size=6)).tolist()) for i in range(240)]
+    qs = [(i, (centers[i % 8] + rng.normal(size=6)).tolist()) for i in range(30)]
+    cdf = spark.createDataFrame(cs, "id long, vec array<double>")
+    qdf = spark.createDataFrame(qs, "qid long, vec array<double>")
+    assert _rows(KN.knn_join(qdf, cdf, 5, space, strategy="cells", cells=20)) == brute(qs, cs, 5, space)
+    assert _rows(KN.knn_join(qdf, cdf, 300, space, strategy="cells")) == brute(qs, cs, 300, space)
+
+
+def test_long_keys_count_against_the_broadcast_bound(spark):
+    cdf = spark.createDataFrame([("x" * 10_000 + str(i), [float(i)]) for i in range(20)], "id string, vec array<double>")
+    with pytest.raises(ValueError):
+        KN.knn_join(cdf.withColumnRenamed("id", "qid"), cdf, 1, strategy="broadcast", broadcast_bytes=100_000)
+
+
 def test_routed_knn(spark):
     text = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vec array<double>")
     image = spark.createDataFrame([(7, [1.0]), (8, [-1.0])], "id long, vec array<double>")
@@ -111,6 +129,9 @@ def test_routed_knn(spark):
     got = sorted((r.qid, r.route, r.id) for r in hits.collect())
     assert got == [(10, "multimodal", 1), (11, "text", 2), (12, "image", 8)]
     assert [r.qid for r in KN.unroutable(q).collect()] == [13]
+    with pytest.raises(ValueError):
+        KN.routed_knn(q, {"text": text}, 1)
+    assert KN.routed_knn(q, {"text": text}, 1, wanted=("text",)).count() == 1
 
 
 def test_ivf_recall_and_full_probe(spark):
