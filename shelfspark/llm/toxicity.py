@@ -41,7 +41,7 @@ PRIOR_WORD, PRIOR_STEM = 2.0, 4.0
 MIN_DOCS = 3
 #: Words without a significant (in standard errors) and sizeable log-odds count
 #: against a passage by DRIFT.
-SIGNIFICANT, EFFECT = 2.0, math.log(2)
+SIGNIFICANT, EFFECT = 3.0, math.log(4)
 DRIFT = 0.03
 MOST = 8.0
 
@@ -226,10 +226,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def _words_scores(model: Model, texts: list[bytes]) -> list[np.ndarray]:
+    """The score of every word of every text; the r-th occurrence of a word that
+    speaks for toxicity counts 1 / r (a text of one word over and over is no
+    series of independent signs)."""
     lex = Words()
     ids = [lex.add(split_words(t)) for t in texts]
     scores = model.token_scores(list(lex.ids))
-    return [scores[i] for i in ids]
+    out = []
+    for i in ids:
+        s = scores[i]
+        at = np.flatnonzero(s > 0)
+        if at.size > 1:
+            order = at[np.argsort(i[at], kind="stable")]
+            first = np.r_[True, np.diff(i[order]) != 0]
+            s[order] /= np.arange(at.size) - np.flatnonzero(first)[np.cumsum(first) - 1] + 1
+        out.append(s)
+    return out
 
 
 def calibrate(final: Model, crossed: list[Model], sample: DataFrame, share: float) -> None:
