@@ -1,8 +1,8 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are word sequences of up to ORDER words.  The tree keeps a context if it
-was seen MIN_COUNT times in training and passes a divergence test against its
-suffix: the gain in log-likelihood of its next words, each left out of its own
+Contexts are word sequences of up to ORDER words.  The tree keeps a context if
+its share of the training tokens is P_MIN or more (and it was seen MIN_COUNT
+times) and it passes a divergence test against its suffix: the gain in log-likelihood of its next words, each left out of its own
 counts, over the suffix's distribution must exceed GAIN nats.  The distribution
 of a kept context s is smoothed towards its suffix with a weight k of its own,
 
@@ -24,6 +24,7 @@ each counted.  Extra columns are not read.  Empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -36,13 +37,18 @@ from shelfspark.llm.exchange import (NO_ID, REPLY, REQUEST, VALS, n_buckets, per
                                      request_rows, with_replies, write_blocks)
 
 ORDER = 2
-MIN_COUNT = 32
+P_MIN, MIN_COUNT = 1.5e-6, 8
 GAIN = 8.0
 WEIGHTS = (2.0, 16.0, 128.0, 1024.0, 8192.0, 65536.0)
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
 
 
+def least_count(tokens: int) -> int:
+    """Occurrences a context needs."""
+    return max(MIN_COUNT, math.ceil(P_MIN * tokens))
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
@@ -64,7 +70,7 @@ def encode_tokens(ids: list, texts: list[bytes]) -> list[bytes]:
 class Block:
     """A block's tokens and, level by level, its distinct n-grams with their totals."""
 
-    def __init__(self, payload: list[bytes], got: dict):
+    def __init__(self, payload: list[bytes], got: dict, least: int = 0):
         self.ids, self.n = unpack(payload[0], np.int64), unpack(payload[1], np.int64)
         self.held = unpack(payload[2], np.uint8).astype(bool)
         self.tok = unpack(payload[3], np.int32).astype(np.int64)
@@ -73,7 +79,7 @@ class Block:
         self.train = np.repeat(~self.held, self.n)
         self.inner = np.ones(self.tok.size, bool)  # a token with one before it in its text
         self.inner[self.begin] = False
-        self.got, self._memo = got, {}
+        self.got, self.least, self._memo = got, least, {}
 
     def grams(self, level: int):
         """Distinct n-grams of ``level`` words at positions whose context counts:
@@ -85,7 +91,7 @@ class Block:
         total = self.total(level - 1)
         before = np.r_[np.int64(-1), ctx_at[:-1]]
         ok = self.inner & (before >= 0)
-        ok[ok] = total[before[ok]] >= MIN_COUNT
+        ok[ok] = total[before[ok]] >= self.least
         at = np.flatnonzero(ok)
         pair, inv = np.unique(before[at] * self.words.size + self.tok[at], return_inverse=True)
         ctx, word = pair // max(self.words.size, 1), pair % max(self.words.size, 1)
@@ -187,9 +193,9 @@ _RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_sco
            "n_context long")
 
 
-def _score(order: int, base: float):
+def _score(order: int, base: float, least: int):
     def score(block: int, payload, got) -> pa.RecordBatch:
-        b = Block(payload, got)
+        b = Block(payload, got, least)
         known = b.total(1) > 0
         p0 = b.probability(1, base)
         p = p0[b.tok]
@@ -226,19 +232,18 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ord
     known = stored(replies(per_block(blocks, ask_words, REQUEST), counts, distinct), "pst-words")
     found = [np.zeros(2, np.int64)] + [unpack(r.vals[0], np.int64) for r in known.filter("block = -1").select("vals").toLocalIterator()]
     types, tokens = (int(x) for x in sum(found))
-    base = float(tokens + types + 1)
+    base, least = float(tokens + types + 1), least_count(tokens)
     for level in range(2, order + 2):
         def ask(block, payload, got, level=level):
-            b = Block(payload, got)
-            return request_batch(b.ask_counts(level, block, buckets))
+            return request_batch(Block(payload, got, least).ask_counts(level, block, buckets))
 
         known = known.unionByName(stored(replies(with_replies(blocks, known, ask, REQUEST), counts), f"pst-n{level}"))
 
         def gains(block, payload, got, level=level):
-            return request_batch(Block(payload, got).ask_gains(level - 1, block, buckets, base))
+            return request_batch(Block(payload, got, least).ask_gains(level - 1, block, buckets, base))
 
         known = known.unionByName(stored(gain_replies(with_replies(blocks, known, gains, REQUEST)), f"pst-g{level - 1}"))
-    return (with_replies(blocks, known, _score(order, base), _RESULT)
+    return (with_replies(blocks, known, _score(order, base, least), _RESULT)
             .withColumn("train_tokens", F.lit(tokens).cast("long"))
             .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_context"))
 
