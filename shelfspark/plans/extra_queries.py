@@ -411,3 +411,15 @@ def repair_collection(spark, sf):
     stored = out["collection"].agg(F.count(F.lit(1)).alias("n_stored"), F.count_distinct("id").alias("n_ids"))
     return (out["counts"].select("n_total", "n_bad_id", "n_bad_vec").join(F.broadcast(stored))
             .join(F.broadcast(out["lengths"].select("length"))))
+
+
+@register("fetch_media", """
+SELECT page_id, url IS NOT NULL AND length(url) % 5 = 0 AS fetch_failed,
+       CASE WHEN length(url) % 5 <> 0 THEN octet_length(encode(upper(url)))::BIGINT END AS n_bytes FROM pages""")
+def fetch_media(spark, sf):
+    """S14 with a stand-in fetcher: some addresses fail, the others give bytes."""
+    def fetcher():
+        return lambda urls: [None if u is None or len(u) % 5 == 0 else u.upper().encode() for u in urls]
+
+    got = SC.fetch_media(t(spark, sf, "pages").select("page_id", "url"), "url", fetcher)
+    return got.select("page_id", "fetch_failed", big(F.octet_length("content")).alias("n_bytes"))
