@@ -1,7 +1,5 @@
 """Property tests: invariants that must hold on any input/partitioning."""
 
-import re
-
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F

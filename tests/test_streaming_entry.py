@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from shelfspark.streaming import incremental as INC
 
