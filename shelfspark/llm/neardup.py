@@ -6,15 +6,15 @@ SetSketch: M registers, each the minimum of exponential variables of its element
 on a geometric scale (base BASE), truncated to 16 bits.  Registers are cut into
 bands; classes that agree in a band meet in a bucket.
 
-Not all pairs of a bucket are looked at.  Each class is first compared with its
-bucket's class of the smallest document; links join components.  Buckets that
-still hold several components propose pairs around their most central class (the
-one nearest to the modal registers), then, for what is left, all pairs across
-components, tile by tile inside tasks.  Proposed pairs first pass a joint maximum
-likelihood estimate of the Jaccard index from the registers and the exact set
-sizes, and are then confirmed on the full sets.  The components are therefore
+No list of all pairs is made.  Each class is first compared with its bucket's
+class of the smallest document, by a joint maximum likelihood estimate of the
+Jaccard index from the registers and the exact set sizes; what fails is compared
+with its whole bucket, tile by tile inside tasks.  What passes joins clusters;
+within each, tile by tile again, links are confirmed on the full sets, and a tile
+returns enough links to connect what is linked.  The components are therefore
 those of all links between classes that share a bucket; at the threshold 0.85 a
-pair misses all buckets with probability under 1e-6.
+pair misses all buckets with probability under 1e-6, and an estimate falls under
+CUT with about 1e-9.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; rows with equal sets are
@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import (Words, binary_values, join_counted, mix64, pack_sorted, stored, text_of,
-                                   unpack_sorted, whole_row, window_hash)
+from shelfspark.llm.common import (Words, binary_values, join_counted, mix64, pack_sorted, shuffle_partitions,
+                                   stored, text_of, unpack_sorted, whole_row, window_hash)
 from shelfspark.llm.components import components
 from shelfspark.llm.decontaminate import _slices
 
@@ -48,6 +48,8 @@ BASE, RATE = 1.02, 20.0
 CUT = 0.85 - 6 * (0.85 * 0.15 / M) ** 0.5
 #: Most classes compared with each other in one task.
 TILE = 2048
+#: Bits of the filter for texts that are looked at again (2 MB).
+FILTER_BITS = 1 << 24
 #: Groups of the classes that one class is compared with.
 SALT = 64
 
@@ -163,124 +165,178 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array([pack_sorted(s) for s in sets], pa.binary())], names=["cid", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that pass the estimate and then the exact test on the full sets."""
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket members with whether their estimate with the leader passes."""
     for b in batches:
-        na, nb = (np.array(b.column(c).to_pylist(), np.float64) for c in ("n_a", "n_b"))
         ok = np.zeros(b.num_rows, bool)
         if b.num_rows:
+            na, nb = (np.array(b.column(c).to_pylist(), np.float64) for c in ("n_a", "n_b"))
             ok = estimate(_registers(b.column("regs_a")), _registers(b.column("regs_b")), na, nb) >= CUT
-        sa, sb = b.column("set_a"), b.column("set_b")
-        memo: dict[int, np.ndarray] = {}
-        us = b.column("u").to_pylist()
-        for i in np.flatnonzero(ok):
-            if us[i] not in memo:
-                memo = {us[i]: unpack_sorted(sa[int(i)].as_py())}
-            x, y = memo[us[i]], unpack_sorted(sb[int(i)].as_py())
-            both = np.intersect1d(x, y, assume_unique=True).size
-            ok[i] = 100 * both >= LINK * (x.size + y.size - both)
-        yield b.select(["u", "v"]).filter(pa.array(ok))
-
-
-def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are linked.  A class with many partners has
-    its set sent to at most SALT tasks, each with a share of the partners."""
-    p = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
-    side = lambda x, s: nodes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"),
-                                     F.col("shingles").alias(f"set_{s}"))
-    left = p.select("u", "salt").distinct().join(side("u", "a"), "u")
-    return (p.join(side("v", "b"), "v").join(left, ["u", "salt"])
-            .select("u", "v", "n_a", "n_b", "regs_a", "regs_b", "set_a", "set_b").mapInArrow(_confirm, "u long, v long"))
-
-
-def _propose(central: bool):
-    def pairs(table: pa.Table) -> pa.Table:
-        cid = np.array(table.column("cid").to_pylist(), np.int64)
-        label = np.array(table.column("label").to_pylist(), np.int64)
-        n = np.array(table.column("n").to_pylist(), np.float64)
-        side = np.array(table.column("part").to_pylist())
-        regs = _registers(table.column("regs").combine_chunks() if hasattr(table.column("regs"), "combine_chunks") else table.column("regs"))
-        us, vs = [], []
-        if central:
-            srt = np.sort(regs, axis=0)
-            # The mode of every register: the value with the longest run.
-            new = np.r_[np.ones((1, M), bool), srt[1:] != srt[:-1]]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(srt))[:, None], 0), axis=0)
-            mode = srt[(np.arange(len(srt))[:, None] - start).argmax(axis=0), np.arange(M)]
-            rows = [int((regs == mode).sum(axis=1).argmax())]
-        else:
-            rows = range(len(cid))
-        first = side == side.min() if len(side) else side
-        for i in rows:
-            # Across two tiles only pairs from one to the other; inside one, each pair once.
-            if central:
-                other = label != label[i]
-            elif first.all():
-                other = (label != label[i]) & (np.arange(len(cid)) > i)
-            else:
-                if not first[i]:
-                    continue
-                other = (label != label[i]) & ~first
-            k = np.flatnonzero(other)
-            if k.size:
-                k = k[estimate(np.broadcast_to(regs[i], (k.size, M)), regs[k], np.full(k.size, n[i]), n[k]) >= CUT]
-                us.append(np.full(k.size, cid[i])), vs.append(cid[k])
-        u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-    return pairs
-
-
-def find_links(docs: DataFrame, sk: DataFrame, doc_id: str, text: str) -> DataFrame | None:
-    """(node, label) over classes with a link, or None without candidates."""
-    bands = sk.filter("n > 0").select("cid", "doc_id", F.explode("bands").alias("bh"))
-    several = (bands.groupBy("bh").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi").select("bh"))
-    members = stored(bands.join(several, "bh").groupBy("bh", "cid").agg(F.min("doc_id").alias("doc_id")), "neardup-members")
-    buckets = members.groupBy("bh").agg(F.min_by("cid", "doc_id").alias("leader"), F.min("cid").alias("any"),
-                                        F.count(F.lit(1)).alias("size"))
-    buckets = stored(buckets.select("bh", F.coalesce("leader", "any").alias("leader"), "size"), "neardup-buckets")
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok)], names=["u", "v", "ok"])
+
+
+class _Forest:
+    """Disjoint sets of positions."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = int(self.up[i])
+        return i
+
+    def roots(self) -> np.ndarray:
+        while (r := self.up[self.up]).tolist() != self.up.tolist():
+            self.up = r
+        return self.up
+
+    def join(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Joins i with the others; returns those that were apart so far."""
+        new = []
+        for k in others.tolist():
+            a, b = self.root(i), self.root(k)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                new.append(k)
+        return np.array(new, np.int64)
+
+
+def _tile(table: pa.Table):
+    """The classes of a tile, or of two: (cid, rows of the first tile, others a row
+    is compared with)."""
+    cid, part = (np.array(table.column(c).to_pylist(), np.int64) for c in ("cid", "part"))
+    own = part == part[0]
+    return cid, np.flatnonzero(own), np.ones(cid.size, bool) if own.all() else ~own
+
+
+def _edges(us: list, vs: list) -> pa.Table:
+    u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _similar(table: pa.Table) -> pa.Table:
+    """Classes that failed against their bucket's leader, compared with the whole
+    bucket by the estimate: enough pairs to connect what passes, none twice."""
+    cid, rows, others = _tile(table)
+    n, regs = np.array(table.column("n").to_pylist(), np.float64), _registers(table.column("regs"))
+    failed = np.array(table.column("ok").to_pylist(), bool) ^ True
+    forest, us, vs = _Forest(cid.size), [], []
+    for i in rows:
+        k = np.flatnonzero(others & (failed | failed[i]) & (forest.roots() != forest.root(int(i))))
+        if k.size:
+            k = k[estimate(np.broadcast_to(regs[i], (k.size, M)), regs[k], np.full(k.size, n[i]), n[k]) >= CUT]
+            k = forest.join(int(i), k)
+            us.append(np.full(k.size, cid[i]))
+            vs.append(cid[k])
+    return _edges(us, vs)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Exact links within a cluster, tile by tile: for each class the intersection
+    with all others is counted over the lists of its shingles.  Returns enough
+    links to connect what is linked."""
+    cid, rows, others = _tile(table)
+    sets = [unpack_sorted(x) for x in table.column("shingles").to_pylist()]
+    size = np.array([x.size for x in sets], np.int64)
+    shingle, inv = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    owner = np.repeat(np.arange(cid.size), size)[order]
+    start = np.searchsorted(inv[order], np.arange(shingle.size + 1))
+    begin = np.cumsum(size) - size
+    regs = _registers(table.column("regs"))
+    forest, us, vs = _Forest(cid.size), [], []
+    for i in rows:
+        k = np.flatnonzero(others & (forest.roots() != forest.root(int(i))))
+        k = k[((regs[k] == regs[i]).sum(axis=1) >= CUT * M - 1) if k.size else []]
+        if not k.size:
+            continue
+        mine = inv[begin[i]:begin[i] + size[i]]
+        a, b = start[mine], start[mine + 1]
+        lists = owner[np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
+        both = np.bincount(lists, minlength=cid.size)[k]
+        k = forest.join(int(i), k[100 * both >= LINK * (size[i] + size[k] - both)])
+        us.append(np.full(k.size, cid[i]))
+        vs.append(cid[k])
+    return _edges(us, vs)
+
+
+def _tiled(rows: DataFrame, key: str, func) -> DataFrame:
+    """``func`` over every pair of tiles of each group (``size`` classes): a group
+    of any size is cut into tiles of about TILE classes."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    cut = (rows.withColumn("part", F.pmod(F.xxhash64("cid"), tiles).cast("int"))
+           .withColumn("x", F.explode(F.sequence(F.lit(0), tiles - 1)))
+           .withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x")).drop("x", "size"))
+    return cut.groupBy(key, "i", "j").applyInArrow(func, "u long, v long").distinct()
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Texts of the rows with one of these ids.
+
+    A filter of FILTER_BITS bits (its size does not depend on the data) drops most
+    other rows before the exact semi-join, so few texts move.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1  # noqa: E731  the functions count from 1
+    maps = (ids.select(bit("doc_id").alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect())
+    bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
+    for r in maps:
+        bits[(r.k - 1) * 4096:r.k * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.array(b.column("b").to_pylist(), np.int64) - 1
+            # Position p of bucket k is bit p % 8 of byte p // 8.
+            yield b.filter(pa.array((bits[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
+
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    near = src.withColumn("b", bit("doc_id")).mapInArrow(keep, "doc_id long, text binary")
+    return near.join(ids.select(F.col("doc_id").alias("need")).distinct(), F.col("doc_id").eqNullSafe(F.col("need")), "left_semi")
+
+
+def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame | None:
+    """(node, label) over classes with a link, or None without candidates.
+    ``classes``: cid, n, doc_id (the smallest), bands, regs."""
+    bands = classes.select("cid", "doc_id", F.explode("bands").alias("bh")).repartition(
+        shuffle_partitions(docs.sparkSession), "bh")
+    buckets = (bands.groupBy("bh").agg(F.min_by("cid", "doc_id").alias("leader"), F.min("cid").alias("any"),
+                                       F.count(F.lit(1)).alias("size")).filter("size > 1")
+               .select("bh", F.coalesce("leader", "any").alias("leader"), "size"))
+    members = stored(bands.join(buckets, "bh").select("bh", "cid", "doc_id", "leader", "size"), "neardup-members")
     total = members.count()
     if not total:
         return None
-    needed = members.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    texts = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-             .join(needed.select("doc_id").distinct().withColumnRenamed("doc_id", "need"),
-                   F.col("doc_id").eqNullSafe(F.col("need")), "left_semi"))
-    sets = texts.select("text").mapInArrow(_full_sets, "cid long, shingles binary").dropDuplicates(["cid"])
-    about = sk.filter("n > 0").select("cid", "n", "regs").join(needed.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    nodes = stored(about.join(sets, "cid"), "neardup-nodes")
-
-    pairs = stored(join_counted(members.select("bh", "cid"), buckets, ["bh"], "size", total)
-                   .filter("cid <> leader").select(F.col("leader").alias("u"), F.col("cid").alias("v")).distinct(), "neardup-pairs")
-    edges = stored(_links(pairs, nodes), "neardup-links")
-    labels = components(edges)
-    for mode in ("central", "central", "all"):
-        wide = buckets.filter("size > 2").select("bh", "size")
-        lab = join_counted(members.select("bh", "cid"), wide, ["bh"], "size", total).join(
-            labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        open_ = lab.groupBy("bh").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("size").alias("size")) \
-            .filter("lo <> hi").select("bh", "size")
-        rows = stored(join_counted(lab.drop("size"), open_, ["bh"], "size", total), "neardup-open")
-        if rows.isEmpty():
-            break
-        groups = F.ceil(F.col("size") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("cid"), groups).cast("int")
-        rows = rows.withColumn("part", own)
-        if mode == "all":
-            rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), groups - 1))).select(
-                "bh", "cid", "label", "part", F.least("part", "x").alias("i"), F.greatest("part", "x").alias("j"))
-        else:
-            rows = rows.select("bh", "cid", "label", "part", F.col("part").alias("i"), F.col("part").alias("j"))
-        rows = rows.join(nodes.select("cid", "n", "regs"), "cid")
-        fresh = (rows.groupBy("bh", "i", "j").applyInArrow(_propose(mode == "central"), "u long, v long")
-                 .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        done = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        fresh = stored(fresh.join(done, ["u", "v"], "left_anti"), "neardup-pairs")
-        if fresh.isEmpty():
-            continue
-        pairs = done.unionByName(fresh)
-        edges = edges.unionByName(stored(_links(fresh, nodes), "neardup-links"))
-        labels = components(edges)
-    return labels
+    sketch = classes.select("cid", "n", "regs")
+
+    # 1. Estimates with the leader of each bucket.
+    pairs = members.filter("cid <> leader").select(F.col("leader").alias("u"), F.col("cid").alias("v")).distinct()
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+    left = salted.select("u", "salt").distinct().join(
+        sketch.select(F.col("cid").alias("u"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "u")
+    right = salted.join(sketch.select(F.col("cid").alias("v"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "v")
+    judged = stored(right.join(left, ["u", "salt"]).select("u", "v", "n_a", "n_b", "regs_a", "regs_b")
+                    .mapInArrow(_estimated, "u long, v long, ok boolean"), "neardup-judged")
+
+    # 2. What failed against a leader, against its whole bucket.
+    failing = judged.filter("not ok").select(F.col("u").alias("leader"), F.col("v").alias("cid"), F.lit(True).alias("failed"))
+    wide = members.filter("size > 2").join(failing, ["leader", "cid"], "left").withColumn("ok", F.col("failed").isNull()).drop("failed")
+    open_ = wide.groupBy("bh").agg(F.max(~F.col("ok")).alias("open"), F.count(F.lit(1)).alias("n")).filter("open").select("bh", "n")
+    rows = stored(join_counted(wide.select("bh", "cid", "size", "ok"), open_, ["bh"], "n", total).drop("n"), "neardup-open")
+    similar = judged.filter("ok").select("u", "v")
+    if not rows.isEmpty():
+        similar = similar.unionByName(_tiled(rows.join(sketch, "cid"), "bh", _similar))
+
+    # 3. Clusters of similar classes, and the exact links within each.
+    clusters = components(similar).withColumnRenamed("node", "cid").withColumnRenamed("label", "cluster")
+    sized = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    placed = stored(join_counted(clusters, sized, ["cluster"], "size", max(clusters.count(), 1)), "neardup-clusters")
+    who = placed.select("cid").join(classes.select("cid", "doc_id"), "cid")
+    sets = (_texts_of(docs, who, doc_id, text).select("text").mapInArrow(_full_sets, "cid long, shingles binary")
+            .dropDuplicates(["cid"]))
+    full = placed.join(sets, "cid").join(classes.select("cid", "regs"), "cid")
+    return components(_tiled(full, "cluster", _linked))
 
 
 def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -289,17 +345,20 @@ def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                       F.col(text).cast("binary").alias("text"))
     sk = stored(src.mapInArrow(_sketch, "doc_id long, text_hash long, n long, cid long, bands array<long>, regs binary"),
                 "neardup-sketches")
-    labels = find_links(docs, sk, doc_id, text)
-    classes = sk.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(sk.filter("n > 0").groupBy("cid").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("regs").alias("regs")), "neardup-classes")
+    labels = find_links(docs, classes, doc_id, text)
+    named = classes.select("cid", "doc_id", "rows")
     if labels is None:
-        classes = classes.withColumn("component_id", F.col("first"))
+        named = named.withColumn("component_id", F.col("doc_id"))
     else:
-        named = stored(classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-                       .withColumn("label", F.coalesce("label", "cid")), "neardup-classes")
-        smallest = named.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
-        classes = join_counted(named, smallest, ["label"], "size", named.count())
+        named = stored(named.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+                       .withColumn("label", F.coalesce("label", "cid")), "neardup-labels")
+        smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+        named = join_counted(named, smallest, ["label"], "size", named.count())
     rows = sk.select("doc_id", "text_hash", "n", "cid")
-    linked = join_counted(rows.filter("n > 0"), classes.select("cid", "rows", "component_id"), ["cid"], "rows", rows.count())
+    linked = join_counted(rows.filter("n > 0"), named.select("cid", "rows", "component_id"), ["cid"], "rows", rows.count())
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return linked.drop("rows").unionByName(alone)
 

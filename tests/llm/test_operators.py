@@ -290,7 +290,7 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert kind == "id" and rows[12][1][int(a):int(b)] == "handle#2291-zz"
 
 
-def brute_scores(rows, order, least, gain, weights):
+def brute_scores(rows, order, gain, weights):
     import math
     from collections import Counter, defaultdict
 
@@ -301,6 +301,7 @@ def brute_scores(rows, order, least, gain, weights):
         for n in range(1, order + 2) if not h else ():
             c[n].update(tuple(t[k:k + n]) for k in range(len(t) - n + 1))
     total, types, tree = sum(c[1].values()), len(c[1]), {}
+    least = suffixtree.least_count(total)
 
     def p(s, w):
         while s and s not in tree:
@@ -344,7 +345,7 @@ def chained(seed, n, order):
 def test_suffix_tree(spark, order):
     rows = pairs() + [(100 + i, " ".join(chained(i, 300, i % 3 + 1))) for i in range(24)]
     out = suffixtree.score_texts(frame(spark, [(i, x, "en", "a", 1) for i, x in rows]), order=order)
-    want, tree = brute_scores(rows, order, suffixtree.MIN_COUNT, suffixtree.GAIN, suffixtree.WEIGHTS)
+    want, tree = brute_scores(rows, order, suffixtree.GAIN, suffixtree.WEIGHTS)
     assert len(tree) > 5 and {len(s) for s in tree} == set(range(1, order + 1))
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
     assert rows_of(out, *names) == by_repr(w[:5] for w in want)
@@ -365,3 +366,27 @@ def test_empty_tables(spark):
     # Documents, but an empty benchmark.
     assert decontaminate.report(frame(spark), bench).filter("contaminated").count() == 0
     assert decontaminate.decontaminated(frame(spark), bench).count() == len(messy())
+
+
+@pytest.mark.parametrize("hot_degree", [3, 200_000])
+def test_components(spark, monkeypatch, hot_degree):
+    import random
+
+    from shelfspark.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_DEGREE", hot_degree)
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(-7, 9), (9, -7), (3, 3)]
+    edges += [(r.randrange(1000, 1200), r.randrange(1000, 1200)) for _ in range(120)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {(x.node, x.label) for x in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(x, root(x)) for a, b in edges if a != b for x in (a, b)}
