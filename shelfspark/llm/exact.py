@@ -35,11 +35,16 @@ def digest(text: str | Column = "text") -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
+#: Columns of a segment.
+SEGMENT = "digest BINARY, keep_id BIGINT, group_size BIGINT"
+
+
 class DigestIndex:
     """Digests seen so far, with the row that brought each in.
 
-    ``root`` is a folder all executors share; segment tables are external tables
-    under it.  ``buckets`` must stay the same over the life of an index.
+    ``root`` is a folder all executors share: segment tables are external tables
+    under it, and ``root/segments`` lists them, so that ``open_index`` finds an
+    index again in another session.  ``buckets`` stays the same over its life.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int, segments: list[str] | None = None):
@@ -52,12 +57,15 @@ class DigestIndex:
     def append(self, groups: DataFrame) -> DataFrame:
         """Anti-join ``groups`` (digest, keep_id, group_size) with the index and
         append what is new; returns the appended segment."""
-        new = groups
+        new = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), "group_size")
         for name in self.segments:
             new = new.join(self._segment(name).select("digest").hint("merge"), "digest", "left_anti")
         name = f"digest_segment_{uuid.uuid4().hex[:12]}"
         (new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name))
+        # Listed once its data is complete.
+        (self.spark.createDataFrame([(name, self.buckets, len(self.segments))], "name string, buckets int, number int")
+            .coalesce(1).write.mode("append").json(f"{self.root}/segments"))
         self.segments.append(name)
         return self._segment(name)
 
@@ -69,6 +77,16 @@ class DigestIndex:
         return out
 
 
+def open_index(spark: SparkSession, root: str) -> DigestIndex:
+    """The index under ``root``, its segments registered in this session if they
+    are not (one short row per segment is read)."""
+    rows = spark.read.schema("name string, buckets int, number int").json(f"{root}/segments").orderBy("number").collect()
+    for r in rows:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {r.name} ({SEGMENT}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+                  f"INTO {r.buckets} BUCKETS LOCATION '{root}/{r.name}'")
+    return DigestIndex(spark, root, rows[0].buckets, [r.name for r in rows])
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.unhex(digest(text)).alias("digest"))
 
@@ -87,9 +105,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     earlier = list(index.segments)
     added = index.append(groups).select("digest", "keep_id", "group_size")
     if earlier:
-        old = index._segment(earlier[0])
-        for name in earlier[1:]:
-            old = old.unionByName(index._segment(name))
+        old = DigestIndex(index.spark, index.root, index.buckets, earlier).lookup()
         known = groups.select("digest", "group_size").join(old.select("digest", "keep_id"), "digest")
         added = added.withColumn("new", F.lit(True)).unionByName(
             known.select("digest", "keep_id", "group_size").withColumn("new", F.lit(False)))

@@ -42,6 +42,9 @@ def test_exact_dedup_index_lasts(spark):
     first = spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string")
     later = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")
     exact.deduplicate(first, index).collect()
+    # Another session: the catalog knows nothing of the index.
+    spark.sql(f"DROP TABLE {index.segments[0]}")
+    index = exact.open_index(spark, index.root)
     assert rows_of(exact.deduplicate(later, index), "doc_id", "keep_id", "group_size", "kept") == [
         (1, 5, 1, False), (2, 2, 2, True), (3, 2, 2, False)]
     assert len(index.segments) == 2 and index.lookup().count() == 3
