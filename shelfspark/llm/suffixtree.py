@@ -1,9 +1,10 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Contexts are word sequences of up to ORDER words.  The tree keeps a context if
-its share of the training tokens is P_MIN or more (and it was seen MIN_COUNT
-times) and it passes a divergence test against its suffix: the gain in log-likelihood of its next words, each left out of its own
-counts, over the suffix's distribution must exceed GAIN nats.  The distribution
+Contexts are word sequences of up to ORDER words.  The tree keeps a context if it
+was seen MIN_COUNT times in training, a number that does not depend on the size of
+the input, and passes a divergence test against its suffix: the gain in
+log-likelihood of its next words, each left out of its own counts, over the
+suffix's distribution must exceed GAIN nats.  The distribution
 of a kept context s is smoothed towards its suffix with a weight k of its own,
 
     P(w | s) = (n(s w) + k P(w | suffix of s)) / (n(s) + k),
@@ -24,7 +25,6 @@ each counted.  Extra columns are not read.  Empty tables give empty results.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -37,7 +37,7 @@ from shelfspark.llm.exchange import (NO_ID, REPLY, REQUEST, VALS, n_buckets, per
                                      request_rows, with_replies, write_blocks)
 
 ORDER = 2
-P_MIN, MIN_COUNT = 1.5e-6, 8
+MIN_COUNT = 8
 GAIN = 8.0
 WEIGHTS = (2.0, 16.0, 128.0, 1024.0, 8192.0, 65536.0)
 FOLDS, HELD_OUT = 7, 2
@@ -45,8 +45,8 @@ END = b"\n"
 
 
 def least_count(tokens: int) -> int:
-    """Occurrences a context needs."""
-    return max(MIN_COUNT, math.ceil(P_MIN * tokens))
+    """Occurrences a context needs: the same however many training tokens there are."""
+    return MIN_COUNT
 
 
 def held_out(doc_id: int | None) -> bool:

@@ -356,6 +356,16 @@ def test_suffix_tree(spark, order):
         assert sorted(r[col] for r in out.collect()) == pytest.approx(sorted(w[at] for w in want), abs=1e-3)
 
 
+def test_suffix_tree_keeps_a_context_at_every_size(spark):
+    """A context seen 9 times stays when 7 million other tokens stand beside it."""
+    ids = [i for i in range(100) if not held(i, 7) == 2]
+    few = spark.createDataFrame([(i, "alpha beta") for i in ids[:9]], "doc_id long, text string")
+    many = few.unionByName(spark.sql(f"SELECT {ids[9]}L AS doc_id, repeat('x ', 7000000) AS text"))
+    for docs in (few, many):
+        got = {r.doc_id: r.n_context for r in suffixtree.score_texts(docs).collect()}
+        assert [got[i] for i in ids[:9]] == [2] * 9
+
+
 def test_empty_tables(spark):
     docs = frame(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
