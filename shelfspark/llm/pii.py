@@ -5,9 +5,11 @@ words before and after a seed are its lexical patterns.  Tokens of identifier
 shape (with a digit, at least MIN_CHARS characters) that are no seed are
 candidates.  Patterns and instances form a bipartite graph; scores go back and
 forth over it ROUNDS times: a pattern's confidence is the mean score of its
-instances (damped by SMOOTH instances that are none), a candidate's score the
-best confidence among patterns that MIN_SEEDS different seeds support.
-Candidates that score ACCEPT or more are found identifiers (kind ``id``).
+strings (damped by SMOOTH strings that are none), a candidate's score the
+best confidence among patterns that MIN_SEEDS different instances support.
+Candidates that score ACCEPT or more are found identifiers (kind ``id``) and
+become instances beside the seeds, so that patterns which no seed has can bring in
+more; this goes on until nothing new is found.
 
 Matches are leftmost and do not overlap.  The expressions use possessive
 quantifiers and start only where a match can start, which matches the same spans
@@ -77,15 +79,19 @@ def valid(kind: str, hit: Column) -> Column:
 
 def _matches(text: Column, pattern: str, kind: int, where: Column) -> Column:
     """Array of (kind, k, gap, hit, before, after): the k-th match, the code points
-    since the previous one, and the texts next to it."""
+    since the previous one, and the texts next to it (matches beside it included)."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     short = F.transform(pieces, lambda p: F.struct(F.length(p).alias("gap"), F.substring(p, 1, NEAR).alias("head"),
                                                    F.substring(p, F.lit(-NEAR), F.lit(NEAR)).alias("tail")))
     after = F.slice(short, F.lit(2), F.size(short))
+    last = F.concat(F.array(F.lit("")), hits)
+    nxt = F.concat(F.slice(hits, F.lit(2), F.greatest(F.size(hits), F.lit(1))), F.array(F.lit("")))
     rows = F.transform(
-        F.filter(F.arrays_zip(short.alias("a"), after.alias("b"), hits.alias("hit")), lambda x: x["hit"].isNotNull()),
+        F.filter(F.arrays_zip(short.alias("a"), after.alias("b"), hits.alias("hit"), last.alias("last"), nxt.alias("next")),
+                 lambda x: x["hit"].isNotNull()),
         lambda x, k: F.struct(F.lit(kind).alias("kind"), k.alias("k"), x["a"]["gap"].alias("gap"), x["hit"].alias("hit"),
-                              x["a"]["tail"].alias("before"), x["b"]["head"].alias("after")))
+                              F.substring(F.concat(x["last"], x["a"]["tail"]), F.lit(-NEAR), F.lit(NEAR)).alias("before"),
+                              F.substring(F.concat(x["b"]["head"], x["next"]), 1, NEAR).alias("after")))
     none = F.array().cast("array<struct<kind:int,k:int,gap:int,hit:string,before:string,after:string>>")
     return F.when(where, rows).otherwise(none)
 
@@ -140,29 +146,44 @@ def candidates(occ: DataFrame) -> DataFrame:
                     & (F.coalesce(F.col("_a"), F.col("end")) >= F.col("end"))).drop("_a", "_b"))
 
 
-def bootstrap(seeds: DataFrame, cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of the candidates' strings: (hit, score)."""
-    each = lambda df, s: df.select(F.explode("patterns").alias("pattern"), "hit", F.lit(s).alias("seed"))
-    edges = each(seeds, 1.0).unionByName(each(cands, 0.0)).groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
-    # A pattern without any seed can only stay at 0, one without candidates tells nothing.
-    useful = (edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
-              .filter((F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") < F.col("n"))))
-    edges = stored(join_counted(edges, useful, ["pattern"], "n", edges.count()), "pii-edges")
-    total = edges.count()
+def _scores(edges: DataFrame, total: int, rounds: int) -> DataFrame:
+    """(hit, score, m, seed) of every string, m being its patterns."""
     scores = None
     for _ in range(rounds):
         if scores is None:
             scored = edges.withColumn("score", F.col("seed"))
         else:
-            scored = join_counted(edges, scores, ["hit"], "m", total).withColumn(
+            scored = join_counted(edges, scores.select("hit", "score", "m"), ["hit"], "m", total).withColumn(
                 "score", F.greatest(F.col("seed"), F.col("score")))
-        conf = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTH))).alias("conf"),
-                                             F.count(F.lit(1)).alias("k"))
+        conf = scored.groupBy("pattern").agg(
+            F.when(F.sum("seed") >= MIN_SEEDS, F.sum("score") / (F.count(F.lit(1)) + F.lit(SMOOTH))).otherwise(0.0).alias("conf"),
+            F.count(F.lit(1)).alias("k"))
         scores = stored(join_counted(edges, conf, ["pattern"], "k", total).groupBy("hit")
-                        .agg(F.max("conf").alias("score"), F.count(F.lit(1)).alias("m")), "pii-scores")
+                        .agg(F.max("conf").alias("score"), F.count(F.lit(1)).alias("m"), F.max("seed").alias("seed")), "pii-scores")
     return scores
 
 
+def bootstrap(seeds: DataFrame, cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The strings found: (hit)."""
+    each = lambda df, s: df.select(F.explode("patterns").alias("pattern"), "hit", F.lit(s).alias("seed"))
+    edges = each(seeds, 1.0).unionByName(each(cands, 0.0)).groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
+    # A pattern without candidates tells nothing, nor does one of MIN_SEEDS strings:
+    # it counts only once all of them are instances.
+    useful = (edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
+              .filter((F.col("n") > MIN_SEEDS) & (F.col("seeds") < F.col("n"))).drop("seeds"))
+    edges = stored(join_counted(edges, useful, ["pattern"], "n", edges.count()).drop("n"), "pii-edges")
+    total = edges.count()
+    found = []
+    while True:
+        scores = _scores(edges, total, rounds)
+        accepted = F.col("score") >= ACCEPT
+        found.append(scores.filter(accepted).select("hit"))
+        if scores.filter(accepted & (F.col("seed") < 1)).isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
+        now = scores.select("hit", "m", F.when(accepted, 1.0).otherwise(F.col("seed")).alias("seed"))
+        edges = stored(join_counted(edges.drop("seed"), now, ["hit"], "m", total).drop("m"), "pii-edges")
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, spans: array of (kind, start, end, text),
     kind by number (see KINDS), ordered by kind, then start."""
@@ -170,9 +191,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     occ = stored(occurrences(scanned), "pii-occurrences")
     cands = stored(with_patterns(candidates(occ)), "pii-candidates")
     seeds = occ.filter("kind < 4")
-    scores = bootstrap(with_patterns(seeds), cands)
-    accepted = scores.filter(F.col("score") >= ACCEPT).select("hit", "m")
-    more = cands.join(accepted.select("hit"), "hit", "left_semi")
+    more = cands.join(bootstrap(with_patterns(seeds), cands), "hit", "left_semi")
     spans = (seeds.select("rid", "kind", "start", "end", "hit")
              .unionByName(more.select("rid", "kind", "start", "end", "hit")).groupBy("rid")
              .agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", F.col("hit").alias("text")))).alias("spans")))

@@ -293,6 +293,23 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert kind == "id" and rows[12][1][int(a):int(b)] == "handle#2291-zz"
 
 
+def test_pii_bootstraps_over_two_hops(spark):
+    """No seed stands after "ticket": only identifiers found beside seeds do."""
+    known = [f"acct-77{k:03d}" for k in range(10)]
+    texts = [f"reachable under {m} anytime" for m in [f"p{k}@mail.example.com" for k in range(40)] + known]
+    texts += [f"closed ticket {m} yesterday" for m in [*known, "zeta-90210"]] + ["version 20.04.1-x is out"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.n_id for r in pii.report(docs).collect()}
+    assert [i for i in range(len(texts)) if out[i]] == list(range(40, 61))
+
+
+def test_pii_context_reaches_over_other_matches(spark):
+    """The word before an identifier may be a match itself."""
+    texts = [f"unit7 {m} end{k}x" for k, m in enumerate([f"p{k}@mail.example.com" for k in range(12)] + ["handle#2291-zz"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in pii.report(docs).collect() if r.n_id} == {12}
+
+
 def brute_scores(rows, order, gain, weights):
     import math
     from collections import Counter, defaultdict
