@@ -12,9 +12,9 @@ Jaccard index from the registers and the exact set sizes; what fails is compared
 with its whole bucket, tile by tile inside tasks.  What passes joins clusters;
 within each, tile by tile again, links are confirmed on the full sets, and a tile
 returns enough links to connect what is linked.  The components are therefore
-those of all links between classes that share a bucket; at the threshold 0.85 a
-pair misses all buckets with probability under 1e-6, and an estimate falls under
-CUT with about 1e-9.
+those of all links between classes that share a bucket; at the threshold of a Rule
+(LINK: 0.85, WIDE: 0.80) a pair misses all buckets with probability under 1e-6, and
+an estimate falls under its cut with about 1e-9.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; rows with equal sets are
@@ -26,6 +26,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,30 @@ from shelfspark.llm.components import components
 from shelfspark.llm.decontaminate import _slices
 
 SHINGLE = 5
-#: Links: 100 * intersection >= LINK * union.
-LINK = 85
-ROWS, BANDS = 6, 30
-M = ROWS * BANDS
+M = 180
 BASE, RATE = 1.02, 20.0
-#: Estimates under this are six standard errors below the threshold.
-CUT = 0.85 - 6 * (0.85 * 0.15 / M) ** 0.5
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Links: 100 * intersection >= link * union.  The M registers are cut into
+    bands of ``rows``."""
+
+    link: int
+    rows: int
+
+    @property
+    def bands(self) -> int:
+        return M // self.rows
+
+    @property
+    def cut(self) -> float:
+        """Estimates under this are six standard errors below the threshold."""
+        j = self.link / 100
+        return j - 6 * (j * (1 - j) / M) ** 0.5
+
+
+LINK, WIDE = Rule(85, 6), Rule(80, 5)
 #: Most classes compared with each other in one task.
 TILE = 2048
 #: Bits of the filter for texts that are looked at again (2 MB).
@@ -103,11 +121,11 @@ def sketches(sets: list[np.ndarray], m: int = M) -> np.ndarray:
     return np.clip(k, 0, 65535).astype(np.uint16)
 
 
-def band_hashes(regs: np.ndarray) -> np.ndarray:
+def band_hashes(regs: np.ndarray, rule: Rule = LINK) -> np.ndarray:
     """One 64-bit hash per band and row, bands told apart."""
-    x = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(regs), BANDS))
-    for i in range(ROWS):
+    x = regs.reshape(len(regs), rule.bands, rule.rows).astype(np.uint64)
+    h = np.broadcast_to(mix64(np.arange(1, rule.bands + 1, dtype=np.uint64)), (len(regs), rule.bands))
+    for i in range(rule.rows):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x[:, :, i])
     return h.view(np.int64) if h.flags.c_contiguous else np.ascontiguousarray(h).view(np.int64)
 
@@ -139,7 +157,7 @@ def _registers(col) -> np.ndarray:
 # ---------------------------------------------------------------------------
 # Stages
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = binary_values(b.column("text"))
         for i, part in _slices(texts, 2 << 20):
@@ -147,7 +165,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.array([s.size for s in sets])
             full = np.flatnonzero(n)
             regs = sketches([sets[k] for k in full]) if full.size else np.empty((0, M), np.uint16)
-            bands = band_hashes(regs) if full.size else np.empty((0, BANDS), np.int64)
+            bands = band_hashes(regs, rule) if full.size else np.empty((0, rule.bands), np.int64)
             each, packed = [None] * len(part), [None] * len(part)
             for row, k in enumerate(full):
                 each[k], packed[k] = bands[row].tolist(), regs[row].tobytes()
@@ -165,13 +183,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array([pack_sorted(s) for s in sets], pa.binary())], names=["cid", "shingles"])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _estimated(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Bucket members with whether their estimate with the leader passes."""
     for b in batches:
         ok = np.zeros(b.num_rows, bool)
         if b.num_rows:
             na, nb = (np.array(b.column(c).to_pylist(), np.float64) for c in ("n_a", "n_b"))
-            ok = estimate(_registers(b.column("regs_a")), _registers(b.column("regs_b")), na, nb) >= CUT
+            ok = estimate(_registers(b.column("regs_a")), _registers(b.column("regs_b")), na, nb) >= rule.cut
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(ok)], names=["u", "v", "ok"])
 
 
@@ -216,7 +234,7 @@ def _edges(us: list, vs: list) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _similar(table: pa.Table) -> pa.Table:
+def _similar(table: pa.Table, rule: Rule) -> pa.Table:
     """Classes that failed against their bucket's leader, compared with the whole
     bucket by the estimate: enough pairs to connect what passes, none twice."""
     cid, rows, others = _tile(table)
@@ -226,14 +244,14 @@ def _similar(table: pa.Table) -> pa.Table:
     for i in rows:
         k = np.flatnonzero(others & (failed | failed[i]) & (forest.roots() != forest.root(int(i))))
         if k.size:
-            k = k[estimate(np.broadcast_to(regs[i], (k.size, M)), regs[k], np.full(k.size, n[i]), n[k]) >= CUT]
+            k = k[estimate(np.broadcast_to(regs[i], (k.size, M)), regs[k], np.full(k.size, n[i]), n[k]) >= rule.cut]
             k = forest.join(int(i), k)
             us.append(np.full(k.size, cid[i]))
             vs.append(cid[k])
     return _edges(us, vs)
 
 
-def _linked(table: pa.Table) -> pa.Table:
+def _linked(table: pa.Table, rule: Rule) -> pa.Table:
     """Exact links within a cluster, tile by tile: for each class the intersection
     with all others is counted over the lists of its shingles.  Returns enough
     links to connect what is linked."""
@@ -249,14 +267,14 @@ def _linked(table: pa.Table) -> pa.Table:
     forest, us, vs = _Forest(cid.size), [], []
     for i in rows:
         k = np.flatnonzero(others & (forest.roots() != forest.root(int(i))))
-        k = k[((regs[k] == regs[i]).sum(axis=1) >= CUT * M - 1) if k.size else []]
+        k = k[((regs[k] == regs[i]).sum(axis=1) >= rule.cut * M - 1) if k.size else []]
         if not k.size:
             continue
         mine = inv[begin[i]:begin[i] + size[i]]
         a, b = start[mine], start[mine + 1]
         lists = owner[np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
         both = np.bincount(lists, minlength=cid.size)[k]
-        k = forest.join(int(i), k[100 * both >= LINK * (size[i] + size[k] - both)])
+        k = forest.join(int(i), k[100 * both >= rule.link * (size[i] + size[k] - both)])
         us.append(np.full(k.size, cid[i]))
         vs.append(cid[k])
     return _edges(us, vs)
@@ -296,7 +314,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFr
     return near.join(ids.select(F.col("doc_id").alias("need")).distinct(), F.col("doc_id").eqNullSafe(F.col("need")), "left_semi")
 
 
-def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame | None:
+def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame | None:
     """(node, label) over classes with a link, or None without candidates.
     ``classes``: cid, n, doc_id (the smallest), bands, regs."""
     bands = classes.select("cid", "doc_id", F.explode("bands").alias("bh")).repartition(
@@ -317,7 +335,7 @@ def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> D
         sketch.select(F.col("cid").alias("u"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a")), "u")
     right = salted.join(sketch.select(F.col("cid").alias("v"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b")), "v")
     judged = stored(right.join(left, ["u", "salt"]).select("u", "v", "n_a", "n_b", "regs_a", "regs_b")
-                    .mapInArrow(_estimated, "u long, v long, ok boolean"), "neardup-judged")
+                    .mapInArrow(lambda b: _estimated(b, rule), "u long, v long, ok boolean"), "neardup-judged")
 
     # 2. What failed against a leader, against its whole bucket.
     failing = judged.filter("not ok").select(F.col("u").alias("leader"), F.col("v").alias("cid"), F.lit(True).alias("failed"))
@@ -326,7 +344,7 @@ def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> D
     rows = stored(join_counted(wide.select("bh", "cid", "size", "ok"), open_, ["bh"], "n", total).drop("n"), "neardup-open")
     similar = judged.filter("ok").select("u", "v")
     if not rows.isEmpty():
-        similar = similar.unionByName(_tiled(rows.join(sketch, "cid"), "bh", _similar))
+        similar = similar.unionByName(_tiled(rows.join(sketch, "cid"), "bh", lambda t: _similar(t, rule)))
 
     # 3. Clusters of similar classes, and the exact links within each.
     clusters = components(similar).withColumnRenamed("node", "cid").withColumnRenamed("label", "cluster")
@@ -336,19 +354,19 @@ def find_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> D
     sets = (_texts_of(docs, who, doc_id, text).select("text").mapInArrow(_full_sets, "cid long, shingles binary")
             .dropDuplicates(["cid"]))
     full = placed.join(sets, "cid").join(classes.select("cid", "regs"), "cid")
-    return components(_tiled(full, "cluster", _linked))
+    return components(_tiled(full, "cluster", lambda t: _linked(t, rule)))
 
 
-def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _judged(docs: DataFrame, doc_id: str, text: str, rule: Rule) -> DataFrame:
     """doc_id, text_hash, n, cid, component_id of every row."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"),
                       F.col(text).cast("binary").alias("text"))
-    sk = stored(src.mapInArrow(_sketch, "doc_id long, text_hash long, n long, cid long, bands array<long>, regs binary"),
+    sk = stored(src.mapInArrow(lambda b: _sketch(b, rule), "doc_id long, text_hash long, n long, cid long, bands array<long>, regs binary"),
                 "neardup-sketches")
     classes = stored(sk.filter("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("regs").alias("regs")), "neardup-classes")
-    labels = find_links(docs, classes, doc_id, text)
+    labels = find_links(docs, classes, doc_id, text, rule)
     named = classes.select("cid", "doc_id", "rows")
     if labels is None:
         named = named.withColumn("component_id", F.col("doc_id"))
@@ -363,17 +381,17 @@ def _judged(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return linked.drop("rows").unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = LINK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id."""
-    return _judged(docs, doc_id, text).select(
+    return _judged(docs, doc_id, text, rule).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("cid").alias("class_id"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = LINK) -> DataFrame:
     """The rows of ``docs`` that stay: one document of every component.  Rows are
     told apart by id and text, should an id be there twice."""
-    gone = (_judged(docs, doc_id, text).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = (_judged(docs, doc_id, text, rule).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_text")).distinct())
     rows = docs.select(whole_row(docs), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text_of(text)).alias("h"))
     return (rows.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("h") == F.col("gone_text")), "left_anti")

@@ -89,6 +89,21 @@ def test_near_dedup_finds_all_links_of_a_large_group(spark):
     assert rows_of(out, "doc_id", "n_shingles", "component_id") == by_repr(near_components(rows))
 
 
+def test_near_dedup_threshold(spark):
+    """One word of 60 replaced: 51 of 61 shingles, linked from 0.80 on only."""
+    rows = []
+    for i in range(30):
+        base = prose(100 + i, 60, 5000)
+        near = list(base)
+        near[20 + i % 20] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule, n in ((neardup.WIDE, 30), (neardup.LINK, 60)):
+        out = neardup.near_duplicates(docs, rule=rule)
+        assert rows_of(out, "doc_id", "n_shingles", "component_id") == by_repr(near_components(rows, link=rule.link))
+        assert neardup.deduplicated(docs, rule=rule).count() == n
+
+
 def test_estimate_is_close(spark):
     import numpy as np
 
