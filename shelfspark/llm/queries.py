@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import chatformat, decontaminate, exact, lines, mixing, neardup, pii, substrings, suffixtree, toxicity
+from shelfspark.llm import (chatformat, decontaminate, exact, hardneg, kdshard, lines, mixing, neardup, permuterm, pii, substrings,
+                            suffixtree, toxicity)
 from shelfspark.llm.common import prepare, table
 
 Q: dict = {}
@@ -202,3 +203,40 @@ FROM d LEFT JOIN items USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN run
 @register("op10_decontaminate", DECONTAMINATE_SQL)
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_kd_shards")
+def op11_kd_shards(spark, sf_dir):
+    return kdshard.report(table(spark, sf_dir, "documents"))
+
+
+@register("op12_permuterm_variants")
+def op12_permuterm_variants(spark, sf_dir):
+    return permuterm.report(table(spark, sf_dir, "documents"))
+
+
+HARD_NEGATIVE_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM r AS a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@register("op13_hard_negatives", HARD_NEGATIVE_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    return hardneg.report(table(spark, sf_dir, "embeddings"))
