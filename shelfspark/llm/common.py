@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +16,9 @@ from shelfspark.session import checkpoint_root, scratch_path, ship_package
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch handed to Python.  Texts can be long, so a batch of
-#: Spark's default 10,000 rows has no useful bound in bytes.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch handed to Python.  Texts can be long and rows
+#: can be packed blocks, so rows alone are no useful bound.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,6 +28,20 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go once it is written: nothing reads
+    them again.  (A lost file is made again by Spark's stage retry.)"""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     what reads it several times does not derive it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import binary_values, pack, pack_sorted, scratch_path, unpack, unpack_sorted
+from shelfspark.llm.common import binary_values, pack, pack_sorted, scratch_path, shuffles_freed, unpack, unpack_sorted
 
 #: Bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 6 << 20
@@ -42,6 +42,20 @@ def n_buckets(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTE
     return int(min(max(total // block_bytes + 1, 4), MAX_BUCKETS))
 
 
+def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    spark = rows.sparkSession
+    with shuffles_freed(spark):
+        (rows.write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).option("compression", "none")
+         .format("parquet").saveAsTable(name))
+    return spark.table(name)
+
+
+def write_replies(reply: DataFrame, buckets: int) -> DataFrame:
+    """Replies as a table bucketed like the blocks: they move to their block once,
+    however often the block reads them."""
+    return _bucketed(reply.repartition(buckets, "block"), f"llm_replies_{uuid.uuid4().hex[:12]}", buckets)
+
+
 def write_blocks(docs: DataFrame, encode: Callable, buckets: int, doc_id: str = "doc_id", text: str = "text",
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, payload): consecutive documents of a scan task, ``encode(ids, texts)``
@@ -67,13 +81,8 @@ def write_blocks(docs: DataFrame, encode: Callable, buckets: int, doc_id: str =
         if ids:
             yield row()
 
-    spark = docs.sparkSession
-    name = f"llm_blocks_{uuid.uuid4().hex[:12]}"
-    (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-     .mapInArrow(blocks, "block long, payload array<binary>")
-     .write.bucketBy(buckets, "block").option("path", scratch_path(spark, name)).option("compression", "none")
-     .format("parquet").saveAsTable(name))
-    return spark.table(name)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    return _bucketed(rows.mapInArrow(blocks, "block long, payload array<binary>"), f"llm_blocks_{uuid.uuid4().hex[:12]}", buckets)
 
 
 def encode_texts(ids: list, texts: list[bytes]) -> list[bytes]:
@@ -90,14 +99,18 @@ def decode_texts(payload: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 # ---------------------------------------------------------------------------
 
-def request_rows(tag: str, block: int, keys: np.ndarray, vals: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows that ask for the totals of ascending ``keys``, one per hash range."""
-    if not keys.size:
-        return
+def hash_ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, bucket) for ascending ``keys``: buckets are even ranges of hashes."""
     of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    cut = np.r_[0, np.flatnonzero(np.diff(of)) + 1, keys.size]
+    cut = np.r_[0, np.flatnonzero(np.diff(of)) + 1, keys.size] if keys.size else np.empty(0, np.int64)
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield tag, int(of[a]), block, pack_sorted(keys[a:b]), [pack(v[a:b]) for v in vals]
+        yield a, b, int(of[a])
+
+
+def request_rows(tag: str, block: int, keys: np.ndarray, vals: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """Rows that ask for the totals of ascending ``keys``, one per hash range."""
+    for a, b, bucket in hash_ranges(keys, buckets):
+        yield tag, bucket, block, pack_sorted(keys[a:b]), [pack(v[a:b]) for v in vals]
 
 
 def request_batch(rows: Iterable[tuple]) -> pa.RecordBatch:
