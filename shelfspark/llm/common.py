@@ -171,7 +171,10 @@ class Words:
 
     def add(self, words: list[bytes]) -> np.ndarray:
         ids = self.ids
-        return np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
+        for w in dict.fromkeys(words):
+            if w not in ids:
+                ids[w] = len(ids)
+        return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
     def hashes(self) -> np.ndarray:
         import xxhash

@@ -121,10 +121,12 @@ def request_batch(rows: Iterable[tuple]) -> pa.RecordBatch:
 
 
 def replies(requests: DataFrame, kinds: dict[str, list[tuple[str, str]]],
-            summary: Callable[[str, list[np.ndarray]], list[np.ndarray]] | None = None) -> DataFrame:
+            summary: Callable[[str, list[np.ndarray]], list[np.ndarray]] | None = None, number: int = 0) -> DataFrame:
     """Totals for all requests.  ``kinds[tag]`` lists (dtype, ufunc name) for each
     value.  ``summary(tag, totals over the bucket's distinct keys)`` may add a row
-    with block -1 per bucket."""
+    with block -1 per bucket.  With ``number`` (the number of buckets) a last value
+    numbers the distinct keys of all buckets: no two share one, and as hash ranges
+    are even, numbers stay near the count of keys."""
     def answer(table: pa.Table) -> pa.Table:
         tag, bucket = table.column("tag")[0].as_py(), table.column("bucket")[0].as_py()
         parts = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
@@ -139,6 +141,8 @@ def replies(requests: DataFrame, kinds: dict[str, list[tuple[str, str]]],
         for c, (dtype, how) in enumerate(kinds[tag]):
             v = np.concatenate([unpack(x[c], dtype) for x in vals])[order]
             totals.append(getattr(np, how).reduceat(v, start))
+        if number:
+            totals.append(np.arange(start.size, dtype=np.int64) * number + bucket)
         end = np.cumsum([p.size for p in parts]).tolist()
         out, blocks = [], table.column("block").to_pylist()
         for p, e in zip(parts, end):
