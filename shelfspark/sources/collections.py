@@ -3,27 +3,40 @@
 Layout under ``root``::
 
     <root>/<name>/data/<uuid>/part-*.parquet            rows of one write
-    <root>/<name>/manifest/version=<n>/batch=<b>/*.json  one row: name, space, dim, n, version, batch, path
+    <root>/<name>/deletes/<uuid>/part-*.parquet         file, bucket, bitmap: rows that a batch replaced
+    <root>/<name>/manifest/version=<n>/batch=<b>/*.json  one row, see MANIFEST_SCHEMA
 
 A version is a full build (batch 0) and the batches added to it since.  An upsert
-writes only its own rows, as a batch; readers take the newest batch's row per id.
-``compact`` writes the current rows as a new version.  A write's data is complete
-before its manifest row names it, so a crashed writer exposes nothing; the same
-batch id written again replaces that batch (a replayed micro-batch changes
-nothing).
+writes its own rows, as a batch, and one bit per row of an earlier write that it
+replaces: a bitmap per data file and BITS rows.  Reading is a scan of all writes
+and a test of the row's bit, without a shuffle.  After MAX_BATCHES batches, or when
+the bitmaps outgrow MAX_BITMAP_BYTES, an upsert ends with ``compact``, which writes
+the current rows as a new version; so what a reader holds of bitmaps is bounded.
+
+A write's data is complete before its manifest row names it, so a crashed writer
+exposes nothing; the same batch id written again replaces that batch and its
+bitmaps (a replayed micro-batch changes nothing).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shelfspark.operators.identity import keep_first
 
-MANIFEST_SCHEMA = "name string, space string, dim int, n long, version long, batch long, path string"
+#: ``origin`` is build, batch or compact; ``deletes`` the folder of the bitmaps, if any.
+MANIFEST_SCHEMA = ("name string, space string, dim int, n long, version long, batch long, path string, "
+                   "deletes string, origin string")
+#: Rows of a data file that one bitmap covers (4 KB).
+BITS = 32_768
+MAX_BATCHES = 64
+MAX_BITMAP_BYTES = 64 << 20
 
 
 def _paths(root: str, name: str) -> tuple[str, str]:
@@ -55,13 +68,38 @@ def current_manifest(spark: SparkSession, root: str, name: str) -> dict | None:
             "batches": len(rows), "last_batch": rows[-1]["batch"], "n": rows[0]["n"] if len(rows) == 1 else None}
 
 
-def _write(df: DataFrame, root: str, name: str, space: str, version: int, batch: int) -> None:
+def _replaced(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """(file, bucket, bitmap) of the stored ``rows`` whose id is among ``ids``."""
+    hit = (rows.select(F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+           .join(ids.select(F.col(id_col).alias("new_id")).distinct(), F.col("id").eqNullSafe(F.col("new_id")), "left_semi"))
+    return (hit.groupBy("file", F.floor(F.col("at") / BITS).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.col("at") % BITS).alias("bitmap")))
+
+
+def _write(df: DataFrame, root: str, name: str, space: str, version: int, batch: int, origin: str,
+           others: list | None = None, id_col: str = "id") -> None:
+    """One write and its manifest row; ``others`` are the version's manifest rows."""
     spark = df.sparkSession
     data, man = _paths(root, name)
     out = f"{data}/{uuid.uuid4().hex}"
     df.write.parquet(out)
-    stats = spark.read.schema(df.schema).parquet(out).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    row = spark.createDataFrame([(name, space, int(stats["dim"] or 0), int(stats["n"]), version, batch, out)], MANIFEST_SCHEMA)
+    new = spark.read.schema(df.schema).parquet(out)
+    stats = new.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    rows = lambda found: spark.read.schema(df.schema).parquet(*[r["path"] for r in found])
+    earlier, later = ([r for r in others or [] if r["batch"] < batch], [r for r in others or [] if r["batch"] > batch])
+    gone = None
+    if earlier:
+        gone = _replaced(rows(earlier), new, id_col)
+    if later:
+        # A batch written again below later ones: they replace its rows, too.
+        own = _replaced(new, rows(later), id_col)
+        gone = own if gone is None else gone.unionByName(own)
+    deletes = None
+    if gone is not None:
+        deletes = f"{root.rstrip('/')}/{name}/deletes/{uuid.uuid4().hex}"
+        gone.write.option("compression", "zstd").parquet(deletes)
+    row = spark.createDataFrame([(name, space, int(stats["dim"] or 0), int(stats["n"]), version, batch, out, deletes, origin)],
+                                MANIFEST_SCHEMA)
     row.coalesce(1).write.mode("overwrite").json(f"{man}/version={version}/batch={batch}")
 
 
@@ -77,7 +115,7 @@ def save(df: DataFrame, root: str, name: str, space: str = "l2", if_exists: str
     cur = current_manifest(spark, root, name)
     if cur is not None and if_exists == "keep" and (cur["n"] is None or cur["n"] > 0):
         return open_collection(spark, root, name)
-    _write(df, root, name, space, 1 if cur is None else int(cur["version"]) + 1, 0)
+    _write(df, root, name, space, 1 if cur is None else int(cur["version"]) + 1, 0, "build")
     return open_collection(spark, root, name)
 
 
@@ -106,33 +144,68 @@ def upsert(df: DataFrame, root: str, name: str, order_by, id_col: str = "id", ba
     if batch < 1:
         raise ValueError("batch numbers start at 1")
     version, kind = (1, space) if cur is None else (int(cur["version"]), cur["space"])
-    _write(keep_first(df, id_col, order_by), root, name, kind, version, batch)
-    return open_collection(spark, root, name, id_col=id_col)
+    _write(keep_first(df, id_col, order_by), root, name, kind, version, batch, "batch",
+           _manifest(spark, root, name) if cur is not None else None, id_col)
+    rows = _manifest(spark, root, name)
+    if len(rows) > MAX_BATCHES or _bitmaps(spark, rows).count() * BITS // 8 > MAX_BITMAP_BYTES:
+        return compact(spark, root, name)
+    return open_collection(spark, root, name)
+
+
+def _bitmaps(spark: SparkSession, rows: list) -> DataFrame:
+    """(file, bucket, bitmap): one row per BITS rows of which some are replaced."""
+    schema = "file string, bucket long, bitmap binary"
+    paths = [r["deletes"] for r in rows if r["deletes"]]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths).groupBy("file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def replaced_bits(bitmap: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+
+
+def _is_current(spark: SparkSession, gone: dict) -> Column:
+    bc = spark.sparkContext.broadcast(gone)
+
+    @F.pandas_udf("boolean")
+    def current(file: pd.Series, at: pd.Series) -> pd.Series:
+        out, place = np.ones(len(file), bool), at.to_numpy()
+        for name in file.unique():
+            held, mine = bc.value.get(name, {}), np.flatnonzero((file == name).to_numpy())
+            bucket = place[mine] // BITS
+            for b in np.unique(bucket).tolist():
+                if b in held:
+                    of = mine[bucket == b]
+                    out[of] = ~replaced_bits(held[b])[place[of] % BITS]
+        return pd.Series(out)
+
+    return current(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+
 
+def open_collection(spark: SparkSession, root: str, name: str, required: bool = True) -> DataFrame | None:
+    """The current rows of a collection: of every id the newest batch's.
 
-def open_collection(spark: SparkSession, root: str, name: str, required: bool = True, id_col: str = "id") -> DataFrame | None:
-    """The current rows of a collection: of every id the newest batch's."""
+    One scan of all writes.  Rows of writes that a later batch touched pass a test of
+    their bit; the bitmaps (bounded, see MAX_BITMAP_BYTES) are broadcast."""
     rows = _manifest(spark, root, name)
     if not rows:
         if required:
             raise FileNotFoundError(f"collection {name!r} not found under {root}")
         return None
-    first = spark.read.parquet(rows[0]["path"])
-    if len(rows) == 1:
-        return first
-    parts = None
-    for r in rows:
-        p = spark.read.schema(first.schema).parquet(r["path"]).withColumn("__batch", F.lit(r["batch"]))
-        parts = p if parts is None else parts.unionByName(p)
-    w = Window.partitionBy(id_col).orderBy(F.col("__batch").desc())
-    return parts.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__batch")
+    schema = spark.read.parquet(rows[0]["path"]).schema
+    gone: dict = {}
+    for r in _bitmaps(spark, rows).toLocalIterator():
+        gone.setdefault(r["file"], {})[r["bucket"]] = bytes(r["bitmap"])
+    every = spark.read.schema(schema).parquet(*[r["path"] for r in rows])
+    return every.where(_is_current(spark, gone)) if gone else every
 
 
 def compact(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current rows as a new version with nothing added (earlier versions stay
     for readers that opened them)."""
     cur = current_manifest(spark, root, name)
-    _write(open_collection(spark, root, name), root, name, cur["space"], int(cur["version"]) + 1, 0)
+    _write(open_collection(spark, root, name), root, name, cur["space"], int(cur["version"]) + 1, 0, "compact")
     return open_collection(spark, root, name)
 
 
