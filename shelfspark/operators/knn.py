@@ -23,7 +23,10 @@ cells      Both sides large: the corpus is cut into cells around pivots.  With t
            data cluster.  ``ivf_join`` is the approximate form, for the caller to
            choose.
 
-``auto`` takes the first that fits.  All strategies return the same rows.
+axes       Both sides large and no clusters to cut along: see ``knn_axes``.
+
+``auto`` ships the smaller side if one fits, and takes cells otherwise.  All
+strategies return the same rows.
 """
 
 from __future__ import annotations
@@ -40,6 +43,10 @@ from shelfspark.functions import vectors as V
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
 DEFAULT_BLOCK_ROWS = 4096
+#: With both sides under the bound, queries are shipped if the corpus is larger by this factor.
+FEW_QUERIES = 4
+#: Queries whose distances to all cells are held at a time.
+QUERY_SLICE = 256
 _TILE_ELEMS = 1 << 22  # distance-matrix elements per numpy tile
 TIE_DIGITS = 12
 
@@ -197,18 +204,24 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
         if first is None:
             return q.sparkSession.createDataFrame([], schema)
         dim = int(first["d"])
-    fits = n_corpus * dim * 8 + corpus_keys <= broadcast_bytes
-    if strategy in ("auto", "broadcast") and fits:
-        return _knn_broadcast(q, c, k, space, schema)
+    corpus_bytes = n_corpus * dim * 8 + corpus_keys
     if strategy == "broadcast":
-        raise ValueError("corpus exceeds the broadcast bound; use strategy='cells'")
+        if corpus_bytes > broadcast_bytes:
+            raise ValueError("corpus exceeds the broadcast bound; use strategy='cells'")
+        return _knn_broadcast(q, c, k, space, schema)
     if strategy in ("auto", "broadcast_queries"):
         n_queries, query_keys = _measure(queries, qid)
-        if n_queries * dim * 8 + query_keys <= broadcast_bytes:
-            return _knn_broadcast_queries(q, c, k, space, schema)
-        if strategy == "broadcast_queries":
+        query_bytes = n_queries * dim * 8 + query_keys
+        if strategy == "broadcast_queries" and query_bytes > broadcast_bytes:
             raise ValueError("queries exceed the broadcast bound; use strategy='cells'")
-    elif strategy != "cells":
+        # The smaller side travels; shipped queries cost a merge of lists besides.
+        if query_bytes <= broadcast_bytes and (strategy != "auto" or FEW_QUERIES * query_bytes < corpus_bytes or corpus_bytes > broadcast_bytes):
+            return _knn_broadcast_queries(q, c, k, space, schema)
+        if corpus_bytes <= broadcast_bytes:
+            return _knn_broadcast(q, c, k, space, schema)
+    if strategy == "axes":
+        return knn_axes(q, c, k, space, qid="qid", qvec="vec", cid="id", cvec="vec", block_rows=block_rows).drop("full")
+    if strategy not in ("auto", "cells"):
         raise ValueError(f"unknown strategy {strategy!r}")
     return _knn_cells(q, c, k, space, schema, cells or math.ceil(math.sqrt(n_corpus)), block_rows)
 
@@ -322,7 +335,11 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, space: str, schema, cells: in
 
     @F.pandas_udf("array<int>")
     def reachable(vs: pd.Series) -> pd.Series:
-        raw = _as_matrix(vs)
+        # A few matrices of queries x cells are alive at once: a slice of queries at a time.
+        parts = [of_slice(_as_matrix(vs.iloc[i:i + QUERY_SLICE])) for i in range(0, len(vs), QUERY_SLICE)]
+        return pd.Series([x for p in parts for x in p])
+
+    def of_slice(raw: np.ndarray) -> list:
         d = _distances(_unit(raw, space), bc.value[used])
         far = d + radius
         order = np.argsort(far, axis=1)
@@ -333,9 +350,12 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, space: str, schema, cells: in
         go[~enough.any(axis=1) if len(used) else slice(None)] = True
         if space == "cosine":
             go[(raw == 0).all(axis=1)] = True
-        return pd.Series([used[g].tolist() + everywhere for g in go])
+        return [used[g].tolist() + everywhere for g in go]
 
-    qc = q.withColumn("cell", F.explode(reachable("vec")))
+    # Read twice (blocks per cell, search): encoders and bounds run once.
+    path = scratch_path(spark, "knn-queries")
+    q.withColumn("cell", F.explode(reachable("vec"))).write.parquet(path)
+    qc = spark.read.schema(T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType())])).parquet(path)
     return _search_cells(qc, index.select("id", "vec", "cell"), k, space, schema, block_rows)
 
 
@@ -475,24 +495,323 @@ def ivf_build(corpus: DataFrame, cells: int | None = None, *, cid: str = "id", c
 
 def ivf_join(queries: DataFrame, index: dict, k: int, probe: int = 1, *, qid: str = "qid", qvec: str = "vec",
              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Approximate k-NN: each query searches its ``probe`` nearest cells exactly.
+    """Approximate k-NN: each query searches its ``probe`` nearest cells exactly, and
+    further ones until they hold ``k`` rows (``probe_for`` finds how many a recall
+    takes).
 
     Queries are routed to cells by one matrix product per batch with the broadcast
-    centroids.  A query gets fewer than ``k`` rows if its cells hold fewer.
+    centroids.
     """
-    spark = queries.sparkSession
-    space = index["space"]
-    cents = index["centroids"]
-    n_cells = cents.shape[0]
-    probe = max(1, min(probe, n_cells))
-    bc = spark.sparkContext.broadcast(cents)
+    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec")) \
+               .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    schema = _result_schema(q.schema["qid"].dataType, index["df"].schema["id"].dataType)
+    return _search_cells(_routed(q, index, k, probe), index["df"], k, index["space"], schema, block_rows)
+
+
+def _routed(q: DataFrame, index: dict, k: int, probe: int) -> DataFrame:
+    """(qid, vec, cell) for the cells each query searches."""
+    space, cents = index["space"], index["centroids"]
+    sizes = index.get("sizes")
+    if sizes is None:
+        # One row per cell.
+        sizes = np.zeros(cents.shape[0], np.int64)
+        for r in index["df"].groupBy("cell").count().collect():
+            sizes[r["cell"]] = r["count"]
+        index["sizes"] = sizes
+    bc = q.sparkSession.sparkContext.broadcast((cents, sizes))
+    probe = max(1, min(probe, cents.shape[0]))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest_cells(vs: pd.Series) -> pd.Series:
-        d = _distances(_unit(_as_matrix(vs), space), bc.value)
-        return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :probe].astype(np.int32)))
+        out = []
+        for i in range(0, len(vs), QUERY_SLICE):
+            d = _distances(_unit(_as_matrix(vs.iloc[i:i + QUERY_SLICE]), space), bc.value[0])
+            order = np.argsort(d, axis=1, kind="stable").astype(np.int32)
+            held = np.cumsum(bc.value[1][order], axis=1)
+            n = np.maximum((held < k).sum(axis=1) + 1, probe)
+            out += [row[:m] for row, m in zip(order, n.tolist())]
+        return pd.Series(out)
 
-    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec")) \
-               .where(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    schema = _result_schema(q.schema["qid"].dataType, index["df"].schema["id"].dataType)
-    return _search_cells(q.withColumn("cell", F.explode(nearest_cells("vec"))), index["df"], k, space, schema, block_rows)
+    return q.withColumn("cell", F.explode(nearest_cells("vec")))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact (qid, id) pairs that were found."""
+    pairs = exact.select("qid", "id").distinct()
+    r = (pairs.withColumn("want", F.lit(1)).join(found.select("qid", "id").distinct().withColumn("got", F.lit(1)), ["qid", "id"], "left")
+         .agg(F.count("want").alias("w"), F.count("got").alias("g")).first())
+    return r.g / r.w if r.w else 1.0
+
+
+def sample_queries(queries: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` queries with the smallest hash of their key."""
+    return queries.orderBy(F.xxhash64(key), key).limit(n)
+
+
+def probe_for(queries: DataFrame, index: dict, k: int, target: float = 0.9, *, qid: str = "qid", qvec: str = "vec",
+              n_sample: int = 256, search=None) -> int:
+    """The number of cells to probe for a recall of ``target``, measured.
+
+    For a bounded sample of the queries (``n_sample``, by hash) the exact neighbours
+    are found; where their cells stand in each query's order of cells tells how many
+    probes reach the target.  ``search(sample, probe)`` (the search that is to use
+    them, ``ivf_join`` otherwise) then confirms it, with more probes while it falls
+    short.  All cells are the upper end.
+    """
+    sample = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec")).where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+    sample = _kept(sample_queries(sample, n_sample, "qid"), "probe-sample")
+    exact = _kept(knn_join(sample, index["df"], k, index["space"]), "probe-exact")
+    cents, space = index["centroids"], index["space"]
+    at = {r.qid: [] for r in exact.select("qid").distinct().collect()}
+    for r in exact.select("qid", "id").join(index["df"].select("id", "cell"), "id").collect():
+        at[r.qid].append(r.cell)
+    ranks: list[int] = []
+    for r in sample.collect():
+        order = np.argsort(_distances(_unit(np.asarray([r.vec], np.float64), space), cents)[0], kind="stable")
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        ranks += [int(place[c]) + 1 for c in at.get(r.qid, [])]
+    search = search or (lambda s, p: ivf_join(s, index, k, p))
+    probe = sorted(ranks)[min(math.ceil(target * len(ranks)), len(ranks)) - 1] if ranks else 1
+    while probe < cents.shape[0] and recall(search(sample, probe), exact) < target:
+        probe = min(2 * probe, cents.shape[0])
+    return probe
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    from shelfspark.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# J1 by principal axes
+
+#: Rows the axes are taken from; any axes give the same rows.
+AXES_SAMPLE = 20_000
+#: Rows of the corpus one task holds.
+AXES_PART = 32_768
+
+
+def principal_axes(corpus: DataFrame, vec: str, space: str, n_sample: int = AXES_SAMPLE) -> np.ndarray:
+    """Orthonormal axes by falling variance, from a bounded sample by hash."""
+    picked = corpus.select(F.col(vec).cast("array<double>").alias("vec")).orderBy(F.xxhash64("vec")).limit(n_sample)
+    m = _unit(_as_matrix(pd.Series(picked.toArrow().column("vec").to_numpy())), space)
+    return np.linalg.eigh(np.cov(m, rowvar=False).reshape(m.shape[1], m.shape[1]))[1][:, ::-1].T if len(m) > 1 else np.eye(m.shape[1])
+
+
+def _head(axes: np.ndarray, sample: np.ndarray, energy: float) -> int:
+    """Axes that hold ``energy`` of the sample's spread."""
+    var = np.var(sample @ axes.T, axis=0)
+    share = np.cumsum(var) / max(var.sum(), 1e-300)
+    return int(min(np.searchsorted(share, energy) + 1, axes.shape[0]))
+
+
+def knn_axes(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *, qid: str = "qid", qvec: str = "vec",
+             cid: str = "id", cvec: str = "vec", block_rows: int = DEFAULT_BLOCK_ROWS, energy: float = 0.95) -> DataFrame:
+    """J1 where neither side fits and cells do not prune: qid, rank, id, distance and
+    ``full``, the full distances that the query took (a tenth of the corpus is 0.1 n).
+
+    Vectors are turned to principal axes, which keeps distances.  Over the first axes
+    (those that hold ``energy`` of the spread) the distance is computed; for the rest
+    only the lengths are kept, and (|q| - |c|)**2 over them bounds their part from
+    below.  A task holds a block of queries and a part of the corpus: the k rows with
+    the smallest bounds give a first k-th distance, and of all others only those whose
+    bound does not exceed it get a full distance.  Every task's k rows per query are
+    merged by a window.  Exact for any data, ties by id; under ``cosine`` the bounds
+    are those of unit vectors; a zero vector is at distance 1 from all.
+    """
+    q, c = _normalise_inputs(queries, corpus, qid, qvec, cid, cvec)
+    spark = q.sparkSession
+    q, c = _kept(q, "axes-queries"), _kept(c, "axes-corpus")
+    n_q, n_c = q.count(), c.count()
+    schema = _result_schema(q.schema["qid"].dataType, c.schema["id"].dataType)
+    with_full = T.StructType([*schema.fields, T.StructField("full", T.LongType(), False)])
+    if not n_q or not n_c:
+        return spark.createDataFrame([], with_full)
+    axes = principal_axes(c, "vec", space)
+    sample = _unit(_as_matrix(pd.Series(c.select(F.col("vec").cast("array<double>")).limit(1000).toArrow().column(0).to_numpy())), space)
+    head = _head(axes, sample, energy)
+    bc = spark.sparkContext.broadcast(axes)
+    q_blocks = max(math.ceil(n_q / block_rows), 1)
+    parts = max(math.ceil(n_c / AXES_PART), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_c / 1024)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    qs = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks))).withColumn("cb", every(parts))
+    cs = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(parts))).withColumn("qb", every(q_blocks))
+
+    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or cpdf.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in with_full.fields})
+        block = _Corpus(cpdf["id"].tolist(), _as_matrix(cpdf["vec"]))
+        return _pruned_top(qpdf["qid"].to_numpy(), _as_matrix(qpdf["vec"], block.e.shape[1]), block, k, space, bc.value, head)
+
+    found = _kept(qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInPandas(pair, with_full), "axes-found")
+    # ``full`` stands on the first row of every list.
+    full = found.groupBy("qid").agg(F.sum("full").alias("full"))
+    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
+    return (found.drop("full").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .join(full, "qid").select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance", "full"))
+
+
+def _pruned_top(qids, q: np.ndarray, block: _Corpus, k: int, space: str, axes: np.ndarray, head: int) -> pd.DataFrame:
+    def turned(m):
+        t = _unit(m, space) @ axes.T
+        return t[:, :head], np.sqrt(np.einsum("ij,ij->i", t[:, head:], t[:, head:]))
+
+    (qh, qt), (ch, ct) = turned(q), turned(block.e)
+    kk, n = min(k, len(block.ids)), len(block.ids)
+    c_sq = np.einsum("ij,ij->i", ch, ch)
+    #: cosine distance is half the squared distance of unit vectors.
+    half = 0.5 if space == "cosine" else 1.0
+    zero = block.e_norm == 0
+    cols = [], [], [], [], []
+    for a in range(0, len(q), QUERY_SLICE):
+        b = slice(a, min(a + QUERY_SLICE, len(q)))
+        low = np.maximum(np.einsum("ij,ij->i", qh[b], qh[b])[:, None] - 2.0 * (qh[b] @ ch.T) + c_sq[None, :], 0.0)
+        low = half * (low + (qt[b][:, None] - ct[None, :]) ** 2)
+        for i, bounds in zip(range(b.start, b.stop), low):
+            if space == "cosine" and (zero.any() or not q[i].any()):
+                # A zero vector is at distance 1 from everything.
+                bounds = np.where(zero, 1.0, bounds) if q[i].any() else np.ones(n)
+            first = np.argpartition(bounds, kk - 1)[:kk]
+            kth = _exact_row(q[i], first, block.e, block.e_norm, space).max()
+            slack = 1e-9 * (1.0 + abs(kth) + float(bounds[first].max()))
+            cand = np.flatnonzero(bounds <= kth + slack)
+            d = _exact_row(q[i], cand, block.e, block.e_norm, space)
+            order = np.lexsort((block.id_rank[cand], np.round(d, TIE_DIGITS) + 0.0))[:kk]
+            cols[0].append(np.repeat(qids[i:i + 1], kk))
+            cols[1].append(np.arange(1, kk + 1, dtype=np.int32))
+            cols[2].append(block.ids[cand[order]])
+            cols[3].append(d[order])
+            cols[4].append(np.r_[cand.size, np.zeros(kk - 1, np.int64)])
+    return pd.DataFrame(dict(zip(("qid", "rank", "id", "distance", "full"), map(np.concatenate, cols))))
+
+
+# ---------------------------------------------------------------------------
+# Product-quantised inverted lists
+
+#: Vectors that codebooks are trained on; codes per sub-space.
+PQ_SAMPLE, PQ_CODES = 20_000, 256
+
+
+def _kmeans(x: np.ndarray, n: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """Lloyd's centres of the rows of ``x`` (empty ones move to the farthest row)."""
+    rng = np.random.default_rng(seed)
+    n = min(n, len(x))
+    centres = x[rng.permutation(len(x))[:n]].copy()
+    for _ in range(rounds):
+        d = _distances(x, centres)
+        near = d.argmin(axis=1)
+        count = np.bincount(near, minlength=n)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+        far = np.argsort(-d[np.arange(len(x)), near], kind="stable")
+        for empty, row in zip(np.flatnonzero(count == 0).tolist(), far.tolist()):
+            centres[empty] = x[row]
+    return centres
+
+
+def _split(dim: int, subspaces: int) -> list[tuple[int, int]]:
+    edge = [round(i * dim / subspaces) for i in range(subspaces + 1)]
+    return list(zip(edge[:-1], edge[1:]))
+
+
+def _codes(residuals: np.ndarray, books: list[np.ndarray], parts) -> np.ndarray:
+    return np.stack([_distances(residuals[:, a:b], book).argmin(axis=1) for book, (a, b) in zip(books, parts)], axis=1).astype(np.uint8)
+
+
+def pq_build(corpus: DataFrame, cells: int | None = None, subspaces: int = 16, *, cid: str = "id", cvec: str = "vec",
+             space: str = "l2", seed: int = 1) -> dict:
+    """Inverted lists of product-quantised residuals.
+
+    The corpus is clustered as in ``ivf_build``; what a row differs from its cell's
+    centroid by is cut into ``subspaces`` pieces, and each piece is replaced by the
+    nearest of up to PQ_CODES centres of its sub-space.  Codebooks are trained by one
+    task per sub-space on the PQ_SAMPLE rows with the smallest hash; every row is
+    encoded.  The index has (id, cell, code: one byte per sub-space) and the vectors
+    beside it; the driver holds centroids and codebooks.
+    """
+    index = ivf_build(corpus, cells, cid=cid, cvec=cvec, space=space, seed=seed)
+    spark, cents = corpus.sparkSession, index["centroids"]
+    index["df"] = _kept(index["df"], "pq-cells")
+    dim = cents.shape[1]
+    subspaces = min(subspaces, dim)
+    parts = _split(dim, subspaces)
+    bc = spark.sparkContext.broadcast(cents)
+
+    def residual(vec, cell) -> np.ndarray:
+        return _unit(_as_matrix(vec), space) - bc.value[np.asarray(cell)]
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        sub = int(pdf["sub"].iloc[0])
+        a, b = parts[sub]
+        pdf = pdf.sort_values("place")
+        book = _kmeans(residual(pdf["vec"], pdf["cell"])[:, a:b], PQ_CODES, seed + sub)
+        return pd.DataFrame({"sub": sub, "code": np.arange(len(book)), "centre": list(book)})
+
+    sample = index["df"].select(F.xxhash64("id").alias("place"), "vec", "cell").orderBy("place").limit(PQ_SAMPLE)
+    rows = (sample.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subspaces - 1)))).groupBy("sub")
+            .applyInPandas(train, "sub int, code int, centre array<double>").orderBy("sub", "code").collect())
+    books = [np.array([r.centre for r in rows if r["sub"] == s], np.float64) for s in range(subspaces)]
+    bb = spark.sparkContext.broadcast(books)
+
+    @F.pandas_udf("binary")
+    def encode(vec: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in _codes(residual(vec, cell), bb.value, parts)])
+
+    index["codes"] = _kept(index["df"].select("id", "cell", encode("vec", "cell").alias("code")), "pq-codes")
+    index["books"], index["parts"] = books, parts
+    return index
+
+
+def pq_join(queries: DataFrame, index: dict, k: int, probe: int, *, rerank: int = 10, qid: str = "qid", qvec: str = "vec",
+            block_rows: int = 4 * DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Approximate k-NN over ``pq_build``'s lists.
+
+    Per query and probed cell one table of distances from the query's residual to all
+    codes is made, and a row's distance is the sum of one entry per sub-space; the
+    ``rerank * k`` rows that look nearest over all probed cells are then fetched, given
+    their exact distance, and ranked by it.
+    """
+    spark, space = queries.sparkSession, index["space"]
+    q = _kept(queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec"))
+              .where(F.col("vec").isNotNull() & (F.size("vec") > 0)), "pq-queries")
+    codes, n_near = index["codes"], rerank * k
+    schema = _result_schema(q.schema["qid"].dataType, codes.schema["id"].dataType)
+    near_schema = T.StructType([schema["qid"], schema["id"], T.StructField("near", T.DoubleType(), False)])
+    bc = spark.sparkContext.broadcast((index["centroids"], index["books"], index["parts"]))
+    routed = _kept(_routed(q, index, n_near, probe), "pq-routed")
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    per_cell = F.broadcast(blocks(codes, "n_c").join(blocks(routed, "n_q"), "cell"))
+    qk = (routed.join(per_cell, "cell").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("n_q")))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1))).select("cell", "qb", "cb", "qid", "vec"))
+    ck = (codes.join(per_cell, "cell").withColumn("cb", F.pmod(F.xxhash64("id"), F.col("n_c")))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).select("cell", "qb", "cb", "id", "code"))
+
+    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or cpdf.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in near_schema.fields})
+        cents, books, parts = bc.value
+        code = np.frombuffer(b"".join(cpdf["code"]), np.uint8).reshape(len(cpdf), len(parts))
+        left = _unit(_as_matrix(qpdf["vec"]), space) - cents[int(qpdf["cell"].iloc[0])]
+        tables = [_distances(left[:, a:b], book) ** 2 for book, (a, b) in zip(books, parts)]
+        ids, qids, out = cpdf["id"].to_numpy(dtype=object), qpdf["qid"].to_numpy(dtype=object), []
+        for i in range(len(qids)):
+            d = np.zeros(len(ids))
+            for s, t in enumerate(tables):
+                d += t[i][code[:, s]]
+            at = np.argpartition(d, min(n_near, len(d)) - 1)[:n_near]
+            out.append(pd.DataFrame({"qid": np.repeat(qids[i:i + 1], len(at)), "id": ids[at], "near": d[at]}))
+        return pd.concat(out)
+
+    near = qk.groupBy("cell", "qb", "cb").cogroup(ck.groupBy("cell", "qb", "cb")).applyInPandas(pair, near_schema)
+    best = Window.partitionBy("qid").orderBy("near", "id")
+    near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n_near).select("qid", "id")
+    both = near.join(index["df"].select("id", F.col("vec").alias("cvec")), "id").join(q, "qid")
+    distance = V.l2_distance("vec", "cvec") if space == "l2" else V.cosine_distance("vec", "cvec")
+    w = Window.partitionBy("qid").orderBy(F.round("distance", TIE_DIGITS), "id")
+    return (both.select("qid", "id", distance.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", F.col("rank").cast("int").alias("rank"), "id", "distance"))

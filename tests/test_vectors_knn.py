@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.functions import vectors as V
 from shelfspark.operators import knn as KN
@@ -160,3 +161,60 @@ def test_knn_many_exact_ties_use_id_order(spark, space):
     got = _rows(KN.knn_join(qdf, cdf, 5, space))
     assert got == brute([(1, same), (2, [0.0, 0.0, 0.0])], cs, 5, space)
     assert [r[2] for r in got if r[0] == 1] == [11, 12, 13, 14, 15]
+
+
+def _spread(seed, n, dim, axes):
+    """Vectors whose spread lies in a few directions, none along a coordinate."""
+    rng = np.random.default_rng(seed)
+    turn = np.linalg.qr(np.random.default_rng(99).normal(size=(dim, dim)))[0]
+    scale = np.where(np.arange(dim) < axes, 5.0, 0.1)
+    return ((rng.normal(size=(n, dim)) * scale) @ turn).round(4).tolist()
+
+
+@pytest.mark.parametrize("space", ["l2", "cosine"])
+def test_axes_are_exact_and_spare_distances(spark, space):
+    cs = list(enumerate(_spread(1, 900, 12, 4)))
+    cs += [(2000 + i, list(cs[0][1])) for i in range(30)] + [(3000, [0.0] * 12)]
+    qs = [(i, v) for i, v in enumerate(_spread(2, 40, 12, 4))] + [(100, list(cs[0][1])), (101, [0.0] * 12)]
+    cdf = spark.createDataFrame(cs, "id long, vec array<double>")
+    qdf = spark.createDataFrame(qs, "qid long, vec array<double>")
+    assert _rows(KN.knn_join(qdf, cdf, 5, space, strategy="axes", block_rows=16)) == brute(qs, cs, 5, space)
+    full = {r.qid: r.full for r in KN.knn_axes(qdf, cdf, 5, space).collect()}
+    spread = [full[i] for i in range(40)]
+    assert sum(spread) < 0.25 * 40 * len(cs)
+    assert KN.knn_axes(qdf, cdf.limit(0), 5, space).count() == 0
+
+
+def test_auto_ships_the_smaller_side(spark):
+    cdf = spark.range(400).select("id", F.array(*[(F.col("id") * (i + 1) % 17).cast("double") for i in range(4)]).alias("vec"))
+    few = cdf.where("id < 3").withColumnRenamed("id", "qid")
+    plan = lambda q: KN.knn_join(q, cdf, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan(few) and "Window" not in plan(cdf.withColumnRenamed("id", "qid"))
+
+
+@pytest.mark.parametrize("space", ["l2", "cosine"])
+def test_quantised_lists(spark, space):
+    rng = np.random.default_rng(8)
+    vs = rng.normal(size=(1500, 24)).round(3)
+    cdf = spark.createDataFrame([(i, v) for i, v in enumerate(vs.tolist())], "id long, vec array<double>")
+    index = KN.pq_build(cdf, 16, 12, space=space, seed=3)
+    assert index["codes"].select(F.octet_length("code").alias("n")).distinct().collect()[0].n == 12
+    qs = cdf.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    exact = KN.knn_join(qs, cdf, 5, space)
+    search = lambda s, p: KN.pq_join(s, index, 5, p)
+    probe = KN.probe_for(qs, index, 5, 0.9, n_sample=60, search=search)
+    found = search(qs, probe)
+    assert 1 <= probe <= 16 and KN.recall(found, exact) >= 0.85
+    # All cells and every row fetched again: exact.
+    assert _rows(KN.pq_join(qs, index, 5, 16, rerank=300)) == _rows(exact)
+    assert KN.recall(KN.ivf_join(qs, index, 5, 16), exact) == 1.0
+
+
+def test_short_lists_are_filled(spark):
+    """A query whose nearest cells hold fewer than k rows searches further ones."""
+    rng = np.random.default_rng(2)
+    cs = [(i, (rng.normal(size=3) + (40 * (i % 25))).tolist()) for i in range(75)]
+    cdf = spark.createDataFrame(cs, "id long, vec array<double>")
+    index = KN.ivf_build(cdf, 25, seed=4)
+    qs = cdf.withColumnRenamed("id", "qid")
+    assert KN.ivf_join(qs, index, 10, probe=1).groupBy("qid").count().where("count <> 10").count() == 0
