@@ -4,8 +4,8 @@ Tables carry no order, so every operator takes an explicit ``order_by`` key that
 must be a total order (unique).  Nothing here sends a whole table, or a whole
 hot group, through one task:
 
-* ``dense_id`` buckets rows by sampled key bounds (literals in the plan), numbers
-  rows within a bucket and adds per-bucket offsets (one row per bucket, broadcast).
+* ``dense_id`` buckets rows by sampled key bounds (one constant array in the plan),
+  numbers rows within a bucket and adds per-bucket offsets (one row per bucket, broadcast).
 * ``running_sum`` is a segmented prefix sum: a window per (group, chunk of the
   integral order key) plus a prefix over chunk totals, so a group holding a third
   of the table is spread over many tasks.
@@ -15,8 +15,11 @@ hot group, through one task:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.text import is_blank, strip_ws
 
@@ -40,65 +43,73 @@ def _num_partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def _bucket_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Binary search over sorted bound literals: the number of bounds <= key."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < bounds[mid], _bucket_expr(key, bounds, lo, mid)) \
-            .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
+#: Between bounds in their literal; keys that hold it give no bound.
+_SEP = "\x1f"
+
+
+def _bounds(keyed: DataFrame, order: list[Column], n: int, per_bucket: int, seed: int) -> list[Column]:
+    """Ascending bounds of ``n`` buckets, one constant array per order column.
+
+    They come from a sample of about ``n * per_bucket`` keys, sorted and thinned by
+    Spark; only the n - 1 bounds reach the driver, as one string per column, and the
+    plan holds them as one constant each, however many buckets there are."""
+    keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
+    types = [f.dataType for f in keyed.select(*keys).schema.fields]
+    rows = keyed.select(*keys)
+    total = rows.count()
+    if n <= 1 or not total:
+        return []
+    usable = [F.col(f"k{i}").isNotNull() & ~F.col(f"k{i}").cast("string").contains(_SEP) for i in range(len(keys))]
+    sample = rows.sample(False, min(1.0, 1.2 * n * per_bucket / total), seed).where(functools.reduce(Column.__and__, usable))
+    def as_text(name: str):
+        return F.array_join(F.transform("b", lambda x: x[name].cast("string")), _SEP).alias(name)
+
+    picked = (sample.agg(F.array_sort(F.collect_set(F.struct(*rows.columns))).alias("s"))
+              .select(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(n - 1)),
+                                                   lambda i: F.get("s", F.floor(i * F.size("s") / n).cast("int")))).alias("b"))
+              .select(*[as_text(c) for c in rows.columns], F.size("b").alias("n")).first())
+    if not picked["n"] or picked["k0"] is None:
+        return []
+    return [F.split(F.lit(picked[f"k{i}"]), _SEP).cast(T.ArrayType(t)) for i, t in enumerate(types)]
 
 
-def _literal(value, dtype) -> Column:
-    from pyspark.sql import types as T
+def _bucket(order: list[Column], bounds: list[Column]) -> Column:
+    """The number of bounds <= key, by binary search over constant arrays."""
+    if not bounds:
+        return F.lit(0)
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    size = F.size(bounds[0])
 
-    if isinstance(dtype, T.StructType):
-        return F.struct(*[_literal(value[i], f.dataType).alias(f.name) for i, f in enumerate(dtype.fields)])
-    return F.lit(value).cast(dtype)
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        at = F.struct(*[F.get(b, mid).alias(f"k{i}") for i, b in enumerate(bounds)])
+        below = F.struct(acc["lo"].alias("lo"), mid.alias("hi"))
+        above = F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))
+        return F.when(acc["lo"] >= acc["hi"], acc).when(key < at, below).otherwise(above)
+
+    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int")), start, step)["lo"]
 
 
 def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | None = None,
              sample_per_bucket: int = 20, seed: int = 17) -> DataFrame:
     """0-based dense position in ``order_by`` order, without a global window.
 
-    Bucket bounds come from a bounded sample of the keys (at most about
-    ``num_partitions * sample_per_bucket`` keys reach the driver), sorted by
-    Spark and inlined as literals; a binary CASE tree puts each row in its
-    bucket.  Counts per bucket (one row per bucket, broadcast) give offsets and
-    ``row_number`` within a bucket gives the rest.  The ids depend only on key
-    values, never on partitioning or arrival order, so every consumer and any
-    recomputation after a lost executor see the same ids.  ``order_by`` must be
-    unique; a null key comes first.  The number of buckets follows the rows.
+    Bucket bounds come from a sample of the keys; a binary search over them, held as
+    constants, puts each row in its bucket.  Counts per bucket (one row per bucket,
+    broadcast) give offsets and ``row_number`` within a bucket gives the rest.  The
+    ids depend only on key values, never on partitioning or arrival order, so every
+    consumer and any recomputation after a lost executor see the same ids.
+    ``order_by`` must be unique; a null key comes first.  The number of buckets
+    follows the rows.
     """
-    from pyspark.sql import types as T
-
     n = num_partitions or max(_num_partitions(df), -(-df.count() // ROWS_PER_BUCKET))
     order = _cols(order_by)
-    single = len(order) == 1
-    keyed = df.withColumn("__key", order[0] if single else F.struct(*order))
-    dtype = keyed.schema["__key"].dataType
-    picks: list = []
-    if n > 1 and single and isinstance(dtype, T.NumericType):
-        # One pass, bounded memory: Spark's approximate quantiles of the key.
-        probs = [i / n for i in range(1, n)]
-        picks = keyed.approxQuantile("__key", probs, 1.0 / (10 * n))
-    elif n > 1:
-        total = keyed.select("__key").count()
-        if total > 0:
-            frac = min(1.0, 1.2 * n * sample_per_bucket / total)
-            sample = (keyed.select("__key").where(F.col("__key").isNotNull())
-                           .sample(False, frac, seed).orderBy("__key").collect())
-            picks = [sample[(i * len(sample)) // n]["__key"] for i in range(1, n)] if sample else []
-    uniq: list = []
-    for v in picks:
-        if not uniq or v != uniq[-1]:
-            uniq.append(v)
-    bounds = [_literal(v, dtype) for v in uniq]
+    bounds = _bounds(df, order, n, sample_per_bucket, seed)
     # A null key sorts first: it belongs to the first bucket.
-    bucketed = keyed.withColumn("__bucket", F.when(F.col("__key").isNull(), F.lit(0))
-                                .otherwise(_bucket_expr(F.col("__key"), bounds, 0, len(bounds))))
+    bucket = F.when(order[0].isNull(), F.lit(0)).otherwise(_bucket(order, bounds)) if len(order) == 1 else _bucket(order, bounds)
     within = Window.partitionBy("__bucket").orderBy(*order)
-    ranked = bucketed.withColumn("__rn", F.row_number().over(within))
+    ranked = df.withColumn("__bucket", bucket).withColumn("__rn", F.row_number().over(within))
     # Bucket sizes read off the window output: same clustering, same exchange.
     counts = ranked.groupBy("__bucket").agg(F.max("__rn").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +117,7 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
     # offsets has one row per bucket: a proven bound for the broadcast.
     return (ranked.join(F.broadcast(offsets), "__bucket")
                   .withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
-                  .drop("__key", "__bucket", "__rn", "__off"))
+                  .drop("__bucket", "__rn", "__off"))
 
 
 def running_sum(df: DataFrame, group_by, order_col: str, value: Column, out: str,
@@ -163,13 +174,33 @@ def suffix_duplicates(df: DataFrame, id_col: str, pos_col: str, out: str | None
     """I4: the k-th repeat (k >= 1, in position order) of an id gets ``__k``.
 
     An id that already looked like that may now be there twice; such repeats get a
-    suffix again, until every id is unique (checked; one pass if there are none).
+    suffix again, until every id is unique.  The passes after the first, and the
+    checks, run on a narrow table of ids and positions in the shared folder; ``df``
+    itself is derived for it and for the result.  Positions are unique, ids not null
+    (``fill_blank_ids`` comes first).
     """
     out = out or id_col
-    done = _suffix_once(df, id_col, pos_col, out, chunk)
-    while suffix_collisions(done, out):
-        done = _suffix_once(done, out, pos_col, out, chunk)
-    return done
+    narrow = _stored(df.select(F.col(id_col).alias("__id"), F.col(pos_col).alias("__pos")), "suffixes")
+    now, passes = narrow, 0
+    while True:
+        now = _stored(_suffix_once(now, "__id", "__pos", "__id", chunk), "suffixes")
+        passes += 1
+        if not suffix_collisions(now, "__id"):
+            break
+    if passes == 1:
+        return _suffix_once(df, id_col, pos_col, out, chunk)
+    named = now.withColumnRenamed("__id", "__new").withColumnRenamed("__pos", pos_col)
+    return df.join(named, pos_col).withColumn(out, F.col("__new")).drop("__new").select(
+        *df.columns, *([out] if out not in df.columns else []))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    from shelfspark.session import scratch_path
+
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _suffix_once(df: DataFrame, id_col: str, pos_col: str, out: str, chunk: int) -> DataFrame:
