@@ -6,6 +6,9 @@ empty denominators give 0 (ANSI mode would raise on division by zero).
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +140,56 @@ def summarize(scored: DataFrame, contexts: str = "contexts") -> DataFrame:
     )
 
 
+#: Replicates of the bootstrap, and the share of them an interval holds.
+REPLICATES, LEVEL = 200, 0.95
+_U32 = 1 << 32
+
+
+def _poisson_bounds() -> list[int]:
+    """32-bit bounds of a Poisson variable of mean 1: its value is the number of
+    bounds that a uniform 32-bit number reaches (none beyond, up to 1 in 2**32)."""
+    out, p, total = [], math.exp(-1.0), 0.0
+    for k in range(1, 14):
+        total += p
+        out.append(round(total * _U32))
+        p /= k
+    return [b for b in out if b < _U32]
+
+
+def poisson_weights(key: Column, replicates: int, seed: int) -> Column:
+    """Array of a row's weight in every replicate, from md5(seed:group:key), each
+    digest giving four; the same on any partitioning."""
+    digests = F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)),
+                          lambda g: F.md5(F.concat(F.lit(f"{seed}:"), g.cast("string"), F.lit(":"), key).cast("binary")))
+    words = F.flatten(F.transform(digests, lambda d: F.array(*[F.conv(F.substring(d, 1 + 8 * j, 8), 16, 10).cast("bigint") for j in range(4)])))
+    value = lambda u: functools.reduce(Column.__add__, [(u >= b).cast("int") for b in _poisson_bounds()])
+    return F.transform(F.slice(words, 1, replicates), value)
+
+
+def bootstrap_intervals(scored: DataFrame, metrics: list[str], key: str | list[str], replicates: int = REPLICATES,
+                        level: float = LEVEL, seed: int = 17) -> DataFrame:
+    """E8 with intervals: metric, mean, low, high, n_replicates.
+
+    Poisson bootstrap: every row counts Poisson(1) times in every replicate, its
+    counts derived from ``key`` (unique), so all replicates are sums of one aggregate
+    pass with partial sums (one row per replicate leaves a task) and reruns agree.
+    ``low`` and ``high`` are quantiles of the replicates' means; replicates in which
+    no row counts are left out.  Nulls of a metric do not count.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    name = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    each = (scored.select(*metrics, F.posexplode(poisson_weights(name, replicates, seed)).alias("replicate", "w")).where("w > 0"))
+    sums = each.groupBy("replicate").agg(*[
+        (F.sum(F.col("w") * F.col(m)) / F.sum(F.when(F.col(m).isNotNull(), F.col("w")))).alias(m) for m in metrics])
+    half = (1 - level) / 2
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("s"))
+    limits = long.select("s.*").groupBy("metric").agg(F.percentile("x", half).alias("low"), F.percentile("x", 1 - half).alias("high"),
+                                                      F.count("x").alias("n_replicates"))
+    means = scored.agg(*[F.avg(m).alias(m) for m in metrics])
+    means = means.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("mean")) for m in metrics])).alias("s"))
+    return means.select("s.*").join(F.broadcast(limits), "metric", "left").select("metric", "mean", "low", "high", "n_replicates")
+
+
 def worst(scored: DataFrame, n: int = 5, key: str | list[str] = "question", metric: str = "f1_lex") -> DataFrame:
     """The ``n`` lowest-scoring rows (ties broken by ``key``)."""
     keys = [key] if isinstance(key, str) else key
