@@ -159,18 +159,24 @@ def repair_embeddings(raw: DataFrame, id_col: str, text_col: str, vec_text_col:
     """PL3, the rows: V1 parse -> I2 generated ids -> P6 validity -> I4 suffixes.
 
     Repeated ids are made unique by suffixes, as the repair of the stored table
-    does; nothing valid is lost."""
+    does; nothing valid is lost.  Generated ids are positions in ``order_by``."""
+    from shelfspark.session import scratch_path
+
     with_pos = ID.dense_id(raw, order_by, out="__pos")
     parsed = with_pos.withColumn("embedding", V.parse_vector(F.col(vec_text_col)))
     filled = ID.fill_blank_ids(parsed.withColumn("id", F.col(id_col).cast("string")), "id", "__pos",
                                style="generated")
     valid = filled.where(ID.valid_rows("id", text_col, "embedding"))
-    return ID.suffix_duplicates(valid, "id", "__pos")
+    # Read for the checks of the suffixes and for the result: parsed once.
+    path = scratch_path(raw.sparkSession, "repaired-rows")
+    valid.write.parquet(path)
+    return ID.suffix_duplicates(raw.sparkSession.read.schema(valid.schema).parquet(path), "id", "__pos")
 
 
 def repair_collection(spark: SparkSession, csv_path: str, root: str, name: str, multiline: bool = True) -> dict:
     """PL3 end to end: tolerant load (S3) -> column pick (P3, P4) -> quality counts
-    (A1) -> repair -> length histogram (A3) -> collection (S7).
+    (A1) -> repair -> length histogram (A3) -> collection (S7).  Generated ids are the
+    rows' places in their files (files by name), from 0.
 
     Returns the DataFrames ``counts`` (before), ``corrupt``, ``lengths`` and ``collection``.
     """
@@ -178,13 +184,14 @@ def repair_collection(spark: SparkSession, csv_path: str, root: str, name: str,
     from shelfspark.session import scratch_path
     from shelfspark.sources import collections as CO
 
-    good, corrupt = SC.read_tolerant_csv(spark, csv_path, [], multiline=multiline)
+    good, corrupt = SC.read_tolerant_csv(spark, csv_path, [], multiline=multiline, position="__at")
     path = scratch_path(spark, "tolerant-rows")
     good.write.parquet(path)
     rows = spark.read.schema(good.schema).parquet(path)
-    vec = SC.detect_vector_column(rows)
-    text = SC.pick_text_column(rows, vec)
-    rows, id_col = SC.with_id_column(rows.withColumn("__row", F.monotonically_increasing_id()), "__row")
+    place = [F.col("__at.file"), F.col("__at.start"), F.col("__at.seq")]
+    vec = SC.detect_vector_column(rows.drop("__at"))
+    text = SC.pick_text_column(rows.drop("__at"), vec)
+    rows, id_col = SC.with_id_column(ID.dense_id(rows, place, out="__row"), "__row")
     counts = PR.quality_counts(rows.withColumn("__v", V.parse_vector(vec)), id_col, text, "__v")
     fixed = repair_embeddings(rows, id_col, text, vec, "__row")
     stored = CO.save(fixed.select("id", "embedding", F.col(text).alias("document")), root, name)
@@ -267,7 +274,14 @@ def evaluate(pairs: DataFrame, collection: DataFrame, k: int = EVAL_TOP_K, space
 
 def report(scored: DataFrame, path: str, worst_n: int = 5, key: str = "question") -> dict:
     """Write the per-row predictions, the ``worst_n`` rows by ``f1_lex``
-    and the one-row summary under ``path``; returns the three DataFrames."""
+    and the one-row summary under ``path``; returns the three DataFrames.  ``scored``
+    is derived once, so a model answers every question once and all three outputs
+    tell of the same answers."""
+    from shelfspark.session import scratch_path
+
+    spark, stored = scored.sparkSession, scratch_path(scored.sparkSession, "scored")
+    scored.write.parquet(stored)
+    scored = spark.read.schema(scored.schema).parquet(stored)
     summary = EV.summarize(scored)
     worst_rows = EV.worst(scored, worst_n, key)
     SC.write_predictions(scored, summary, path)
