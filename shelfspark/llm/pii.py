@@ -1,15 +1,19 @@
 """Personal data by bootstrapped contextual extraction, DataFrame functions only.
 
 Seeds are the matches of four kinds of entities (email, ip, card, phone).  The
-words before and after a seed are its lexical patterns.  Tokens of identifier
-shape (with a digit, at least MIN_CHARS characters) that are no seed are
-candidates.  Patterns and instances form a bipartite graph; scores go back and
+words before and after a seed are its lexical patterns, one or two of them to a side.
+Tokens of identifier shape (with a digit, at least MIN_CHARS characters, punctuation
+at their edges taken off) that are no seed are candidates.  Candidates of the shape of
+a secret (SECRET: long runs of hex digits or of letters of both cases and digits, keys
+of known prefixes) score 1 by their shape and are seeds, too.  Patterns and instances form a bipartite graph; scores go back and
 forth over it ROUNDS times: a pattern's confidence is the mean score of its
 strings (damped by SMOOTH strings that are none), a candidate's score the
 best confidence among patterns that MIN_SEEDS different instances support.
 Candidates that score ACCEPT or more are found identifiers (kind ``id``) and
 become instances beside the seeds, so that patterns which no seed has can bring in
-more; this goes on until nothing new is found.
+more; this goes on until nothing new is found.  Every generation adds at least one
+string to the instances, so there are at most as many as distinct candidates; chains
+of contexts that lead from one to the next decide how many there are.
 
 Matches are leftmost and do not overlap.  The expressions use possessive
 quantifiers and start only where a match can start, which matches the same spans
@@ -43,6 +47,10 @@ PATTERNS = {
 #: Whitespace-delimited tokens with a digit in them.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
+#: Shapes of secrets; each match holds a letter and a digit.
+SECRET = (r"\A(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})"
+          r"|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])(?=[^0-9]*[0-9])[A-Za-z0-9+/_-]{32,}"
+          r"|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9-]{20,})\z")
 MIN_CHARS = 6
 #: Characters on either side that a context word is looked for in.
 NEAR = 64
@@ -113,7 +121,13 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     upto = Window.partitionBy("rid", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.length("hit")).cast("long")).over(upto)
     ok = reduce(lambda a, i: F.when(F.col("kind") == i, valid(KINDS[i], F.col("hit"))).otherwise(a), range(4), F.lit(True))
+    # A token's edge punctuation is no part of it.
+    token, lead = F.col("kind") == 4, F.length(F.regexp_extract("hit", r"\A\p{Punct}+", 0))
+    core = F.regexp_replace("hit", r"\A\p{Punct}+|\p{Punct}+\z", "")
     return (flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("hit"))
+            .withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start")))
+            .withColumn("hit", F.when(token, core).otherwise(F.col("hit")))
+            .withColumn("end", F.when(token, F.col("start") + F.length("hit")).otherwise(F.col("end")))
             .filter(ok).select("rid", "kind", "start", "end", "hit", "before", "after"))
 
 
@@ -124,14 +138,21 @@ def _word(c: Column) -> Column:
 
 
 def with_patterns(occ: DataFrame) -> DataFrame:
-    """Occurrences with their lexical patterns: the word before, the word after,
-    both.  The context of a token starts beyond the token itself."""
+    """Occurrences with their lexical patterns: the word before, the two words before,
+    the word after, the words on both sides.  The context of a token starts beyond the
+    token itself, its punctuation included."""
     left = _word(F.regexp_extract("before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+\z", 1))
+    further = _word(F.regexp_extract("before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z", 1))
     right = _word(F.regexp_extract("after", r"\A[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
-    pats = F.array(F.when(F.col("l") != "", F.concat(F.lit("L "), F.col("l"))), F.when(F.col("r") != "", F.concat(F.lit("R "), F.col("r"))),
+    pats = F.array(F.when(F.col("l") != "", F.concat(F.lit("L "), F.col("l"))),
+                   F.when(F.col("l2") != "", F.concat(F.lit("LL "), F.col("l2"), F.lit(" "), F.col("l"))), F.when(F.col("r") != "", F.concat(F.lit("R "), F.col("r"))),
                    F.when((F.col("l") != "") & (F.col("r") != ""), F.concat(F.lit("B "), F.col("l"), F.lit(" "), F.col("r"))))
-    return (occ.withColumn("l", left).withColumn("r", right)
-            .withColumn("patterns", F.filter(pats, lambda p: p.isNotNull())).drop("l", "r", "before", "after"))
+    return (occ.withColumn("l", left).withColumn("l2", further).withColumn("r", right)
+            .withColumn("patterns", F.filter(pats, lambda p: p.isNotNull())).drop("l", "l2", "r", "before", "after"))
+
+
+def is_secret(hit: str | Column) -> Column:
+    return (F.col(hit) if isinstance(hit, str) else hit).rlike(SECRET)
 
 
 def candidates(occ: DataFrame) -> DataFrame:
@@ -165,15 +186,15 @@ def _scores(edges: DataFrame, total: int, rounds: int) -> DataFrame:
 
 def bootstrap(seeds: DataFrame, cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The strings found: (hit)."""
-    each = lambda df, s: df.select(F.explode("patterns").alias("pattern"), "hit", F.lit(s).alias("seed"))
-    edges = each(seeds, 1.0).unionByName(each(cands, 0.0)).groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
+    each = lambda df, s: df.select(F.explode("patterns").alias("pattern"), "hit", s.cast("double").alias("seed"))
+    edges = each(seeds, F.lit(1)).unionByName(each(cands, is_secret("hit"))).groupBy("pattern", "hit").agg(F.max("seed").alias("seed"))
     # A pattern without candidates tells nothing, nor does one of MIN_SEEDS strings:
     # it counts only once all of them are instances.
     useful = (edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
               .filter((F.col("n") > MIN_SEEDS) & (F.col("seeds") < F.col("n"))).drop("seeds"))
     edges = stored(join_counted(edges, useful, ["pattern"], "n", edges.count()).drop("n"), "pii-edges")
     total = edges.count()
-    found = []
+    found = [cands.filter(is_secret("hit")).select("hit")]
     while True:
         scores = _scores(edges, total, rounds)
         accepted = F.col("score") >= ACCEPT
@@ -207,14 +228,14 @@ def span_list(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, n_id, n_spans (all spans), base_sha256, spans."""
     s = F.col("spans")
 
     def of(kind: int) -> Column:
         return F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long")
 
     counts = [of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return find(docs).select("doc_id", *counts,
+    return find(docs).select("doc_id", *counts, F.size(s).cast("long").alias("n_spans"),
                              F.sha2(span_list(F.filter(s, lambda x: x["kind"] < 4)).cast("binary"), 256).alias("base_sha256"),
                              span_list(s).alias("spans"))
 
