@@ -4,7 +4,11 @@ The index is a list of segments, each a table of distinct digests bucketed and
 sorted by digest.  A new batch is reduced to one row per digest (pre-aggregated
 before the shuffle, so a text that makes up a third of the batch is no hot key),
 anti-joined with every segment by sort-merge join (the segments do not move) and
-what is new is appended as a further segment.
+what is new is appended as a further segment.  From MAX_SEGMENTS segments on they
+are merged into one first, so a batch meets a bounded number of them.
+
+``report`` ingests a table in batches by ranges of doc_id, in ascending order, so
+that all but the first are looked up in what came before.
 
 Texts are equal when identical after every run of separators became one space;
 the digest is SHA-256 of that text in UTF-8.
@@ -37,6 +41,10 @@ def digest(text: str | Column = "text") -> Column:
 
 #: Columns of a segment.
 SEGMENT = "digest BINARY, keep_id BIGINT, group_size BIGINT"
+LISTED = "name string, buckets int, number int, generation int"
+MAX_SEGMENTS = 8
+#: Batches that ``report`` ingests a table in.
+BATCHES = 4
 
 
 class DigestIndex:
@@ -47,28 +55,40 @@ class DigestIndex:
     index again in another session.  ``buckets`` stays the same over its life.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int, segments: list[str] | None = None):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int, segments: list[str] | None = None, generation: int = 0):
+        self.spark, self.root, self.buckets, self.generation = spark, root, buckets, generation
         self.segments = list(segments or [])
 
     def _segment(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
+    def _write(self, rows: DataFrame, number: int, generation: int) -> str:
+        name = f"digest_segment_{uuid.uuid4().hex[:12]}"
+        (rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+            .option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name))
+        # Listed once its data is complete.
+        (self.spark.createDataFrame([(name, self.buckets, number, generation)], LISTED)
+            .coalesce(1).write.mode("append").json(f"{self.root}/segments"))
+        return name
+
     def append(self, groups: DataFrame) -> DataFrame:
         """Anti-join ``groups`` (digest, keep_id, group_size) with the index and
         append what is new; returns the appended segment."""
+        if len(self.segments) >= MAX_SEGMENTS:
+            self.compact()
         new = groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), "group_size")
         for name in self.segments:
             new = new.join(self._segment(name).select("digest").hint("merge"), "digest", "left_anti")
-        name = f"digest_segment_{uuid.uuid4().hex[:12]}"
-        (new.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", f"{self.root}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name))
-        # Listed once its data is complete.
-        (self.spark.createDataFrame([(name, self.buckets, len(self.segments))], "name string, buckets int, number int")
-            .coalesce(1).write.mode("append").json(f"{self.root}/segments"))
+        name = self._write(new, len(self.segments), self.generation)
         self.segments.append(name)
         return self._segment(name)
 
+    def compact(self) -> None:
+        """All segments as one.  The list names it as a new generation, so an index
+        opened meanwhile sees either all of the old segments or the merged one."""
+        merged = self._write(self.lookup(), 0, self.generation + 1)
+        self.segments, self.generation = [merged], self.generation + 1
+
     def lookup(self) -> DataFrame:
         """All digests of the index (each is in exactly one segment)."""
         out = self._segment(self.segments[0])
@@ -80,11 +100,13 @@ class DigestIndex:
 def open_index(spark: SparkSession, root: str) -> DigestIndex:
     """The index under ``root``, its segments registered in this session if they
     are not (one short row per segment is read)."""
-    rows = spark.read.schema("name string, buckets int, number int").json(f"{root}/segments").orderBy("number").collect()
+    rows = spark.read.schema(LISTED).json(f"{root}/segments").orderBy("number").collect()
+    generation = max(r.generation or 0 for r in rows)
+    rows = [r for r in rows if (r.generation or 0) == generation]
     for r in rows:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {r.name} ({SEGMENT}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
                   f"INTO {r.buckets} BUCKETS LOCATION '{root}/{r.name}'")
-    return DigestIndex(spark, root, rows[0].buckets, [r.name for r in rows])
+    return DigestIndex(spark, root, rows[0].buckets, [r.name for r in rows], generation)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,3 +142,25 @@ def deduplicate(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
 def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     """An empty index under the shared folder."""
     return DigestIndex(spark, scratch_path(spark, "digest-index"), buckets or shuffle_partitions(spark))
+
+
+def deduplicate_in_batches(docs: DataFrame, index: DigestIndex, batches: int = BATCHES, doc_id: str = "doc_id",
+                           text: str = "text") -> DataFrame:
+    """Ingest a table in ``batches`` ranges of doc_id, ascending (null ids with the
+    last).  One row per row of ``docs`` as in ``deduplicate``, group_size counting the
+    rows of all batches."""
+    rows = stored(digests(docs, doc_id, text), "digests")
+    bounds = rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        mine = F.lit(True) if low is None else F.col("doc_id") > low
+        mine = mine & (F.col("doc_id") <= high) if high is not None else mine | F.col("doc_id").isNull()
+        index.append(grouped(rows.filter(mine)))
+    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    owners = stored(index.lookup().select("digest", "keep_id").join(sizes, "digest"), "digest-owners")
+    return join_counted(rows, owners, ["digest"], "group_size", rows.count()).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    return deduplicate_in_batches(docs, new_index(docs.sparkSession))

@@ -132,7 +132,7 @@ FROM n WINDOW p AS (PARTITION BY text_sha256)
 
 @register("op7_exact_dedup", EXACT_SQL)
 def op7_exact_dedup(spark, sf_dir):
-    return exact.deduplicate(table(spark, sf_dir, "documents"), exact.new_index(spark))
+    return exact.report(table(spark, sf_dir, "documents"))
 
 
 @register("op8_contextual_pii")
