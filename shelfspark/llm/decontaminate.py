@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,19 +149,23 @@ MATCH_SCHEMA = T.StructType([
 ])
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of at most ``block_bytes`` (or one item)."""
-    blocks: list[list[tuple[str, bytes]]] = []
-    size = block_bytes + 1
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
+    """The benchmark in blocks of at most ``block_bytes`` (or one item), each
+    broadcast as soon as it is full: the driver's program holds one block at a time
+    and a handle for each of the others."""
+    sc = benchmark.sparkSession.sparkContext
+    handles: list[Broadcast] = []
+    block: list[tuple[str, bytes]] = []
+    size = 0
     for r in (benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
                                text_of(text_col).cast("binary").alias("t"))
               .orderBy("i", "t").toLocalIterator()):
-        if size + len(r.t) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, bytes(r.t)))
+        if block and size + len(r.t) > block_bytes:
+            handles.append(sc.broadcast(block))
+            block, size = [], 0
+        block.append((r.i, bytes(r.t)))
         size += len(r.t)
-    return blocks
+    return [*handles, sc.broadcast(block)] if block else handles
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
@@ -168,15 +173,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, doc_
     """One row per document: n_words, the disjoint word ranges [starts, ends)
     inside matches and the sorted items with occurring windows.
 
-    The benchmark is read block by block through the driver's iterator; each
-    block is at most ``block_bytes`` and travels with the tasks of its pass.  A
-    later pass adds to what the earlier ones found, so rows never move.
+    The benchmark is read block by block; each block is at most ``block_bytes`` and
+    is broadcast.  A later pass adds to what the earlier ones found, so rows never
+    move.
     """
     empty = F.array().cast("array<long>")
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
                       F.lit(0).cast("long").alias("n_words"), empty.alias("starts"), empty.alias("ends"),
                       F.array().cast("array<string>").alias("items"))
-    for block in _item_blocks(benchmark, item_id, item_text, block_bytes) or [[]]:
+    for block in _item_blocks(benchmark, item_id, item_text, block_bytes) or [docs.sparkSession.sparkContext.broadcast([])]:
         out = out.mapInArrow(_searcher(block, window), MATCH_SCHEMA)
     return out.drop("text")
 
@@ -189,9 +194,9 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]
     return s[new].tolist(), reach[np.r_[np.flatnonzero(new)[1:] - 1, s.size - 1]].tolist()
 
 
-def _searcher(block: list[tuple[str, bytes]], window: int):
+def _searcher(block: Broadcast, window: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(block, window)
+        tests = TestSuffixes(block.value, window)
         for batch in batches:
             starts, ends, items = (batch.column(c).to_pylist() for c in ("starts", "ends", "items"))
             counts = []
@@ -232,9 +237,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
     return out
 
 
-def _cleaner(block: list[tuple[str, bytes]], window: int, text: str):
+def _cleaner(block: Broadcast, window: int, text: str):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(block, window)
+        tests = TestSuffixes(block.value, window)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             texts = [(x or "").encode() for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
