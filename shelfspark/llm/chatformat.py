@@ -1,11 +1,12 @@
 """Chat formatting: schema fingerprints select declarative mappings.
 
-A record's fingerprint is a hash of its sorted nested field paths with the kind
-of value at each (array elements share one path).  A mapping, registered under
-the fingerprint of an example of its layout, says declaratively where the turns
+A record's fingerprint is a hash of its sorted nested field paths (array elements
+share one path; values do not count, so a null fits any kind).  A mapping, registered
+under the fingerprint of an example of its layout, says declaratively where the turns
 are; prompt, instruction and message layouts all become canonical (role, text)
-turns.  A layout that is not registered falls back to the mapping whose required
-paths it covers best, and is otherwise reported, not guessed.
+turns.  A layout that is not registered falls back to the mapping of which it has most
+required paths (among equals the first in LAYOUTS), and is otherwise reported, not
+guessed.  An instruction and its input are one user turn, with a blank line between.
 
 The template writes ``<|im_start|>role LF text <|im_end|> LF`` per turn.  Control
 strings of this and other common templates inside a text get one more backslash
@@ -26,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 import pyarrow as pa
@@ -100,7 +102,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 # Layouts
 
 def field_paths(value: Any, path: str = "") -> set[str]:
-    """Nested field paths with the kind of each leaf; nulls fit any kind."""
+    """Nested field paths; empty objects and lists are marked as such."""
     if isinstance(value, dict):
         return {p for k, v in value.items() for p in field_paths(v, f"{path}.{k}")} or {path + ":{}"}
     if isinstance(value, list):
@@ -118,8 +120,8 @@ class Mapping:
 
     ``turns``: the path of a list of turn objects with ``role`` and ``text`` in
     them, or of the record itself if it is one turn (empty path).  ``fields``:
-    (role, path) for layouts with a field per turn; a missing optional one is no
-    turn.  ``roles`` renames roles.
+    (role, path) for layouts with fields; neighbours of one role are one turn, their
+    texts that are not empty joined by a blank line.  ``roles`` renames roles.
     """
     name: str
     turns: str | None = None
@@ -137,8 +139,8 @@ class Mapping:
     def apply(self, record: dict) -> list[tuple[str, str]]:
         rename = dict(self.roles)
         if self.turns is None:
-            found = [(role, _at(record, path)) for role, path in self.fields]
-            return [(role, _text(v)) for role, v in found if v not in (None, "") or len(found) < 3]
+            turns = [(role, [_text(_at(record, path)) for _, path in group]) for role, group in groupby(self.fields, lambda f: f[0])]
+            return [(role, "\n\n".join(t for t in texts if t)) for role, texts in turns]
         rows = _at(record, self.turns) if self.turns else [record]
         out = []
         for r in rows or []:
@@ -170,7 +172,7 @@ LAYOUTS: tuple[tuple[Mapping, dict], ...] = (
     (Mapping("prompt_completion", fields=(("user", "prompt"), ("assistant", "completion"))), {"prompt": "", "completion": ""}),
     (Mapping("prompt_response", fields=(("user", "prompt"), ("assistant", "response"))), {"prompt": "", "response": ""}),
     (Mapping("question_answer", fields=(("user", "question"), ("assistant", "answer"))), {"question": "", "answer": ""}),
-    (Mapping("instruction", fields=(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    (Mapping("instruction", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
      {"instruction": "", "input": "", "output": ""}),
 )
 
@@ -182,22 +184,35 @@ class Layouts:
         self.by_print = {fingerprint(field_paths(example)): m for m, example in layouts}
         self.all = [m for m, _ in layouts]
         self.seen: dict[str, Mapping | None] = {}
+        #: Fingerprints by their paths, for this task.
+        self.prints: dict[frozenset, str] = {}
 
-    def choose(self, record: dict) -> Mapping | None:
+    def choose(self, record: dict) -> tuple[str, Mapping | None]:
+        """The record's fingerprint and its mapping."""
         paths = field_paths(record)
-        key = fingerprint(paths)
+        key = self.prints.get(at := frozenset(paths))
+        if key is None:
+            if len(self.prints) > 10_000:  # records whose keys are data: the store of prints stays bounded
+                self.prints.clear()
+            key = self.prints[at] = fingerprint(paths)
         if key in self.by_print:
-            return self.by_print[key]
+            return key, self.by_print[key]
         if key not in self.seen:
             covered = [m for m in self.all if m.required() <= paths]
-            self.seen[key] = max(covered, key=lambda m: (len(m.required()), m.name), default=None)
-        return self.seen[key]
+            self.seen[key] = max(covered, key=lambda m: len(m.required()), default=None)
+        return key, self.seen[key]
 
 
 def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS) -> DataFrame:
     """JSON records of any registered layout -> the other columns, fingerprint,
-    layout (null if unknown) and turns (array of role, text)."""
+    layout (null if unknown) and turns (array of role, text); underscores are added
+    to these names while the input has a column of that name."""
     keep = [c for c in records.columns if c != column]
+    new = ["fingerprint", "layout", "turns"]
+    for i, c in enumerate(new):
+        while c in keep:
+            c += "_"
+        new[i] = c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Layouts(layouts)
@@ -208,18 +223,18 @@ def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS)
                     rec = json.loads(raw) if raw else None
                 except ValueError:
                     rec = None
-                m = known.choose(rec) if isinstance(rec, dict) else None
-                prints.append(fingerprint(field_paths(rec)) if isinstance(rec, dict) else None)
+                key, m = known.choose(rec) if isinstance(rec, dict) else (None, None)
+                prints.append(key)
                 names.append(m.name if m else None)
                 turns.append([{"role": r, "text": t} for r, t in m.apply(rec)] if m else [])
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
             cols += [pa.array(prints, pa.string()), pa.array(names, pa.string()),
                      pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "fingerprint", "layout", "turns"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
 
     one = T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-    schema = T.StructType([*records.select(*keep).schema.fields, T.StructField("fingerprint", T.StringType()),
-                           T.StructField("layout", T.StringType()), T.StructField("turns", T.ArrayType(one))])
+    schema = T.StructType([*records.select(*keep).schema.fields, T.StructField(new[0], T.StringType()),
+                           T.StructField(new[1], T.StringType()), T.StructField(new[2], T.ArrayType(one))])
     return records.mapInArrow(run, schema)
 
 

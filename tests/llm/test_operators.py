@@ -50,6 +50,23 @@ def test_exact_dedup_index_lasts(spark):
     assert len(index.segments) == 2 and index.lookup().count() == 3
 
 
+def test_exact_dedup_in_batches(spark, monkeypatch):
+    """Later batches are looked up in the index; segments are merged on the way."""
+    monkeypatch.setattr(exact, "MAX_SEGMENTS", 3)
+    index = exact.new_index(spark, 4)
+    out = exact.deduplicate_in_batches(frame(spark), index, batches=7)
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", x or "")) for i, x in pairs()]
+    want = []
+    for i, x in norm:
+        ids = [j for j, y in norm if y == x]
+        least = min((j for j in ids if j is not None), default=None)
+        want.append((i, least, len(ids), i == least, sha(x)))
+    assert rows_of(out, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == by_repr(want)
+    assert index.generation >= 2 and len(index.segments) <= 3
+    again = exact.open_index(spark, index.root)
+    assert again.segments == index.segments and again.lookup().count() == len({x for _, x in norm})
+
+
 def test_line_dedup(spark):
     out = lines.report(frame(spark))
     assert rows_of(out, "doc_id", "n_lines", "kept_sha256") == by_repr(kept_lines(pairs()))
@@ -257,12 +274,20 @@ def test_chat_layouts(spark):
         {"prompt": "q", "completion": "a"}, {"prompt": "q", "response": "a", "id": 4}, {"question": "q", "answer": "a"},
         {"instruction": "", "input": "q", "output": "a"},
     ]
+    more = [({"instruction": "Name a fruit", "input": "", "output": "Apple"}, [("user", "Name a fruit"), ("assistant", "Apple")]),
+            ({"instruction": "Add", "input": "1 2", "output": None}, [("user", "Add\n\n1 2"), ("assistant", "")]),
+            ({"messages": [{"role": "user", "content": "m"}], "conversations": [{"from": "human", "value": "c"}]}, [("user", "m")])]
     odd = ["not json", None, json.dumps([1]), json.dumps({"other": 1})]
     df = spark.createDataFrame([(i, x) for i, x in enumerate([json.dumps(r) for r in records] + odd)], "id long, record string")
     got = {r.id: r for r in chatformat.canonical_turns(df).collect()}
     for i in range(len(records)):
         assert [(t.role, t.text) for t in got[i].turns] == [("user", "q"), ("assistant", "a")], records[i]
     assert all(got[len(records) + k].layout is None and got[len(records) + k].turns == [] for k in range(4))
+    both = spark.createDataFrame([(i, json.dumps(r), "mine", 7) for i, (r, _) in enumerate(more)], "id long, record string, layout string, turns int")
+    out = chatformat.canonical_turns(both)
+    assert out.columns == ["id", "layout", "turns", "fingerprint", "layout_", "turns_"]
+    for r in out.collect():
+        assert [(t.role, t.text) for t in r.turns_] == more[r.id][1] and r.layout == "mine"
 
 
 PII_TEXTS = [
@@ -325,6 +350,92 @@ def test_pii_context_reaches_over_other_matches(spark):
     assert {r.doc_id for r in pii.report(docs).collect() if r.n_id} == {12}
 
 
+def brute_identifiers(texts):
+    """The strings that the bootstrap finds, by its definition."""
+    from collections import defaultdict
+
+    edge = re.compile(r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
+
+    def word(w):
+        w = re.sub("[0-9]+", "0", w.lower())
+        w = re.sub(r"^[!-/:-@\[-`{-~]+(?=[^\W\d_])", "", w)
+        return re.sub(r"(?<=[^\W\d_])[!-/:-@\[-`{-~]+$", "", w)
+
+    def patterns(before, after):
+        b, a = words(before), words(after)
+        left, right = word(b[-1]) if b else "", word(a[0]) if a else ""
+        further = word(b[-2]) if len(b) > 1 else ""
+        return ([f"L {left}"] if left else []) + ([f"LL {further} {left}"] if left and further else []) + (
+            [f"R {right}"] if right else []) + ([f"B {left} {right}"] if left and right else [])
+
+    edges, secrets, cands = {}, set(), set()
+    for x in texts:
+        spans = base_spans(x)
+        for _, s, e in spans:
+            for p in patterns(x[:s], x[e:]):
+                edges[p, x[s:e]] = 1.0
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", x):
+            core = edge.sub("", m[0])
+            s = m.start() + len(m[0]) - len(re.sub(r"^[!-/:-@\[-`{-~]+", "", m[0]))
+            if not re.search("[0-9]", m[0]) or len(core) < 6 or any(a < s + len(core) and s < b for _, a, b in spans):
+                continue
+            shape = bool(re.fullmatch(pii.SECRET[2:-2], core))
+            cands.add(core)
+            secrets |= {core} if shape else set()
+            for p in patterns(x[:m.start()], x[m.end():]):
+                edges[p, core] = max(edges.get((p, core), 0.0), float(shape))
+    of = defaultdict(set)
+    for p, h in edges:
+        of[p].add(h)
+    keep = {p for p, hs in of.items() if len(hs) > pii.MIN_SEEDS and sum(edges[p, h] for h in hs) < len(hs)}
+    edges = {k: s for k, s in edges.items() if k[0] in keep}
+    found = set(secrets)
+    while True:
+        seed = defaultdict(float)
+        for (p, h), s in edges.items():
+            seed[h] = max(seed[h], s)
+        score = None
+        for _ in range(pii.ROUNDS):
+            conf = {}
+            for p in {k[0] for k in edges}:
+                mine = [(edges[k], edges[k] if score is None else max(edges[k], score[k[1]])) for k in edges if k[0] == p]
+                conf[p] = sum(v for _, v in mine) / (len(mine) + pii.SMOOTH) if sum(s for s, _ in mine) >= pii.MIN_SEEDS else 0.0
+            score = {h: max(conf[k[0]] for k in edges if k[1] == h) for h in {k[1] for k in edges}}
+        good = {h for h, v in score.items() if v >= pii.ACCEPT}
+        found |= good
+        if not {h for h in good if seed[h] < 1}:
+            return found & cands
+        edges = {(p, h): 1.0 if h in good else seed[h] for p, h in edges}
+
+
+def test_pii_bootstrap_against_brute_force(spark):
+    import random
+
+    r, texts = random.Random(9), []
+    ids = [f"acct-{k}77{k:03d}" for k in range(12)] + [f"u{k}#20{k}xx" for k in range(8)]
+    frames = ["reachable under {} anytime", "closed ticket {} yesterday", "see {}", 'token = "{}"!!', "user: {}, now", "build {} done"]
+    for i in range(140):
+        kind = r.random()
+        what = (f"p{r.randint(0, 40)}@mail.example.com" if kind < 0.5 else r.choice(ids) if kind < 0.9
+                else "".join(r.choice("0123456789abcdef") for _ in range(39)) + "a")
+        texts.append(" ".join(prose(i, 3)) + " " + r.choice(frames[:4] if kind >= 0.9 else frames).format(what) + " " + " ".join(prose(i + 500, 3)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(s.doc_id, s.text) for s in pii.listed(docs).filter("kind = 'id'").collect()}
+    assert {t for _, t in got} == brute_identifiers(texts)
+    assert len([t for _, t in got if len(t) == 40]) > 5 and any(t in ids for _, t in got)
+    for i, t in got:
+        assert t in texts[i]
+
+
+def test_pii_secrets_by_shape(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(0, f'x token = "{secret}" y'), (1, f"TOKEN = \"{secret.upper()}\"!!"), (2, "9" * 40), (3, "deadbeef" * 3), (4, "key AKIA" + "B2" * 8)]
+    out = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].n_id for i in range(5)] == [1, 1, 0, 0, 1] and out[0].n_spans == 1
+    kind, a, b = out[1].spans.split(":")
+    assert rows[1][1][int(a):int(b)] == secret.upper()
+
+
 def brute_scores(rows, order, gain, weights):
     import math
     from collections import Counter, defaultdict

@@ -2,7 +2,7 @@
 
 import math
 
-from cases import decontaminated_rows, kept_lines, near_components, sha, words
+from cases import decontaminated_rows, frame, kept_lines, messy, near_components, sha, words
 
 import corpus_pipeline as CP
 from shelfspark.llm import mixing, toxicity
@@ -35,7 +35,7 @@ def test_stages_against_brute_force(spark):
     assert got == {(i, h) for i, h in want if (i, h) in got or h != sha("")} and len(got) == lines.count()
     assert all(r.n_chars == len(r.text) for r in lines.collect())
     unique = step("near_dedup", lines)
-    assert {i for i, _ in texts(unique)} == {i for i, n, c in near_components(texts(lines)) if i == c}
+    assert {i for i, _ in texts(unique)} == {i for i, n, c in near_components(texts(lines), link=80) if i == c}
     safe = step("decontamination", unique)
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     assert {i for i, _ in texts(safe)} == {r[0] for r in decontaminated_rows(texts(unique), items) if not r[5]}
@@ -52,5 +52,23 @@ def test_stages_against_brute_force(spark):
 def test_registered_names():
     from shelfspark.llm import queries as LQ
 
-    assert sorted(int(n[2:].split("_")[0]) for n in LQ.Q) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LQ.Q) == list(range(1, 14))
     assert set(LQ.SQL) <= set(LQ.Q)
+
+
+def messy_table(spark, folder, rows):
+    """``rows`` as the documents of a folder of tables, beside empty labels and benchmark."""
+    frame(spark, rows, extra=False).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_on_empty_and_messy_tables(spark, scratch):
+    messy_table(spark, f"{scratch}/none", [])
+    out = CP.run(spark, f"{scratch}/none")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy_no"] and out.count() == 0
+    messy_table(spark, f"{scratch}/messy", messy())
+    rows = CP.run(spark, f"{scratch}/messy").collect()
+    # Nothing is toxic or contaminated; of the copies of one text one is left.
+    ids = {r.doc_id for r in rows}
+    assert {14, 15} <= ids and len(ids & {0, 1, 2, 16}) <= 1 and all(r.text for r in rows)
