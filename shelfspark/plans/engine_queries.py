@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import table_functions as TF
 from shelfspark.operators import evaluation as EV
 from shelfspark.operators import knn as KN
+from shelfspark.operators import result_store as RS
 from shelfspark.operators import sketches as SK
 from shelfspark.plans import pipelines as PL
 from shelfspark.plans import sql_text as S
@@ -18,6 +19,7 @@ from shelfspark.session import scratch_path
 from shelfspark.sources import catalog as SC
 from shelfspark.sources import collection_source as CS
 from shelfspark.sources import collections as CO
+from shelfspark.sources import fetch_ledger as FL
 
 _NULLS = ", ".join(S.lit(x) for x in SC.NULL_TOKENS)
 
@@ -199,3 +201,59 @@ def sentences_table(spark, sf):
     TF.register(spark)
     t(spark, sf, "documents").createOrReplaceTempView("shelfspark_texts")
     return spark.sql("SELECT * FROM sentences(TABLE(SELECT doc_id, text FROM shelfspark_texts) PARTITION BY doc_id)")
+
+
+@register("live_threads", SQL["chat_threads"])
+def live_threads(spark, sf):
+    """C1 + R2: turns arrive as three files in no order; the last version of every turn."""
+    from shelfspark.streaming import live_threads as LT
+
+    src, sink = scratch_path(spark, "turns-arriving"), scratch_path(spark, "threads")
+    turns = t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    for k in range(3):
+        part = turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == k)
+        part.repartition(1).write.parquet(f"{src}/f{k}")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    LT.stream_threads(stream, sink, scratch_path(spark, "threads-checkpoint")).awaitTermination()
+    out = LT.current_threads(spark.read.schema(LT.OUTPUT).parquet(sink))
+    kinds = {f.name: f.dataType for f in turns.schema.fields}
+    return out.select(F.col("conv_id").cast(kinds["conv_id"]).alias("conv_id"), F.col("turn").cast(kinds["turn"]).alias("turn"),
+                      "role", "is_reset", "thread")
+
+
+@register("stored_results", """
+SELECT doc_id, md5(text) AS result, (SELECT count(DISTINCT text) FROM documents) AS n_stored FROM documents""")
+def stored_results(spark, sf):
+    """B1: a stand-in model over half of the documents, then over all through its store;
+    the last answers come from the store alone, as its model would fail."""
+    def model():
+        import hashlib
+
+        return lambda texts: [hashlib.md5(x.encode()).hexdigest() for x in texts]
+
+    def broken():
+        def fn(texts):
+            raise RuntimeError("every result is stored")
+        return fn
+
+    d, root = t(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "results")
+    RS.ResultStore(spark, root, "md5", "string", buckets=8).ensure(d.where("doc_id % 2 = 0"), "text", model)
+    RS.ResultStore(spark, root, "md5", "string").ensure(d, "text", model)
+    store = RS.ResultStore(spark, root, "md5", "string")
+    out = store.encode(d, "text", broken, out="result")
+    return out.select("doc_id", "result").join(F.broadcast(store.results().agg(F.count(F.lit(1)).alias("n_stored"))))
+
+
+@register("fetch_ledger", """
+SELECT url, max(CASE length(url) % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END)::BIGINT AS n_attempts, bool_and(length(url) % 5 <> 0) AS ok,
+       max(CASE WHEN length(url) % 5 <> 0 THEN octet_length(encode(upper(url))) END)::BIGINT AS n_bytes
+FROM pages WHERE url IS NOT NULL GROUP BY url""")
+def fetch_ledger(spark, sf):
+    """S14 in rounds, with a stand-in fetcher: some addresses always fail, some once."""
+    def fetcher_of(n):
+        def fetcher():
+            return lambda urls: [None if len(u) % 5 == 0 or (len(u) % 5 == 1 and n == 1) else u.upper().encode() for u in urls]
+        return fetcher
+
+    out = FL.fetch_rounds(t(spark, sf, "pages").select("url"), scratch_path(spark, "ledger"), fetcher_of, FL.rounds_needed())
+    return out.select("url", "n_attempts", "ok", big(F.octet_length("content")).alias("n_bytes"))
