@@ -1,30 +1,32 @@
 """Line deduplication over content-defined chunks, DataFrame functions only.
 
-A rolling hash over the hashes of the last three lines decides after each line
-whether a chunk ends there, so boundaries depend on nearby lines only: text put
-in front of a passage does not shift the chunks inside it.  Chunks of two and
-more lines that occur more than once anywhere are removed but for their first
-occurrence (smallest doc_id, then position), after their bytes were compared.
+A hash of every line decides whether a chunk ends after it, on average after every
+second one, so boundaries depend on the passage alone: whatever stands around it, its
+chunks from the first boundary to the last are the same.  A chunk that occurs more than
+once anywhere is a repeat but for its first occurrence (smallest doc_id, then position),
+after its bytes were compared.  Repeats that follow each other in a document are one
+run, and a run that holds a repeat of two and more lines, not all blank, is removed;
+single repeated lines on their own stay.
 
 The bytes are compared by grouping on the chunk text itself, with partial groups
 before the shuffle; where two different texts ever shared both 64-bit hashes,
 none of them is removed.  Everything else moves as narrow rows of hashes.
 
 Defined results: a null text has one empty line; blank chunks and single lines
-are never removed; rows with equal doc_id and text are one document and all keep
-what it keeps; a null doc_id orders last; input columns pass through, the text
-is replaced.  Empty tables give empty results.
+are never removed on their own; rows with equal doc_id and text are one document and
+all keep what it keeps; a null doc_id orders last; input columns pass through, the
+text is replaced.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import join_counted, stored, text_of, whole_row
 
-#: Average lines of a chunk, and the modulus of the rolling hash (a prime below 2**20).
-DIVISOR, MODULUS = 4, 1048573
+#: Average lines of a chunk.
+DIVISOR = 2
 MIN_LINES = 2
 
 
@@ -33,10 +35,6 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 5), 16, 10).cast("long"))
 
 
-def _delayed(h: Column, by: int) -> Column:
-    return F.slice(F.concat(F.array(*[F.lit(0).cast("long")] * by), h), F.lit(1), F.size(h))
-
-
 def chunks(text: str | Column = "text", divisor: int = DIVISOR) -> Column:
     """The chunks of a text as strings; within a chunk every line has the prefix L.
 
@@ -44,9 +42,7 @@ def chunks(text: str | Column = "text", divisor: int = DIVISOR) -> Column:
     be a boundary.  All steps take whole arrays as arguments: linear in the text.
     """
     lines = F.split(text_of(text), "\n", -1)
-    h = line_hashes(lines)
-    ends = F.zip_with(F.zip_with(h, _delayed(h, 1), lambda a, b: a + b * 31), _delayed(h, 2),
-                      lambda x, c: ((x + c * 961) % MODULUS) % divisor == 0)
+    ends = F.transform(line_hashes(lines), lambda h: h % divisor == 0)
     marked = F.zip_with(lines, ends, lambda x, e: F.concat(F.lit("L"), x, F.when(e, F.lit("\n")).otherwise(F.lit(""))))
     return F.split(F.regexp_replace(F.array_join(marked, "\n"), F.lit(r"\n\z"), F.lit("")), "\n\n", -1)
 
@@ -69,16 +65,21 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .withColumn("multi", (F.col("n_lines") >= min_lines) & F.col("body").rlike(r"L[^\n]*[^\x20\x09-\x0D]")))
     narrow = stored(rows.drop("body").distinct(), "line-chunks")
     # Byte comparison: one group per chunk text, then how many texts share the hashes.
-    same = (rows.filter("multi").groupBy("h1", "h2", "body").agg(F.count(F.lit(1)).alias("n"))
+    same = (rows.groupBy("h1", "h2", "body").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
             .filter("texts = 1 and n > 1").select("h1", "h2"))
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"), F.col("pos").alias("d"))
-    groups = (narrow.filter("multi").groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = (narrow.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").join(same, ["h1", "h2"])
               .select("h1", "h2", "n", F.col("first.c").alias("first_key"), F.col("first.d").alias("first_pos")))
     groups = stored(groups, "line-groups")
-    hit = join_counted(narrow.filter("multi"), groups, ["h1", "h2"], "n", narrow.count())
-    removed = (hit.filter("not (key = first_key and pos = first_pos)").select("key", "pos", F.lit(True).alias("gone")))
+    repeats = (join_counted(narrow, groups, ["h1", "h2"], "n", narrow.count())
+               .filter("not (key = first_key and pos = first_pos)").select("key", "pos", "multi"))
+    # Repeats at neighbouring positions differ as their row numbers do.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+    runs = repeats.withColumn("run", F.col("pos") - nth)
+    held = F.max("multi").over(Window.partitionBy("key", "run"))
+    removed = runs.withColumn("gone", held).filter("gone").select("key", "pos", "gone")
     return (narrow.select("key", "doc_id", "pos", "n_lines").join(removed, ["key", "pos"], "left")
             .select("key", "doc_id", "pos", "n_lines", F.coalesce("gone", F.lit(False)).alias("removed")))
 

@@ -144,20 +144,21 @@ LINES_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM l),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 5))::BIGINT AS h FROM x),
-r AS (
-  SELECT *, (h + 31 * coalesce(lag(h, 1) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 1048573 % 4 = 0 AS cut
-  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, h % 2 = 0 AS cut FROM h),
 c AS (
   SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM r),
 chunk AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM c GROUP BY doc_id, pos),
 rep AS (
-  SELECT *, n >= 2 AND regexp_matches(body, '[^\x20\x09-\x0D]')
-            AND row_number() OVER (PARTITION BY body, n ORDER BY doc_id, pos) > 1 AS gone
-  FROM chunk)
+  SELECT *, n >= 2 AND regexp_matches(body, '[^\x20\x09-\x0D]') AS multi,
+         row_number() OVER (PARTITION BY body, n ORDER BY doc_id, pos) > 1 AS again
+  FROM chunk),
+run AS (
+  SELECT *, CASE WHEN again THEN pos - row_number() OVER (PARTITION BY doc_id, again ORDER BY pos) END AS run FROM rep),
+gone AS (SELECT *, again AND bool_or(multi) OVER (PARTITION BY doc_id, again, run) AS gone FROM run)
 SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
        sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM rep GROUP BY doc_id
+FROM gone GROUP BY doc_id
 """
 
 

@@ -131,26 +131,29 @@ def held(i, mod):
     return zlib.crc32(b"" if i is None else str(i).encode()) % mod
 
 
-def kept_lines(rows, divisor=4):
-    """Texts after chunk removal, for distinct rows by (null, id, text)."""
+def kept_lines(rows, divisor=2):
+    """Texts after removal, for distinct rows by (null, id, text)."""
     def cut(x):
-        out, h = [[]], [0, 0]
+        out = [[]]
         for line in (x or "").split("\n"):
-            h.append(int(hashlib.md5(line.encode()).hexdigest()[:5], 16))
             out[-1].append(line)
-            if (h[-1] + 31 * h[-2] + 961 * h[-3]) % 1048573 % divisor == 0:
+            if int(hashlib.md5(line.encode()).hexdigest()[:5], 16) % divisor == 0:
                 out.append([])
         return [c for c in out if c]
 
-    seen, done = Counter(), {}
+    seen, done = set(), {}
     for i, x in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
-        keep = []
-        for c in cut(x):
-            body = "\n".join(c)
-            multi = len(c) >= 2 and bool(words(body))
-            if not (multi and seen[len(c), body]):
-                keep.append(body)
-            if multi:
-                seen[len(c), body] += 1
-        done[i, x or ""] = "\n".join(keep)
+        kept, run = [], []
+        for c in [*cut(x), None]:
+            key = None if c is None else (len(c), "\n".join(c))
+            if key in seen:
+                run.append(c)
+                continue
+            if not any(len(r) >= 2 and words("\n".join(r)) for r in run):
+                kept += run
+            run = []
+            if c is not None:
+                seen.add(key)
+                kept.append(c)
+        done[i, x or ""] = "\n".join("\n".join(c) for c in kept)
     return [(i, len((x or "").split("\n")), sha(done[i, x or ""])) for i, x in rows]

@@ -74,6 +74,20 @@ def test_line_dedup(spark):
     assert gone[12] + gone[13] > 0 and gone[0] == gone[1] == 0 and gone[19] == 0
 
 
+@pytest.mark.parametrize("n,share", [(5, 0.35), (10, 0.7), (20, 0.8)])
+def test_line_dedup_finds_passages_in_other_surroundings(spark, n, share):
+    rows = []
+    for k in range(60):
+        passage = [f"line {i} of passage {k}" for i in range(n)]
+        for copy in (0, 1):
+            around = [[f"{side} {k} {copy} {i}" for i in range(4)] for side in ("before", "after")]
+            rows.append((2 * k + copy, "\n".join(around[0] + passage + around[1])))
+    out = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {r.doc_id: r.n_removed for r in out}
+    assert all(gone[2 * k] == 0 for k in range(60))
+    assert all(gone[2 * k + 1] <= n for k in range(60)) and sum(gone.values()) >= share * 60 * n
+
+
 def test_line_dedup_keeps_columns(spark):
     src = frame(spark)
     out = lines.cleaned(src)
