@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import _SENTENCE_SPLIT, _TRIM_WS
+from shelfspark.functions.text import _SENTENCE_RE, _TRIM_RE
 from shelfspark.operators.chat import ASSISTANT_ROLE, USER_ROLE
 
 _PAIR = {"conv_id": pa.int64(), "turn": pa.int64(), "question": pa.string(), "reply": pa.string()}
@@ -58,7 +58,7 @@ class Sentences:
     its rows together), in the order they first occur, from position 1."""
 
     def __init__(self):
-        self.split, self.trim, self.seen = re.compile(_SENTENCE_SPLIT), re.compile(_TRIM_WS), {}
+        self.split, self.trim, self.seen = re.compile(_SENTENCE_RE), re.compile(_TRIM_RE), {}
 
     def eval(self, batch: pa.RecordBatch):
         rows = []

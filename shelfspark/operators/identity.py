@@ -47,7 +47,7 @@ def _num_partitions(df: DataFrame) -> int:
 _SEP = "\x1f"
 
 
-def _bounds(keyed: DataFrame, order: list[Column], n: int, per_bucket: int, seed: int) -> list[Column]:
+def _bounds(keyed: DataFrame, order: list[Column], n: int, per_bucket: int, seed: int, total: int) -> list[Column]:
     """Ascending bounds of ``n`` buckets, one constant array per order column.
 
     They come from a sample of about ``n * per_bucket`` keys, sorted and thinned by
@@ -56,7 +56,6 @@ def _bounds(keyed: DataFrame, order: list[Column], n: int, per_bucket: int, seed
     keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
     types = [f.dataType for f in keyed.select(*keys).schema.fields]
     rows = keyed.select(*keys)
-    total = rows.count()
     if n <= 1 or not total:
         return []
     usable = [F.col(f"k{i}").isNotNull() & ~F.col(f"k{i}").cast("string").contains(_SEP) for i in range(len(keys))]
@@ -103,11 +102,15 @@ def dense_id(df: DataFrame, order_by, out: str = "pos", num_partitions: int | No
     ``order_by`` must be unique; a null key comes first.  The number of buckets
     follows the rows.
     """
-    n = num_partitions or max(_num_partitions(df), -(-df.count() // ROWS_PER_BUCKET))
+    total = df.count()
+    n = num_partitions or max(_num_partitions(df), -(-total // ROWS_PER_BUCKET))
     order = _cols(order_by)
-    bounds = _bounds(df, order, n, sample_per_bucket, seed)
+    bounds = _bounds(df, order, n, sample_per_bucket, seed, total)
     # A null key sorts first: it belongs to the first bucket.
     bucket = F.when(order[0].isNull(), F.lit(0)).otherwise(_bucket(order, bounds)) if len(order) == 1 else _bucket(order, bounds)
+    # Never null, and Spark sees it: otherwise the join below filters by the search
+    # over the bounds once more, down in the scan, where a small file is one task.
+    bucket = F.coalesce(bucket, F.lit(0))
     within = Window.partitionBy("__bucket").orderBy(*order)
     ranked = df.withColumn("__bucket", bucket).withColumn("__rn", F.row_number().over(within))
     # Bucket sizes read off the window output: same clustering, same exchange.

@@ -83,21 +83,21 @@ def clean_catalog(raw: DataFrame, order_by) -> DataFrame:
 
     Only ``search_text`` uses cleaned text; ``name`` is the raw title.
     """
-    cols = set(raw.columns)
-
-    def cleaned(c, fn=TX.clean_text):
-        return fn(F.col(f"`{c}`")) if c in cols else None
-
-    st = TX.search_text(name=cleaned("Product Name"),
-                        category=cleaned("Category", TX.clean_category),
-                        about=cleaned("About Product"),
-                        details=cleaned("Technical Details"))
-    out = raw.withColumns({
-        "search_text": st,
+    # Every cleaned text is a column of its own: the search text names each several
+    # times, and as one expression each naming would clean the text again.
+    sources = {"name": ("Product Name", TX.clean_text), "category": ("Category", TX.clean_category),
+               "about": ("About Product", TX.clean_text), "details": ("Technical Details", TX.clean_text)}
+    made = {k: (f"__{k}", fn(F.col(f"`{c}`"))) for k, (c, fn) in sources.items() if c in raw.columns}
+    parts = raw.withColumns(dict(made.values()))
+    texts = {k: F.col(c) for k, (c, _) in made.items()}
+    merged = [texts.pop(k) for k in ("about", "details") if k in texts]
+    parts = parts.withColumn("__merged", TX.dedupe_sentences(*merged) if merged else F.lit(""))
+    out = parts.withColumns({
+        "search_text": TX.search_text(**texts, description="__merged"),
         "image_url": TX.first_list_item(F.col("Image")),
         "product_id": F.col("`Uniq Id`"),
         "name": F.col("`Product Name`"),
-    })
+    }).drop("__merged", *[c for c, _ in made.values()])
     # Cleaning runs on the scan partitions (full parallelism); the id pass then
     # moves finished rows.  Its bounds job reads only the key, so column pruning
     # keeps the cleaning expressions out of it.
@@ -131,22 +131,30 @@ def build_collections(cleaned: DataFrame, root: str, dim: int = 64, image_fetche
     (B2).  A missing image becomes a zero vector with an ``encode_failed`` flag
     (V7).  The multimodal vector is text ++ image (V4).
     """
+    from shelfspark.session import scratch_path
     from shelfspark.sources import collections as CO
 
     base = cleaned.select(F.col("id").cast("string").alias("id"),
                           F.coalesce("search_text", F.lit("")).alias("document"),
                           catalog_metadata().alias("metadata"), "image_url", *([image_bytes] if image_bytes else []))
     text = EN.hash_encode(base, "document", dim=dim, out="text_vec")
-    out = {"text": CO.save(text.select("id", F.col("text_vec").alias("embedding"), "document", "metadata"),
-                           root, "text", space="cosine", if_exists=if_exists)}
-    if not out["text"].isEmpty():
-        V.assert_dim(out["text"], "embedding")
-    if image_fetcher is not None or image_bytes:
+    with_images = image_fetcher is not None or image_bytes
+    if with_images:
+        # Three collections come of the rows: cleaned, fetched and encoded once.
         fetched = (text.withColumn("image_bytes", F.col(image_bytes)) if image_bytes
                    else SC.fetch_media(text, "image_url", image_fetcher, out="image_bytes"))
         enc = fetched.withColumn("image_vec", EN.encode_column("image_bytes", EN.byte_histogram_model(image_bins)))
         enc = (enc.withColumn("encode_failed", F.col("image_vec").isNull())
-                  .withColumn("image_vec", V.zero_fill("image_vec", image_bins)))
+                  .withColumn("image_vec", V.zero_fill("image_vec", image_bins))
+                  .select("id", "document", "metadata", "text_vec", "image_vec", "encode_failed"))
+        spark, path = cleaned.sparkSession, scratch_path(cleaned.sparkSession, "encoded")
+        enc.write.parquet(path)
+        text = enc = spark.read.schema(enc.schema).parquet(path)
+    out = {"text": CO.save(text.select("id", F.col("text_vec").alias("embedding"), "document", "metadata"),
+                           root, "text", space="cosine", if_exists=if_exists)}
+    if not out["text"].isEmpty():
+        V.assert_dim(out["text"], "embedding")
+    if with_images:
         out["image"] = CO.save(enc.select("id", F.col("image_vec").alias("embedding"), "document", "metadata",
                                           "encode_failed"), root, "image", space="cosine", if_exists=if_exists)
         mm = enc.select("id", V.concat_vectors("text_vec", "image_vec").alias("embedding"), "document",
