@@ -50,9 +50,14 @@ QUERY_SLICE = 256
 _TILE_ELEMS = 1 << 22  # distance-matrix elements per numpy tile
 #: Rows of the corpus, and queries, that a task holds at most.
 PART_ROWS, BLOCK_QUERIES = 131_072, 65_536
+#: Rows of a streamed corpus that are gathered before they are compared, unless the
+#: queries' lists are longer.
+STREAM_ROWS = 8192
 #: Queries and corpus rows that are compared at a time, and how many rows near the
 #: best k are gathered before they are ranked.
 SLICE, CHUNK, NEAR = 1024, 4096, 1 << 20
+#: Pairs whose exact distance is computed at a time.
+PAIRS = 1 << 13
 TIE_DIGITS = 12
 
 
@@ -152,7 +157,7 @@ class _Part:
     precision, and those within its error of a query's best k are ranked exactly."""
 
     def __init__(self, ids, e: np.ndarray, space: str, cell: np.ndarray | None = None):
-        order = np.argsort(cell, kind="stable") if cell is not None else np.arange(len(e))
+        order = np.argsort(cell, kind="stable") if cell is not None else slice(None)
         self.ids, self.e, self.space = np.asarray(ids, dtype=object)[order], e[order], space
         self.cells, start = np.unique(cell[order], return_index=True) if cell is not None else (None, [*range(0, len(e), CHUNK)])
         self.start, self.stop = list(start), [*start[1:], len(e)]
@@ -231,8 +236,8 @@ class _Part:
         """Query, row and exact distance of the k best of ``near`` by (distance, id)."""
         i, j = (np.concatenate([n[x] for n in near]) if near else np.empty(0, np.int64) for x in (0, 1))
         d = np.empty(len(i))
-        for x in range(0, len(i), 1 << 16):
-            y = slice(x, x + (1 << 16))
+        for x in range(0, len(i), PAIRS):
+            y = slice(x, x + PAIRS)
             if self.space == "l2":
                 diff = self.e[j[y]] - q[i[y]]
                 d[y] = np.einsum("ij,ij->i", diff, diff)
@@ -332,7 +337,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, space: str = "l2", *
             raise ValueError("queries exceed the broadcast bound; use strategy='cells'")
         # The smaller side travels; shipped queries cost a merge of lists besides.
         if query_bytes <= broadcast_bytes and (strategy != "auto" or FEW_QUERIES * query_bytes < corpus_bytes or corpus_bytes > broadcast_bytes):
-            return _knn_broadcast_queries(q, c, k, space, schema)
+            # Not ``c``: its filter would move below the encoder and run it once more.
+            return _knn_broadcast_queries(q, corpus.select(F.col(cid).alias("id"), F.col(cvec).alias("vec")), k, space, schema)
         if corpus_bytes <= broadcast_bytes:
             return _knn_broadcast(q, c, k, space, schema)
     if strategy == "axes":
@@ -373,18 +379,25 @@ def _knn_broadcast_queries(q: DataFrame, c: DataFrame, k: int, space: str, schem
 
 
 def _streamed(c: DataFrame, qids, qm: np.ndarray, k: int, space: str, schema) -> DataFrame:
-    """The k best of every query among the rows of each task, or of each part of many rows."""
+    """The k best of every query among the rows of each task, or of each part of many rows.
+
+    A part has about as many rows as the queries' lists, STREAM_ROWS at least and
+    PART_ROWS // 4 at most, and large Arrow batches are cut: what a task holds depends
+    neither on the size of the corpus nor on that of a batch.
+    """
     bc = c.sparkSession.sparkContext.broadcast((np.asarray(qids, dtype=object), qm))
 
     def run(batches):
         qids_b, qm_b = bc.value
+        rows = min(max(k * len(qids_b), STREAM_ROWS), PART_ROWS // 4)
         # One list per query and part, not per Arrow batch.
         ids, parts = [], []
         for pdf in batches:
-            if not pdf.empty and len(qids_b):
-                ids += pdf["id"].tolist()
-                parts.append(_as_matrix(pdf["vec"]))
-                if len(ids) >= PART_ROWS // 4:
+            for start in range(0, len(pdf), rows) if len(qids_b) else ():
+                cut = pdf.iloc[start:start + rows]
+                ids += cut["id"].tolist()
+                parts.append(_as_matrix(cut["vec"]))
+                if len(ids) >= rows:
                     yield from top(qids_b, qm_b, ids, parts)
                     ids, parts = [], []
         if ids:
@@ -486,9 +499,12 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, space: str, schema, cells: in
 
 def _least_copies(c: DataFrame, k: int) -> DataFrame:
     """Of every vector the k rows with the smallest ids: copies are at one distance
-    from any query, so no other can be among its k nearest."""
+    from any query, so no other can be among its k nearest.  Null and empty vectors
+    go, by a condition that Spark can't move below the window: there it would compute
+    the vectors a second time, in Python workers of its own."""
     w = Window.partitionBy("vec").orderBy("id")
-    return c.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= k).drop("__nth")
+    return (c.withColumn("__nth", F.row_number().over(w))
+             .where((F.col("__nth") <= k) & (F.col("__nth") <= F.when(F.size("vec") > 0, k).otherwise(0))).drop("__nth"))
 
 
 def _grid(n_q: int, n_c: int, queries: int, rows: int, tasks: int) -> tuple[int, int]:
