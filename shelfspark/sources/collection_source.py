@@ -167,6 +167,10 @@ class _Written(D.WriterCommitMessage):
         self.path, self.rows, self.dim = path, rows, dim
 
 
+#: Marks the folder of an aborted write.
+ABORTED = ".aborted"
+
+
 class CollectionWriter(D.DataSourceArrowWriter):
     def __init__(self, root: str, name: str, space: str, schema: StructType):
         self.root, self.name, self.space, self.schema = root.rstrip("/"), name, space, schema
@@ -192,6 +196,9 @@ class CollectionWriter(D.DataSourceArrowWriter):
         sink.close()
         # Complete before it gets its name.
         fs.move(hidden, path)
+        if fs.get_file_info(f"{base}/{ABORTED}").type != pafs.FileType.NotFound:
+            fs.delete_file(path)
+            raise RuntimeError("the write was aborted")
         return _Written(path, rows, dim)
 
     def commit(self, messages):
@@ -219,9 +226,16 @@ class CollectionWriter(D.DataSourceArrowWriter):
         fs.move(f"{at}/.part.json", f"{at}/part-0.json")
 
     def abort(self, messages):
+        # Tasks may still run: those that name a file after this mark take it back.
         fs, base = _open(self.folder)
-        if fs.get_file_info(base).type == pafs.FileType.Directory:
-            fs.delete_dir(base)
+        fs.create_dir(base, recursive=True)
+        fs.open_output_stream(f"{base}/{ABORTED}").close()
+        for f in fs.get_file_info(pafs.FileSelector(base)):
+            if f.base_name != ABORTED:
+                try:
+                    fs.delete_file(f.path)
+                except FileNotFoundError:  # the task moved it or took it back
+                    pass
 
 
 class CollectionSource(D.DataSource):

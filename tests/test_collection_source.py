@@ -1,7 +1,9 @@
 """Deletion bitmaps of collections, and collections as a Spark data source."""
 
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,19 @@ def test_failed_writer_exposes_nothing(spark, scratch):
     assert not [f for d in left for f in os.listdir(os.path.join(root, "c", "data", d)) if not f.startswith(".")]
 
 
+def test_task_that_ends_after_the_abort_leaves_nothing(scratch, monkeypatch):
+    monkeypatch.setattr(CS.TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+    w = CS.CollectionWriter(os.path.join(scratch, "r"), "c", "l2", None)
+
+    def batches():
+        w.abort([])
+        yield pa.RecordBatch.from_pydict({"embedding": [[1.0, 2.0]]})
+
+    with pytest.raises(RuntimeError, match="aborted"):
+        w.write(batches())
+    assert os.listdir(w.folder) == [".aborted"]
+
+
 def test_stream_yields_every_batch_once(spark, scratch):
     CS.register(spark)
     root, seen = os.path.join(scratch, "r"), []
