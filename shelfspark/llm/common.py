@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.session import checkpoint_root, scratch_path, ship_package
+from shelfspark.session import checkpoint_root, scratch_path, ship_package, shuffles_freed
 
 #: Separators between words: space and the ASCII controls tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -31,19 +28,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written inside go once it is written: nothing reads
-    them again.  (A lost file is made again by Spark's stage retry.)"""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql.types import StructType
 
-from shelfspark.sources.collections import BITS, MANIFEST_SCHEMA, replaced_bits
+from shelfspark.sources.collections import BITS, MANIFEST_SCHEMA, SAME, replaced_bits
 
 NAME = "shelfspark_collection"
 #: Rows of a data file read at a time.
@@ -77,7 +77,8 @@ def _columns_of(root: str, name: str) -> StructType:
         raise FileNotFoundError(f"collection {name!r} not found under {root}")
     fs, _ = _open(root)
     first = next(r for r in rows if r["version"] == rows[-1]["version"])
-    return from_arrow_schema(pq.read_schema(_files(first["path"], ".parquet")[0], filesystem=fs).remove_metadata())
+    found = from_arrow_schema(pq.read_schema(_files(first["path"], ".parquet")[0], filesystem=fs).remove_metadata())
+    return StructType([f for f in found.fields if f.name != SAME])
 
 
 class _File(D.InputPartition):
@@ -99,6 +100,16 @@ def _gone(fs: pafs.FileSystem, file: str, deletes: list[str]) -> dict[int, np.nd
     return out
 
 
+def _with_texts(t: pa.Table) -> pa.Table:
+    """Texts of the metadata that were stored as the document only, put back."""
+    meta, doc, same = (t.column(c).combine_chunks() for c in ("metadata", "document", SAME))
+    kept = dict(zip([f.name for f in meta.type], meta.flatten()))
+    for f, flag in zip([f.name for f in same.type], same.flatten()):
+        kept[f] = pc.if_else(pc.fill_null(flag, False), doc, kept[f])
+    whole = pa.StructArray.from_arrays([*kept.values()], fields=[*meta.type], mask=meta.is_null())
+    return t.set_column(t.schema.get_field_index("metadata"), "metadata", whole)
+
+
 def _read(part: _File, schema: StructType, filters: list) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -106,7 +117,10 @@ def _read(part: _File, schema: StructType, filters: list) -> Iterator[pa.RecordB
     fs, path = _open(part.path)
     gone, at = _gone(fs, path, part.deletes), 0
     with fs.open_input_file(path) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=READ_ROWS, columns=target.names):
+        stored = pq.ParquetFile(f)
+        left_out = SAME in stored.schema_arrow.names and "metadata" in target.names
+        columns = list(dict.fromkeys([*target.names, *(["document", SAME] if left_out else [])]))
+        for batch in stored.iter_batches(batch_size=READ_ROWS, columns=columns):
             place = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
             keep = np.ones(batch.num_rows, bool)
@@ -116,7 +130,8 @@ def _read(part: _File, schema: StructType, filters: list) -> Iterator[pa.RecordB
             keep = pa.array(keep)
             for column, test, value in filters:
                 keep = pc.and_(keep, pc.fill_null(test(batch.column(column), pa.scalar(value)), False))
-            t = pa.Table.from_batches([batch]).filter(keep).select(target.names).cast(target)
+            t = pa.Table.from_batches([batch]).filter(keep)
+            t = (_with_texts(t) if left_out else t).select(target.names).cast(target)
             yield from t.to_batches()
 
 
